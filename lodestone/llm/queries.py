@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, lines
+from . import bpe, chat, decontam, exact, lines
 from .common import LOWER, UPPER, table
 
 
@@ -14,12 +14,24 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_digest(table(spark, sf_dir, "conversations"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leak_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_line_dedup": op4_line_dedup, "op10_exact_dedup": op10_exact_dedup}
+    return {f.__name__: f for f in (op4_line_dedup, op5_chat_formatting, op7_byte_bpe, op8_decontamination, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -33,6 +45,30 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
                    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
             FROM m GROUP BY doc_id""",
+        "op5_chat_formatting": r"""
+            WITH t AS (
+                SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+            s AS (SELECT *, length(text) + len(regexp_extract_all(text, '(<\\*(/?s>|</?SYS>>))|(\[\\*(/?INST\]|/?ROLE[:\]]))'))
+                  + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 WHEN 'system' THEN 20 ELSE length(url_encode(role)) + 19 END AS chars FROM t)
+            SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+                   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+                   sha256(coalesce(string_agg(text, '' ORDER BY turn, role) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+                   CAST(sum(chars) AS BIGINT) AS formatted_chars
+            FROM s GROUP BY conv_id""",
+        "op8_decontamination": rf"""
+            WITH d AS (SELECT doc_id, regexp_extract_all({fold.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+            b AS (SELECT item_id, regexp_extract_all({fold.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+            win AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + 9], ' ') AS phrase
+                    FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
+            sizes AS (SELECT DISTINCT size FROM win),
+            place AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes),
+            occ AS (SELECT doc_id, place.i, place.size, item_id FROM place JOIN win ON win.size = place.size AND array_to_string(place.w[place.i:place.i + place.size - 1], ' ') = win.phrase),
+            hits AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM occ) GROUP BY doc_id),
+            items AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM occ) GROUP BY doc_id)
+            SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+                   sha256(coalesce(items.ids, '')) AS items_sha256, hits.n IS NOT NULL AS contaminated
+            FROM d LEFT JOIN hits ON d.doc_id = hits.doc_id LEFT JOIN items ON d.doc_id = items.doc_id""",
         "op10_exact_dedup": f"""
             WITH h AS (SELECT doc_id, sha256({fold.format("coalesce(text, '')")}) AS text_sha256 FROM documents)
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
