@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, exact, langid, lines, neardup
+from . import bpe, chat, decontam, exact, html, langid, lines, neardup, pii
 from .common import LOWER, UPPER, table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digest(table(spark, sf_dir, "documents"))
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
@@ -39,7 +47,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_line_dedup, op5_chat_formatting, op7_byte_bpe, op8_decontamination, op9_minhash_near_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_html_extraction, op3_language_id, op4_line_dedup, op5_chat_formatting, op7_byte_bpe, op8_decontamination, op9_minhash_near_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
