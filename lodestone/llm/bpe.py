@@ -297,8 +297,8 @@ class Encoder:
     def _pieces(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return pieces_by_runs(raw, offsets, self.v.classes) if self.v.classes is not None else pieces_by_pattern(raw, offsets, self.v.pattern)
 
-    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids joined, offsets of the rows in them)."""
+    def encode(self, raw: np.ndarray, offsets: np.ndarray, prove: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(ids joined, offsets of the rows in them); without proof two pieces could share a hash (2**-64 a pair)."""
         start = self._pieces(raw, offsets)
         size = np.diff(np.append(start, len(raw)))
         h, place, piece = np.unique(word_hashes(raw, start, start + size, seed=7), return_index=True, return_inverse=True)
@@ -320,8 +320,8 @@ class Encoder:
         at = at[piece]
         ids = gather(self.ids, self.first[at], self.count[at])
         ends = np.concatenate([[0], np.cumsum(self.count[at])])
-        out = ends[np.searchsorted(start, offsets)], ids
-        return self._proved(raw, offsets, out[1], out[0])
+        rows = ends[np.searchsorted(start, offsets)]
+        return self._proved(raw, offsets, ids, rows) if prove else (ids, rows)
 
     def _proved(self, raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         back = self.v.decode(ids)

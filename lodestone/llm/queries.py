@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, exact, html, langid, lines, neardup, pii
+from . import bpe, chat, decontam, exact, html, langid, lines, lm, neardup, pii
 from .common import LOWER, UPPER, table
 
 
@@ -30,6 +30,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_digest(table(spark, sf_dir, "conversations"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -47,7 +51,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_html_extraction, op3_language_id, op4_line_dedup, op5_chat_formatting, op7_byte_bpe, op8_decontamination, op9_minhash_near_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_html_extraction, op3_language_id, op4_line_dedup, op5_chat_formatting, op6_lm_scoring, op7_byte_bpe, op8_decontamination, op9_minhash_near_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
