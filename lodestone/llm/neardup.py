@@ -8,14 +8,14 @@ the probability of their (weighted) Jaccard similarity. Ranks are followed up to
 DARTS * coordinates darts whatever the length; the few rows with an empty coordinate go on to twice that rank.
 
 Equal sets collapse to their largest id. Bands of ROWS coordinates make buckets; in a bucket, members are compared with its pivot,
-the member with most company in all buckets. Members that fail stay, and meet more pivots in further rounds (1, 2, 4, ... a
-bucket) until they are linked, are in the class of all others there, or no pivot is left: linear for true groups, and no link
-inside a bucket is lost to a bad pivot. Every compared pair is verified by the exact Jaccard similarity of the whole
+the member with most company in all buckets. Members of other classes than that pivot meet more of them in further rounds
+(1, 8 and 64 a bucket, by hash, most company first): every pair of a bucket of up to 64 members of different classes is
+tried at last, give or take hash collisions, and larger ones cost a bounded multiple of their members; as a pair of similarity
+0.8 shares ten buckets on average, each with its own pivots, a link that joins classes is hard to miss. Every compared pair is verified by the exact Jaccard similarity of the whole
 sets (32-bit shingle hashes). With 30 bands of 5, a pair of similarity 0.8 meets with probability 0.999993.
 Classes are the connected components of the verified links, by min-label propagation with pointer jumping in tables.
 
-Buckets and sets with over 1/2048 of the rows are broadcast as single rows; sets of pivots with many comparisons are
-replicated over salts. Nothing is collected but counts.
+Buckets and sets with over 1/2048 of the rows are broadcast as single rows. Nothing is collected but counts.
 
 Defined results: texts without words (null, empty) are classes of their own; rows that repeat an id are one document, in
 the class with the largest class_id that its texts have; a null id joins the class of equal sets and no other; an empty
@@ -41,7 +41,6 @@ BANDS, ROWS = 30, 5
 DARTS = 10.0
 SLICE_BYTES, SLICE_ROWS = 4 << 20, 1500
 RANK_BITS, RANK_MAX = 45, 64.0
-PIVOT_SHARE = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -182,21 +181,15 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets are that similar. Sets of partners b with many pairs are replicated over salts."""
-    n = pairs.count()
-    limit = max(64, n // PIVOT_SHARE)
-    many = pairs.groupBy("b").count().where(F.col("count") > limit).select("b", F.ceil(F.col("count") / limit).cast("int").alias("salts"))
-    left = pairs.join(F.broadcast(many), "b", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
-    partners = sets.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    partners = partners.join(F.broadcast(many), "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))).drop("salts")
-    both = left.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(partners, ["b", "salt"]).select("a", "b", "set_a", "set_b")
+    """The pairs (a, b) whose sets are that similar. Partners with very many pairs are left to the adaptive skew join."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [jaccard(x.as_py(), y.as_py()) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame, name: str = "near-labels") -> DataFrame:
@@ -213,41 +206,63 @@ def components(links: DataFrame, name: str = "near-labels") -> DataFrame:
             return labels
 
 
-def links_of(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
-    """Verified links (a, b) among the members (bucket, id); None if no bucket has two."""
-    total = buckets.count()
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    live = written(join_groups(buckets, written(sizes, "near-sizes"), ["bucket"], "size", total), "near-live")
-    n = live.count()
-    if not n:
+def links_of(own: DataFrame, similarity: float, bands: int) -> DataFrame | None:
+    """Verified links (a, b) among the rows (id, bands, set): enough of them to join each class. None if no bucket has two.
+
+    A first lot of FIRST_BANDS bands joins most classes. Of the other bands only buckets with several classes are looked at; in both, a
+    member meets only pivots of other classes, so that little is left to compare, and pairs that failed aren't tried again.
+    """
+    every = own.select("id", F.posexplode("bands").alias("band", "bucket"))
+    crowd = written(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-crowd")
+    total = crowd.agg(F.sum("size")).first()[0] or 0
+    if not total:
         return None
-    company = live.groupBy("id").agg(F.sum("size").alias("company"))
-    live = written(live.join(company, "id").select("bucket", "id", "company"), "near-company")
-    open_, links, slots = live.select("bucket", "id"), None, 1
-    while True:
-        slot = F.pmod(F.xxhash64("id", F.lit(slots)), F.lit(slots))
-        best = live.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("company", "id")).alias("best"), F.count(F.lit(1)).alias("members"))
-        pivots = written(best.select("bucket", F.col("best.id").alias("pivot"), "members"), "near-pivots")
-        # a pivot meets the open members of its bucket
-        met = written(_meet(open_, pivots, n).where("id <> pivot"), "near-met")
-        if not met.limit(1).count():
-            return links
-        pairs = written(met.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "near-pairs")
-        good = written(verified(pairs, sets, similarity), "near-links")
-        links = good if links is None else written(links.union(good).distinct(), "near-links")
-        # still open: members that passed with none of the bucket's pivots, and aren't in one class with all its members
-        passed = met.join(good.select(F.col("a").alias("id"), F.col("b").alias("pivot")), ["id", "pivot"]).select("bucket", "id").distinct()
-        left = met.select("bucket", "id").distinct().join(passed, ["bucket", "id"], "left_anti")
-        if not left.limit(1).count():
-            return links
-        left = written(left, "near-left")
-        concerned = live.join(left.select("bucket").distinct(), "bucket", "left_semi")
-        labels = components(links)
-        marked = written(concerned.join(labels, "id", "left").select("bucket", "id", "company", F.coalesce("label", "id").alias("label")), "near-marked")
-        split = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        live = written(marked.join(split, "bucket", "left_semi").join(pivots.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "company"), "near-company")
-        open_ = written(left.join(split, "bucket", "left_semi"), "near-open")
-        slots *= 2
+    shared = written(join_groups(every, crowd, ["bucket"], "size", total), "near-shared")
+    company = written(shared.groupBy("id").agg(F.sum("size").alias("company")), "near-company")
+    shared = written(shared.join(company, "id").select("bucket", "band", "id", "company"), "near-members")
+    sets = written(own.select("id", "set").join(company.select("id"), "id", "left_semi"), "near-sets")
+    links, labels, tested = None, None, None
+    for lot, slots in ((F.col("band") < FIRST_BANDS, PIVOTS[:2]), (F.col("band") >= FIRST_BANDS, PIVOTS)):
+        live = shared.where(lot).select("bucket", "id", "company")
+        open_ = None
+        for k, n in enumerate(slots):
+            marked = _marked(live, labels)
+            if labels is not None:
+                mixed = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+                live = written(join_groups(marked, written(mixed.select("bucket", "size"), "near-mixed"), ["bucket"], "size", total).select("bucket", "id", "company", "label"), "near-live")
+                marked = live
+            slot = F.pmod(F.xxhash64("id", F.lit(n)), F.lit(n))
+            best = marked.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("company", "id", "label")).alias("best"), F.count(F.lit(1)).alias("members"))
+            pivots = written(best.select("bucket", F.col("best.id").alias("pivot"), F.col("best.label").alias("of"), "members"), "near-pivots")
+            asking = marked if open_ is None else open_.join(marked.select("bucket", "id", "label"), ["bucket", "id"])
+            met = _meet(asking.select("bucket", "id", "label"), pivots, total).where("id <> pivot and label <> of")
+            met = written(met.select("bucket", "id", "pivot"), "near-met")
+            pairs = met.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+            pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            good = written(verified(pairs, sets, similarity), "near-good")
+            if good.limit(1).count():
+                links = good if links is None else links.unionByName(good)
+                labels = components(links)
+            if k + 1 < len(slots):
+                # members that met a pivot and may have to meet more; used pivots are no pivots again
+                open_ = written(met.select("bucket", "id").distinct(), "near-open")
+                if not open_.limit(1).count():
+                    break
+                live = live.select("bucket", "id", "company").join(open_.select("bucket").distinct(), "bucket", "left_semi")
+    return links
+
+
+#: Pivots a bucket in successive rounds, and the bands of the first lot.
+PIVOTS, FIRST_BANDS = (1, 8, 64), 4
+
+
+def _marked(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """rows with the label of their id, itself where it has no link."""
+    rows = rows.select("bucket", "id", "company")
+    if labels is None:
+        return rows.withColumn("label", F.col("id"))
+    return rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
 def _meet(open_: DataFrame, pivots: DataFrame, total: int) -> DataFrame:
@@ -262,12 +277,13 @@ def _meet(open_: DataFrame, pivots: DataFrame, total: int) -> DataFrame:
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, class_id, class_size, kept) of every distinct id: its class's largest id, the ids there, and whether it is that id."""
     sketch = written(sketches(docs, id_col, text_col, width, bands, rows), "near-sketches")
-    ids = sketch.select("id", "s1", "s2").distinct()
+    ids = written(sketch.select("id", "s1", "s2").distinct(), "near-ids")
     same = written(ids.groupBy("s1", "s2").agg(F.max("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "near-copies")
-    member = written(join_groups(written(ids, "near-ids"), same, ["s1", "s2"], "copies", sketch.count()).select("id", "rep"), "near-members")
-    own = sketch.join(same.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"], "left_semi")
-    buckets = written(own.select(F.explode("bands").alias("bucket"), "id").distinct(), "near-buckets")
-    links = links_of(buckets, sketch.join(same.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "set"), similarity)
+    member = written(join_groups(ids, same, ["s1", "s2"], "copies", sketch.count()).select("id", "rep"), "near-members")
+    own = sketch.join(same.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"], "left_semi").select("id", "bands", "set")
+    if same.select("rep").distinct().count() < same.count() or sketch.count() > ids.count():  # ids with several texts or rows
+        own = written(own.dropDuplicates(["id"]), "near-own")
+    links = links_of(own, similarity, bands)
     if links is None:
         classes = same.select("rep", F.col("rep").alias("label"), "copies")
     else:
