@@ -283,6 +283,7 @@ def page_subtrees(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", out_col: str = "text", min_parents: int = MIN_PARENTS) -> DataFrame:
     """pages with out_col, the main text."""
+    pages = pages.drop("__page", "__drops")
     found = written(page_subtrees(pages, id_col, url_col, html_col), "html-subtrees")
     known = found.groupBy("host", "hash", "parent").agg(F.count(F.lit(1)).alias("n")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("parents"), F.sum("n").alias("n"))
     known = written(known.where(F.col("parents") >= min_parents).select("host", "hash", "n"), "html-templates")

@@ -128,6 +128,7 @@ def kept_lines(lines: Column, drops: Column) -> Column:
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = BATCHES) -> DataFrame:
     """docs with text_col rewritten, and n_lines and n_dropped added under the names __n_lines and __n_dropped."""
+    docs = docs.drop("__id", "__drops", "__n_lines", "__n_dropped")
     drops = dropped_positions(docs, id_col, text_col, min_chars, min_docs, batches).select(F.col("id").alias("__id"), F.col("drops").alias("__drops"))
     joined = docs.join(drops.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id")), "left")
     lines = lines_of(F.col(text_col))
