@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -104,8 +105,10 @@ class PageParts(HTMLParser):
         elif tag == "table":
             self.table = []
         elif tag == "tr" and self.table is not None:
+            self.close_cell()
             self.table.append([])
         elif tag in ("td", "th") and self.table:
+            self.close_cell()
             self.cell = [tag, []]
 
     def handle_endtag(self, tag):
@@ -119,15 +122,18 @@ class PageParts(HTMLParser):
         elif tag == "figure" and self.figure:
             self.add("figure", "".join(self.figure["caption"]) or self.figure["alt"], url=self.figure["url"])
             self.figure, self.tag = None, ""
-        elif tag in ("td", "th") and self.cell:
-            self.table[-1].append((self.cell[0], " ".join("".join(self.cell[1]).split())))
-            self.cell = None
+        elif tag in ("td", "th", "tr"):
+            self.close_cell()
         elif tag == "table" and self.table is not None:
+            self.close_cell()
             self._table()
 
-    def _table(self) -> None:
-        import json
+    def close_cell(self) -> None:
+        if self.cell and self.table:
+            self.table[-1].append((self.cell[0], " ".join("".join(self.cell[1]).split())))
+        self.cell = None
 
+    def _table(self) -> None:
         rows = [r for r in self.table if r]
         self.table = None
         if rows:
