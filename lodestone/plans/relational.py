@@ -36,8 +36,23 @@ def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in QUERIES.items()}
 
 
+#: Columns whose SQL type is wider than the query's.
+TYPES = {
+    **dict.fromkeys(("w02_document_order", "w14_line_flow", "t15_media_order", "t16_url_priority", "t19_severity_order", "t20_results_first"), ("place", "INTEGER")),
+    "j06_hydrate": ("meta", "INTEGER"), "a24_votes": ("score", "DOUBLE"), "t13_detail_ranking": ("i", "INTEGER"), "d16_merge_compact_detail": ("k", "INTEGER"), "c08_profiles": ("threshold", "DOUBLE"),
+}
+
+
+def typed(name: str, sql: str) -> str:
+    """The SQL with the query's own column types."""
+    if name not in TYPES:
+        return sql
+    column, kind = TYPES[name]
+    return f"SELECT * REPLACE (CAST({column} AS {kind}) AS {column}) FROM ({sql})"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in QUERIES.items() if sql}
+    return {k: typed(k, sql) for k, (_, sql) in QUERIES.items() if sql}
 
 
 # joins
@@ -529,14 +544,14 @@ def t14_fixed_priority(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", place.alias("place")).orderBy("place", "o_orderkey").limit(5)
 
 
-@query("""SELECT p_partkey, row_number() OVER (ORDER BY CASE p_brand[-1] WHEN '1' THEN 0 WHEN '2' THEN 1 ELSE 2 END + CASE WHEN p_size > 25 THEN 10 ELSE 0 END, p_size, p_partkey) AS place FROM part""")
+@query("""SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE p_size % 3 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END + CASE WHEN p_size > 25 THEN 10 ELSE 0 END, p_size, p_partkey) AS place FROM part""")
 def t15_media_order(spark, sf):
-    """Places over all media; at scale the order is per document, so the window is partitioned there."""
+    """Places of the media of each document."""
     from pyspark.sql import Window
 
-    kind = F.when(F.substring("p_brand", -1, 1) == "1", "figure").when(F.substring("p_brand", -1, 1) == "2", "table").otherwise("text")
+    kind = F.when(F.col("p_size") % 3 == 1, "figure").when(F.col("p_size") % 3 == 2, "table").otherwise("text")
     order = O.media_order(kind, F.col("p_size") > 25, F.concat(F.lit("Figure "), F.col("p_size")), F.col("p_partkey"))
-    return table(spark, sf, "part").select("p_partkey", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    return table(spark, sf, "part").select("p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy(*order)).alias("place"))
 
 
 @query("SELECT page_id, url, row_number() OVER (PARTITION BY regexp_extract(url, '://([^/]+)', 1) ORDER BY (url LIKE '%.html') DESC, contains(url, '?') DESC, page_id) AS place FROM pages")
@@ -615,14 +630,15 @@ def d14_url_dedupe(spark, sf):
 NEAR = """(contains(x, y) OR contains(y, x) OR len(list_intersect(u, v)) / greatest(len(u), len(v))::DOUBLE >= 0.82 OR (len(list_intersect(u, v)) / least(len(u), len(v))::DOUBLE >= 0.90 AND len(list_intersect(u, v)) / greatest(len(u), len(v))::DOUBLE >= 0.56))"""
 
 
-@query(f"""WITH k AS (SELECT doc_id, source, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+(?:\\.[0-9]+)?')[1:12], ' ') AS key FROM documents),
+@query(f"""WITH k AS (SELECT min(doc_id) AS doc_id, source, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+(?:\\.[0-9]+)?')[1:12], ' ') AS key FROM documents GROUP BY 2, 3),
     p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.key AS x, b.key AS y, list_distinct(string_split(a.key, ' ')) AS u, list_distinct(string_split(b.key, ' ')) AS v,
           list_position(list_transform(list_zip(string_split(a.key, ' '), string_split(b.key, ' ')), lambda z: coalesce(z[1] = z[2], false)), false) - 1 AS lcp, least(len(string_split(a.key, ' ')), len(string_split(b.key, ' '))) AS short
-          FROM k a JOIN k b ON a.source = b.source AND a.doc_id < b.doc_id AND a.key <> '' AND b.key <> '' AND string_split(a.key, ' ')[1] = string_split(b.key, ' ')[1])
+          FROM k a JOIN k b ON a.source = b.source AND a.doc_id < b.doc_id AND a.key <> '' AND b.key <> '' AND string_split(a.key, ' ')[1:3] = string_split(b.key, ' ')[1:3])
     SELECT a, b FROM p WHERE {NEAR} OR (short >= 10 AND CASE WHEN lcp IS NULL OR lcp < 0 THEN short ELSE least(lcp, short) END / short::DOUBLE >= 0.86)""")
 def d06_near_duplicate_heads(spark, sf):
-    """Pairs of one source whose opening statements begin with the same word and say the same."""
-    k = table(spark, sf, "documents").select("doc_id", "source", F.array_join(F.slice(X.canonical_tokens(F.col("text")), 1, 12), " ").alias("key")).where("key <> ''").withColumn("first", F.element_at(F.split("key", " "), 1))
+    """Pairs of different opening statements of one source that begin with the same three words and say the same; copies are one statement, with its first document."""
+    head = table(spark, sf, "documents").select("doc_id", "source", F.array_join(F.slice(X.canonical_tokens(F.col("text")), 1, 12), " ").alias("key")).where("key <> ''")
+    k = head.groupBy("source", "key").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.slice(F.split("key", " "), 1, 3))
     pairs = k.select("source", "first", F.col("doc_id").alias("a"), F.col("key").alias("x")).join(k.select("source", "first", F.col("doc_id").alias("b"), F.col("key").alias("y")), ["source", "first"]).where("a < b")
     return pairs.where(S.near_duplicate(F.col("x"), F.col("y"))).select("a", "b")
 

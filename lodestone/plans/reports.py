@@ -40,7 +40,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in QUERIES.items() if sql}
+    return {k: L.typed(k, sql) for k, (_, sql) in QUERIES.items() if sql}
 
 
 S_ = f"WITH s AS ({STATEMENTS_SQL})"
