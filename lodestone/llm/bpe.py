@@ -32,8 +32,9 @@ from pyspark.sql import types as T
 from .textnum import K1, code_points, slices, utf8, with_columns, word_hashes
 
 SLICE_BYTES = 1 << 20
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
 MATRIX_BYTES = 256
+PIECE_SEED = 7
 NONE = np.int32(2**31 - 1)
 
 #: The pre-tokenisation pattern that pieces_by_runs() follows.
@@ -106,6 +107,16 @@ class Vocabulary:
         self.token_start = np.concatenate([[0], np.cumsum(size)[:-1]])
         self.token_bytes = np.frombuffer(b"".join(by_rank.get(i, b"") for i in range(len(size))), np.uint8)
         self.classes = char_classes() if pattern == RUNS_PATTERN else None
+        own = np.flatnonzero(size)
+        hashes = word_hashes(self.token_bytes, self.token_start[own], self.token_start[own] + size[own], seed=PIECE_SEED)
+        order = np.argsort(hashes)
+        self.whole_hashes, self.whole_ids = hashes[order], own[order].astype(np.int32)
+
+    def whole(self, h: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Ids of pieces that are tokens, by hash and length, -1 for the others."""
+        at = np.minimum(np.searchsorted(self.whole_hashes, h), len(self.whole_hashes) - 1)
+        ids = self.whole_ids[at]
+        return np.where((self.whole_hashes[at] == h) & (self.token_size[ids] == size), ids, -1).astype(np.int32)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of the ids, joined."""
@@ -250,9 +261,9 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def encode_pieces(raw: np.ndarray, start: np.ndarray, size: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """(ids joined, ids a piece) of raw[start:start+size]."""
-    whole = np.array([vocabulary.ranks.get(raw[s : s + n].tobytes(), -1) for s, n in zip(start, size, strict=True)], np.int32)
+def encode_pieces(raw: np.ndarray, start: np.ndarray, size: np.ndarray, vocabulary: Vocabulary, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids joined, ids a piece) of raw[start:start+size]. Pieces that are tokens are known by the hashes h, or without them by their bytes."""
+    whole = vocabulary.whole(h, size) if h is not None else np.array([vocabulary.ranks.get(raw[s : s + n].tobytes(), -1) for s, n in zip(start, size, strict=True)], np.int32)
     counts = np.ones(len(start), np.int64)
     todo = np.flatnonzero(whole < 0)
     found: list[tuple[np.ndarray, np.ndarray]] = []  # (pieces, padded ids)
@@ -301,7 +312,7 @@ class Encoder:
         """(ids joined, offsets of the rows in them); without proof two pieces could share a hash (2**-64 a pair)."""
         start = self._pieces(raw, offsets)
         size = np.diff(np.append(start, len(raw)))
-        h, place, piece = np.unique(word_hashes(raw, start, start + size, seed=7), return_index=True, return_inverse=True)
+        h, place, piece = np.unique(word_hashes(raw, start, start + size, seed=PIECE_SEED), return_index=True, return_inverse=True)
         at = np.searchsorted(self.hashes, h)
         known = at < len(self.hashes)
         known[known] = self.hashes[at[known]] == h[known]
@@ -310,11 +321,11 @@ class Encoder:
             if len(self.hashes) + len(new) > self.most:
                 self._forget()
                 new = np.arange(len(h))
-            ids, count = encode_pieces(raw, start[place[new]], size[place[new]], self.v)
-            hashes = np.concatenate([self.hashes, h[new]])
-            first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
-            order = np.argsort(hashes, kind="stable")
-            self.hashes, self.first, self.count = hashes[order], first[order], np.concatenate([self.count, count])[order]
+            ids, count = encode_pieces(raw, start[place[new]], size[place[new]], self.v, h[new])
+            into = np.searchsorted(self.hashes, h[new])  # both ascend: they merge in one pass
+            self.hashes = np.insert(self.hashes, into, h[new])
+            self.first = np.insert(self.first, into, len(self.ids) + np.cumsum(count) - count)
+            self.count = np.insert(self.count, into, count)
             self.ids = np.concatenate([self.ids, ids])
             at = np.searchsorted(self.hashes, h)
         at = at[piece]
