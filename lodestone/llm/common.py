@@ -45,13 +45,20 @@ def ascii_lower(c: Column) -> Column:
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-#: A key above this share of the rows is hot; there are fewer than so many of them, which bounds their broadcast.
+#: A key above this share of the rows, and above LEAST_HOT rows, is hot; there are fewer than so many of them, which bounds their broadcast.
 HOT_KEYS = 2048
+LEAST_HOT = 1000
+
+
+def hot_limit(total: int) -> int:
+    return max(LEAST_HOT, total // HOT_KEYS)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str, total: int) -> DataFrame:
-    """Inner join of rows with one row a group, where groups[size] counts the rows of each and total all of them: hot groups are broadcast (fewer than HOT_KEYS), the others meet by shuffle with few rows a key."""
-    limit = max(1, total // HOT_KEYS)
+    """Inner join of rows with one row a group (a written table), where groups[size] counts the rows of each and total all of them: hot groups, if any, are broadcast (fewer than HOT_KEYS), the others meet by shuffle with few rows a key."""
+    limit = hot_limit(total)
     hot = groups.where(F.col(size) > limit)
+    if not hot.limit(1).count():
+        return rows.join(groups, key)
     small = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(groups.where(F.col(size) <= limit), key)
     return rows.join(F.broadcast(hot), key).unionByName(small)
