@@ -9,9 +9,9 @@ DARTS * coordinates darts whatever the length; the few rows with an empty coordi
 
 Equal sets collapse to their largest id. Bands of ROWS coordinates make buckets; in a bucket, members are compared with its pivot,
 the member with most company in all buckets. Members of other classes than that pivot meet 8 more in a second
-round (by a hash that differs by bucket, most company first), so that a bucket costs a bounded multiple of its members; as a pair of similarity 0.8
-shares ten buckets on average, each with its own pivots, a link that joins classes is hard to miss: on 2440 near copies of
-one text, of which 1350 are one class and 1090 stand alone, the classes equal those of all pairs. Every compared pair is verified by the exact Jaccard similarity of the whole
+round (by a hash that differs by bucket, most company first). That joins most classes cheaply; then every pair of a bucket that is still
+of two classes is compared, in blocks of at most about BLOCK members, once however many buckets it shares. So the classes are those of all pairs that
+share a bucket, and a bucket whose members stay in many classes costs the square of its members. Every link is verified by the exact Jaccard similarity of the whole
 sets (32-bit shingle hashes). With 30 bands of 5, a pair of similarity 0.8 meets with probability 0.999993.
 Classes are the connected components of the verified links, by min-label propagation with pointer jumping in tables.
 
@@ -210,7 +210,8 @@ def labels_of(own: DataFrame, similarity: float, bands: int) -> DataFrame | None
     """(id, label) of the rows (id, bands, set) that verified links join to others: the least id of their class. None if there are no links.
 
     A first lot of FIRST_BANDS bands joins most classes. Of the other bands only buckets with several classes are looked at; in both, a
-    member meets only pivots of other classes, so that little is left to compare, and pairs that failed aren't tried again.
+    member meets only pivots of other classes, so that little is left to compare, and pairs that failed aren't tried again by pivots. What
+    no pivot settled is compared pair by pair (remaining_links).
     """
     every = own.select("id", F.posexplode("bands").alias("band", "bucket"))
     crowd = written(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-crowd")
@@ -220,7 +221,7 @@ def labels_of(own: DataFrame, similarity: float, bands: int) -> DataFrame | None
     shared = written(join_groups(every, crowd, ["bucket"], "size", total), "near-shared")
     company = written(shared.groupBy("id").agg(F.sum("size").alias("company")), "near-company")
     shared = written(shared.join(company, "id").select("bucket", "band", "id", "company"), "near-members")
-    sets = written(own.select("id", "set").join(company.select("id"), "id", "left_semi"), "near-sets")
+    sets = written(own.select("id", "bands", "set").join(company.select("id"), "id", "left_semi"), "near-sets")
     links, labels, tested = None, None, None
     for lot, slots in ((F.col("band") < FIRST_BANDS, PIVOTS[:2]), (F.col("band") >= FIRST_BANDS, PIVOTS)):
         live = shared.where(lot).select("bucket", "id", "company")
@@ -250,11 +251,86 @@ def labels_of(own: DataFrame, similarity: float, bands: int) -> DataFrame | None
                 if not open_.limit(1).count():
                     break
                 live = live.select("bucket", "id", "company").join(open_.select("bucket").distinct(), "bucket", "left_semi")
+    more = written(remaining_links(shared, labels, sets, total, similarity), "near-rest")
+    if more.limit(1).count():
+        labels = components(more if links is None else links.unionByName(more))
     return labels
 
 
 #: Pivots a bucket in successive rounds, and the bands of the first lot.
 PIVOTS, FIRST_BANDS = (1, 8), 4
+#: Members and bytes of sets of a block, on average; a bucket's blocks meet two by two.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
+
+
+def remaining_links(shared: DataFrame, labels: DataFrame | None, sets: DataFrame, total: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join all classes which any similar pair of a common bucket joins. Buckets of two have met their pivot and are settled."""
+    marked = _marked(shared, labels).join(sets.select("id", F.length("set").alias("bytes")), "id")
+    mixed = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes")).where("lo <> hi and size > 2")
+    mixed = written(mixed.select("bucket", "size", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "near-mixed")
+    live = join_groups(marked.select("bucket", "id", "label"), mixed, ["bucket"], "size", total)
+    live = live.withColumn("slot", F.pmod(F.xxhash64("bucket", "id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    placed = live.select("bucket", "id", "label", "slot", other.alias("other")).select("bucket", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "id", "label")
+    rows = placed.join(sets, "id").select("bucket", "i", "j", "slot", "id", "label", "bands", "set")
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "slot", "id").mapInArrow(lambda batches: _block_links(batches, similarity), "a long, b long").distinct()
+
+
+def _block_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """The links of each group (bucket, i, j) of rows that come in order: members of slot i with those of slot j."""
+
+    def finish(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        bucket, i, j = (rows.column(k)[0].as_py() for k in range(3))
+        slot, ids, labels = (rows.column(k).to_numpy() for k in (3, 4, 5))
+        bands = np.array(rows.column(6).combine_chunks().flatten()).reshape(len(ids), -1)
+        a, b = cross_links(bucket, int((slot == i).sum()) if i < j else None, ids, labels, bands, rows.column(7).to_pylist(), similarity)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+        edges = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        for p, q in zip([0, *edges], [*edges, len(keys)], strict=True):
+            if held and key != tuple(keys[p]):
+                yield finish(held)
+                held = []
+            key = tuple(keys[p])
+            held.append(batch.slice(p, q - p))
+    if held:
+        yield finish(held)
+
+
+def cross_links(bucket: int, left: int | None, ids: np.ndarray, labels: np.ndarray, bands: np.ndarray, sets: list[bytes], similarity: float) -> tuple[list[int], list[int]]:
+    """Links between the first `left` members and the others (None: among all), enough to join every class that a similar pair joins.
+
+    A pair is compared where its first common band has this bucket, if it is still of two classes and its sizes allow the
+    similarity. The count of common elements (repeats in a set counted, so not too low) chooses, the exact one decides.
+    """
+    labels, a, b = labels.copy(), [], []
+    size = np.array([len(s) // 4 for s in sets])
+    start = np.concatenate([[0], np.cumsum(size)])
+    values, code = np.unique(np.frombuffer(b"".join(sets), "<u4"), return_inverse=True)
+    mark = np.zeros(len(values), np.int32)
+    for p in range(len(ids) if left is None else left):
+        q0 = p + 1 if left is None else left
+        same = bands[q0:] == bands[p]
+        ok = (labels[q0:] != labels[p]) & (np.minimum(size[q0:], size[p]) >= similarity * np.maximum(size[q0:], size[p]) - 1e-6)
+        to = q0 + np.flatnonzero(ok & (bands[p][same.argmax(1)] == bucket))
+        if len(to) > 4:
+            own = code[start[p] : start[p + 1]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[code[start[q0] :]], start[q0:-1] - start[q0])[to - q0]
+            mark[own] = 0
+            to = to[common >= similarity * (size[to] + size[p] - common) - 1e-6]
+        for q in to:
+            if labels[q] != labels[p] and jaccard(sets[p], sets[q]) >= similarity:
+                a.append(int(ids[p]))
+                b.append(int(ids[q]))
+                labels[labels == labels[q]] = labels[p]
+    return a, b
 
 
 def _marked(rows: DataFrame, labels: DataFrame | None) -> DataFrame:

@@ -297,6 +297,16 @@ def test_near_classes_against_all_pairs(spark):
     assert all(x.class_size == sizes[x.class_id] and x.kept == (i == x.class_id) for i, x in got.items())
 
 
+@pytest.mark.parametrize("block", [2048, 60])
+def test_near_classes_in_large_buckets_of_classes_of_two(spark, monkeypatch, block):
+    """A family whose members are 0.78 alike, but 0.81 two by two: large buckets in which only pairs belong together."""
+    monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
+    family, n = [f"t{i}" for i in range(104)], 600
+    rows = [(i, " ".join([*family, *[f"p{i // 2}w{k}" for k in range(2)], *[f"d{i}w{k}" for k in range(12)]])) for i in range(n)]
+    got = {r.doc_id: (r.class_id, r.class_size) for r in neardup.near_classes(frame(spark, rows)).collect()}
+    assert got == {i: (i | 1, 2) for i in range(n)}
+
+
 def test_lm_base_scores(spark):
     rows = [(i, t) for i, t in ODD if len(t or "") < 1000] + [(500 + i, f"word{i % 5} and The the word") for i in range(60)]
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
