@@ -44,11 +44,11 @@ def oracle_sql() -> dict[str, str]:
 
 
 def document_chunks(docs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """(document_id, ord, anchor, content) of the paragraphs of at least min_paragraph characters, numbered by place; at most max_chunks a document."""
+    """(document_id, ord, anchor, content) of the paragraphs of at least min_paragraph characters, numbered by place; all of them, as text files have no limit (max_chunks is that of pages)."""
     lines = docs.select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", r"\n")).alias("i", "line"))
     rows = lines.select("document_id", "i", X.clean_space(F.col("line")).alias("content")).where(F.length("content") >= config.min_paragraph)
     w = Window.partitionBy("document_id").orderBy("i")
-    return rows.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= config.max_chunks).select("document_id", "ord", F.concat(F.lit("para:"), "ord").alias("anchor"), "content")
+    return rows.withColumn("ord", F.row_number().over(w)).select("document_id", "ord", F.concat(F.lit("para:"), "ord").alias("anchor"), "content")
 
 
 def packets_of(chunks: DataFrame) -> DataFrame:
