@@ -88,15 +88,15 @@ def d12_quota_sample(spark, sf):
 
 @query()
 def d07_greedy_statements(spark, sf):
-    """Sentences of each document's first section that repeat none before them."""
-    rows = packets_of(document_chunks(table(spark, sf, "documents"))).where("section = 'introduction'").withColumn("ord", F.col("chunk") * 1000 + F.col("pos"))
-    kept = folds.greedy_statements(rows, ["document_id"], "ord", "key")
-    return kept.select("document_id", F.size("kept").alias("kept"), F.array_join("kept", "|").alias("keys"))
+    """Sentences of each section of a document that repeat none before them there."""
+    rows = packets_of(document_chunks(table(spark, sf, "documents"))).withColumn("ord", F.struct("chunk", "pos"))
+    kept = folds.greedy_statements(rows, ["document_id", "section"], "ord", "key")
+    return kept.select("document_id", "section", F.size("kept").alias("kept"), F.array_join("kept", "|").alias("keys"))
 
 
 @query()
 def d08_merge_items(spark, sf):
-    rows = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("ord"), X.canonical(F.substring("text", 1, 200)).alias("key"), F.col("text").alias("statement"), F.array("role").alias("refs"), (F.length("text") % 100 / 100.0).alias("confidence"))
+    rows = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("ord"), X.canonical(F.col("text")).alias("key"), F.col("text").alias("statement"), F.array("role").alias("refs"), (F.length("text") % 100 / 100.0).alias("confidence"))
     return folds.merge_items(rows, ["conv_id"]).select("conv_id", "ord", "place", "confidence", F.size("refs").alias("n_refs"))
 
 
@@ -293,7 +293,7 @@ def c05_executive_summary(spark, sf):
 @query()
 def d06_near_duplicate_fold(spark, sf):
     """Conversation turns that say nothing new, by the greedy filter inside each conversation."""
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", X.canonical(F.substring("text", 1, 300)).alias("key"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", X.canonical(F.col("text")).alias("key"))
     return folds.greedy_statements(rows, ["conv_id"], "turn", "key").select("conv_id", F.size("kept").alias("kept"))
 
 

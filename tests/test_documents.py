@@ -9,3 +9,18 @@ def test_chunks_of_long_documents_are_whole(spark):
     assert [r.ord for r in rows] == list(range(1, 451)) and "number 449 " in rows[-1].content
     last = D.packets_of(D.document_chunks(docs)).where("chunk = 450").collect()
     assert [r.section for r in last] == ["conclusion"]
+
+
+def test_turns_that_differ_late_are_kept(spark, tmp_path):
+    same = " ".join(f"w{i}" for i in range(90))
+    ends = [" ".join(f"{x}{i}" for i in range(90)) for x in "ab"]
+    spark.createDataFrame([(1, t, "user", f"{same} {end}") for t, end in enumerate(ends)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [r.kept for r in D.d06_near_duplicate_fold(spark, str(tmp_path)).collect()] == [2]
+    assert D.d08_merge_items(spark, str(tmp_path)).count() == 2
+
+
+def test_statements_of_all_sections(spark, tmp_path):
+    lines = [" ".join(f"s{i}w{k}" for k in range(9)) + "." for i in range(11)]
+    spark.createDataFrame([(1, "\n".join([*lines, lines[-1]]))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.section: r.kept for r in D.d07_greedy_statements(spark, str(tmp_path)).collect()}
+    assert got == {"introduction": 3, "methods": 3, "results": 2, "discussion": 2, "conclusion": 1}
