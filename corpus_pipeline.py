@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontam, langid, lines, neardup
-from lodestone.llm.common import scratch, table
+from lodestone.llm.common import scratch, table, written
 
 
 def _columns(docs: DataFrame, names: list[str]) -> DataFrame:
@@ -31,11 +31,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the largest id of each class of near copies; rows that repeat as a whole count once."""
-    kept = neardup.near_classes(docs).where("kept").select(F.col("doc_id").alias("__kept"))
-    if docs.count() > docs.select("doc_id").distinct().count():
-        docs = docs.dropDuplicates()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").select(*docs.columns)
+    """The document with the largest id of each class of near copies. Of rows that repeat that id the greatest (by its columns in order) stays; rows without an id all stay."""
+    classes = written(neardup.near_classes(docs), "near-verdicts")
+    kept = classes.where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept"))
+    stay = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").select(*docs.columns)
+    unnamed = docs.where("doc_id is null")
+    rows, nameless = docs.count(), unnamed.count()
+    if rows - nameless > classes.where("doc_id is not null").count():
+        stay = stay.groupBy("doc_id").agg(F.max(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return stay.unionByName(unnamed) if nameless else stay
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

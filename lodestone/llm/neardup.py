@@ -7,32 +7,36 @@ under the element's weight. The earliest dart of a coordinate is the signature t
 the probability of their (weighted) Jaccard similarity. Ranks are followed up to DARTS / total weight, some
 DARTS * coordinates darts whatever the length; the few rows with an empty coordinate go on to twice that rank.
 
-Equal sets collapse to their largest id. Bands of ROWS coordinates make buckets; in a bucket, members are compared with its pivot,
-the member with most company in all buckets. Members of other classes than that pivot meet 8 more in a second
-round (by a hash that differs by bucket, most company first). That joins most classes cheaply; then every pair of a bucket that is still
-of two classes is compared, in blocks of at most about BLOCK members, once however many buckets it shares. So the classes are those of all pairs that
-share a bucket, and a bucket whose members stay in many classes costs the square of its members. Every link is verified by the exact Jaccard similarity of the whole
-sets (32-bit shingle hashes). With 30 bands of 5, a pair of similarity 0.8 meets with probability 0.999993.
-Classes are the connected components of the verified links, by min-label propagation with pointer jumping in tables.
-
-Buckets and sets with over 1/2048 of the rows are broadcast as single rows. Nothing is collected but counts.
-
-Defined results: texts without words (null, empty) are classes of their own; rows that repeat an id are one document, in
-the class with the largest class_id that its texts have; a null id joins the class of equal sets and no other; an empty
+Equal sets collapse to one node. Bands of ROWS coordinates make buckets; buckets with the same nodes count once. The nodes of a bucket meet
+in blocks of about BLOCK rows with their whole sets (32-bit shingle hashes), where every pair that is still of two classes is settled
+by its exact Jaccard similarity, most by the first comparison with the block's centre. A bucket of several blocks has one node in
+all of them; when the classes so far are known, its members of other classes meet all its blocks, two by two. So the classes are those of all
+similar pairs that share a bucket, whatever its size, and a bucket costs its members outside its largest class times all its
+members at most. With 30 bands of 5, a pair of similarity 0.8 meets with probability 0.999993. Classes are the connected components of the
+links, by min-label propagation with pointer jumping in tables.
+
+Similarity is that of sets of shingles, so each element weighs 1 and has one whole region; dart_signatures also takes weights.
+
+Buckets, sets and labels with over 1/2048 of the rows are broadcast as single rows. Nothing is collected but counts.
+
+Defined results: texts without words (null, empty) are classes of their own; rows that repeat an id are one document, whose
+texts all join its class; rows with a null id share one result, a class of their own with a null class_id; an empty
 table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hot_limit, join_groups, written
+from .common import discard, hot_limit, join_groups, written
 from .textnum import ALNUM, K1, K2, slices, utf8, words
 
 WIDTH = 5
@@ -136,13 +140,16 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-SKETCH = T.StructType([T.StructField("id", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("set", T.BinaryType())])
+SKETCH = T.StructType(
+    [T.StructField("row", T.LongType()), T.StructField("id", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("set", T.BinaryType())]
+)
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, s1, s2: hash of the set, bands, set: ascending 32-bit shingle hashes) of the texts with words."""
+    """A row for each of docs: row (its number), id, s1, s2 (hash of the set), size, bands, set (ascending 32-bit shingle hashes); all but row and id are null without words or id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             _, offsets = utf8(batch.column(1))
             for a, b in slices(offsets, SLICE_BYTES):
@@ -151,224 +158,254 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, ba
                     n = part.num_rows
                     row, s = shingles(part.column(1), width)
                     signature = dart_signatures(row, s, n, bands * rows)
-                    has = np.flatnonzero(np.bincount(row, minlength=n))
-                    first = np.searchsorted(row, has)
-                    ends = np.append(first[1:], len(row))
-                    x = s.astype(np.uint64)
-                    s1 = np.add.reduceat(mix(x), first) if len(has) else np.zeros(0, np.uint64)
-                    s2 = np.add.reduceat(mix(x ^ K1), first) if len(has) else np.zeros(0, np.uint64)
                     flat = (s >> 12).astype("<u4")
+                    new = np.ones(len(flat), bool)
+                    new[1:] = (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])
+                    x = s.astype(np.uint64)
+                    size = np.bincount(row[new], minlength=n)
+                    none = (size == 0) | ~part.column(0).is_valid().to_numpy(zero_copy_only=False)
+                    has = np.flatnonzero(np.bincount(row, minlength=n))
+                    s1, s2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+                    if len(has):
+                        first = np.searchsorted(row, has)
+                        s1[has], s2[has] = np.add.reduceat(mix(x), first), np.add.reduceat(mix(x ^ K1), first)
+                    ends = np.concatenate([[0], np.cumsum(size)])
+                    flat = flat[new]
+                    hashes = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(band_hashes(signature, bands, rows).ravel()), mask=pa.array(none))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            part.column(0).take(pa.array(has)), pa.array(s1.astype(np.int64)), pa.array(s2.astype(np.int64)),
-                            pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1) * bands, pa.int32()), pa.array(band_hashes(signature[has], bands, rows).ravel())),
-                            pa.array([flat[p:q].tobytes() for p, q in zip(first, ends, strict=True)], pa.binary()),
+                            pa.array(np.arange(number, number + n), pa.int64()), part.column(0), pa.array(s1.astype(np.int64), mask=none), pa.array(s2.astype(np.int64), mask=none), pa.array(size.astype(np.int32), mask=none), hashes,
+                            pa.array([None if no else flat[p:q].tobytes() for p, q, no in zip(ends, ends[1:], none, strict=False)], pa.binary()),
                         ],
                         names=SKETCH.names,
-                    )
+                    )
+                    number += n
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, SKETCH)
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    both = np.concatenate([x, y])
-    both.sort()
-    common = int((both[1:] == both[:-1]).sum())
-    # equal hashes inside one set (rare) are counted out
-    common -= int((x[1:] == x[:-1]).sum()) + int((y[1:] == y[:-1]).sum())
-    return common / max(1, len(both) - common)
+class Sets:
+    """Sets of 32-bit hashes of a block's rows, one after the other, as dense codes."""
 
+    def __init__(self, sets: list[bytes]):
+        self.size = np.array([len(s) // 4 for s in sets], np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.size)])
+        values, self.code = np.unique(np.frombuffer(b"".join(sets), "<u4"), return_inverse=True)
+        self.mark = np.zeros(len(values), np.int32)
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets are that similar. Partners with very many pairs are left to the adaptive skew join."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+    def centre(self) -> int:
+        """The row whose elements most rows hold."""
+        company = np.bincount(self.code)[self.code]
+        return int((np.add.reduceat(company, self.start[:-1]) / self.size).argmax())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [jaccard(x.as_py(), y.as_py()) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    def similarity(self, p: int, others: np.ndarray) -> np.ndarray:
+        """Jaccard similarity of row p with each of the others."""
+        own = self.code[self.start[p] : self.start[p + 1]]
+        self.mark[own] = 1
+        if 4 * len(others) > len(self.size):
+            common = np.add.reduceat(self.mark[self.code], self.start[:-1])[others]
+        else:
+            common = np.array([self.mark[self.code[self.start[q] : self.start[q + 1]]].sum() for q in others])
+        self.mark[own] = 0
+        return common / (self.size[others] + self.size[p] - common)
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
+def block_links(nodes: np.ndarray, labels: np.ndarray, left: int | None, sets: list[bytes], similarity: float) -> list[tuple[int, int]]:
+    """Links that join every class which a similar pair joins: of a row before `left` with a later one (None: of any two rows).
 
-def components(links: DataFrame, name: str = "near-labels") -> DataFrame:
-    """(id, label) of the ids in links (a, b): the least id of the connected component."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), name)
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), name)
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("id")).agg(F.min("l").alias("l"))
-        step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "l").alias("label"))
-        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("top"))
-        new = written(step.join(jump, "label").select("id", "old", F.least("label", "top").alias("label")), name)
-        labels, changed = new.select("id", "label"), new.where("label <> old").limit(1).count()
-        if not changed:
-            return labels
+    Labels are the classes known so far. Rows are compared with all rows of other classes, one row at a time; those in the class of
+    the first row, the block's centre, need not take their turn, as a pair of two classes has a row outside that one. Sizes
+    that rule the similarity out aren't counted.
+    """
+    x, links = Sets(sets), []
+    _, label = np.unique(labels, return_inverse=True)
+    asked = np.arange(len(nodes)) < (len(nodes) if left is None else left)
+    done = np.zeros(len(nodes), bool)
+    partner = np.ones(len(nodes), bool) if left is None else ~asked
+    first = x.centre() if left is None else None
+    for p in np.flatnonzero(asked) if first is None else [first, *np.flatnonzero(np.arange(len(nodes)) != first)]:
+        if first is not None and p != first and label[p] == label[first]:
+            continue
+        done[p] = True
+        may = partner & (label != label[p]) & ~done
+        may &= np.minimum(x.size, x.size[p]) >= similarity * np.maximum(x.size, x.size[p]) - 1e-9
+        others = np.flatnonzero(may)
+        if not len(others):
+            continue
+        for q in others[x.similarity(int(p), others) >= similarity - 1e-9]:
+            if label[q] != label[p]:
+                links.append((int(nodes[p]), int(nodes[q])))
+                label[label == label[q]] = label[p]
+    return links
 
 
-def labels_of(own: DataFrame, similarity: float, bands: int) -> DataFrame | None:
-    """(id, label) of the rows (id, bands, set) that verified links join to others: the least id of their class. None if there are no links.
+def linked(rows: DataFrame, key: list[str], similarity: float) -> DataFrame:
+    """Links (a, b) of the blocks of rows (key, side, node, label, set); side 0 meets side 1 where there is a side 1, else itself."""
 
-    A first lot of FIRST_BANDS bands joins most classes. Of the other bands only buckets with several classes are looked at; in both, a
-    member meets only pivots of other classes, so that little is left to compare, and pairs that failed aren't tried again by pivots. What
-    no pivot settled is compared pair by pair (remaining_links).
-    """
-    every = own.select("id", F.posexplode("bands").alias("band", "bucket"))
-    crowd = written(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-crowd")
-    total = crowd.agg(F.sum("size")).first()[0] or 0
+    def finish(parts: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        own = pa.Table.from_batches(parts).combine_chunks()
+        side, nodes, labels = (own.column(len(key) + k).to_numpy() for k in range(3))
+        left = int((side == 0).sum())
+        if not left:
+            return []
+        sets = own.column(len(key) + 3).to_pylist()
+        return block_links(nodes, labels, left if left < len(side) else None, sets, similarity)
+
+    def batch_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, out = [], None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy() for k in range(len(key))], 1)
+            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for p, q in zip([0, *edges], [*edges, len(keys)], strict=True):
+                if held and last != tuple(keys[p]):
+                    out += finish(held)
+                    held = []
+                last = tuple(keys[p])
+                held.append(batch.slice(p, q - p))
+            if len(out) >= 10_000:
+                yield batch_of(out)
+                out = []
+        yield batch_of(out + (finish(held) if held else []))
+
+    columns = [*key, "side", "node", "label", "set"]
+    return rows.select(columns).repartition(*key).sortWithinPartitions(*key, "side", "node").mapInArrow(run, "a long, b long")
+
+
+#: Members and elements of a block, on average.
+BLOCK, BLOCK_SIZE = 2048, 4 << 20
+
+
+def shared_buckets(reps: DataFrame) -> DataFrame | None:
+    """(bucket, members, blocks, node) of the buckets with several nodes, from (node, size, bands); of buckets with the same nodes one stands for all. None if there are none."""
+    every = reps.select("node", "size", F.explode("bands").alias("bucket"))
+    members = every.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("members"), F.sum("size").alias("elements"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")
+    ).where("members > 1")
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.max("elements") / BLOCK_SIZE)).cast("int")
+    crowd = written(members.groupBy("members", "x1", "x2").agg(F.min("bucket").alias("bucket"), blocks.alias("blocks")).select("bucket", "members", "blocks"), "near-crowd")
+    total = crowd.agg(F.sum("members")).first()[0] or 0
     if not total:
         return None
-    shared = written(join_groups(every, crowd, ["bucket"], "size", total), "near-shared")
-    company = written(shared.groupBy("id").agg(F.sum("size").alias("company")), "near-company")
-    shared = written(shared.join(company, "id").select("bucket", "band", "id", "company"), "near-members")
-    sets = written(own.select("id", "bands", "set").join(company.select("id"), "id", "left_semi"), "near-sets")
-    links, labels, tested = None, None, None
-    for lot, slots in ((F.col("band") < FIRST_BANDS, PIVOTS[:2]), (F.col("band") >= FIRST_BANDS, PIVOTS)):
-        live = shared.where(lot).select("bucket", "id", "company")
-        open_ = None
-        for k, n in enumerate(slots):
-            marked = _marked(live, labels)
-            if labels is not None:
-                mixed = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-                live = written(join_groups(marked, written(mixed.select("bucket", "size"), "near-mixed"), ["bucket"], "size", total).select("bucket", "id", "company", "label"), "near-live")
-                marked = live
-            slot = F.pmod(F.xxhash64("bucket", "id", F.lit(n)), F.lit(n))
-            best = marked.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("company", "id", "label")).alias("best"), F.count(F.lit(1)).alias("members"))
-            pivots = written(best.select("bucket", F.col("best.id").alias("pivot"), F.col("best.label").alias("of"), "members"), "near-pivots")
-            asking = marked if open_ is None else open_.join(marked.select("bucket", "id", "label"), ["bucket", "id"])
-            met = _meet(asking.select("bucket", "id", "label"), pivots, total).where("id <> pivot and label <> of")
-            met = written(met.select("bucket", "id", "pivot"), "near-met")
-            pairs = met.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-            pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            good = written(verified(pairs, sets, similarity), "near-good")
-            if good.limit(1).count():
-                links = good if links is None else links.unionByName(good)
-                labels = components(links)
-            if k + 1 < len(slots):
-                # members that met a pivot and may have to meet more; used pivots are no pivots again
-                open_ = written(met.select("bucket", "id").distinct(), "near-open")
-                if not open_.limit(1).count():
-                    break
-                live = live.select("bucket", "id", "company").join(open_.select("bucket").distinct(), "bucket", "left_semi")
-    more = written(remaining_links(shared, labels, sets, total, similarity), "near-rest")
-    if more.limit(1).count():
-        labels = components(more if links is None else links.unionByName(more))
-    return labels
+    out = written(join_groups(every.select("bucket", "node"), crowd, ["bucket"], "members", total), "near-shared")
+    discard(crowd)
+    return out
 
 
-#: Pivots a bucket in successive rounds, and the bands of the first lot.
-PIVOTS, FIRST_BANDS = (1, 8), 4
-#: Members and bytes of sets of a block, on average; a bucket's blocks meet two by two.
-BLOCK, BLOCK_BYTES = 2048, 16 << 20
+def slot_of() -> Column:
+    return F.pmod(F.xxhash64("bucket", "node"), F.col("blocks")).cast("int")
 
 
-def remaining_links(shared: DataFrame, labels: DataFrame | None, sets: DataFrame, total: int, similarity: float) -> DataFrame:
-    """Links (a, b) that join all classes which any similar pair of a common bucket joins. Buckets of two have met their pivot and are settled."""
-    marked = _marked(shared, labels).join(sets.select("id", F.length("set").alias("bytes")), "id")
-    mixed = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes")).where("lo <> hi and size > 2")
-    mixed = written(mixed.select("bucket", "size", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "near-mixed")
-    live = join_groups(marked.select("bucket", "id", "label"), mixed, ["bucket"], "size", total)
-    live = live.withColumn("slot", F.pmod(F.xxhash64("bucket", "id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = live.select("bucket", "id", "label", "slot", other.alias("other")).select("bucket", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "id", "label")
-    rows = placed.join(sets, "id").select("bucket", "i", "j", "slot", "id", "label", "bands", "set")
-    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "slot", "id").mapInArrow(lambda batches: _block_links(batches, similarity), "a long, b long").distinct()
+def links_in_blocks(shared: DataFrame, sets: DataFrame, large: bool, similarity: float) -> DataFrame:
+    """Links within blocks. The node that stands for a bucket of several blocks is in each of them, which joins most of what blocks part."""
+    rows = shared.select("bucket", slot_of().alias("slot"), "node")
+    if large:
+        heads = shared.where("blocks > 1").groupBy("bucket").agg(F.min("node").alias("node"), F.max("blocks").alias("blocks"))
+        rows = rows.unionByName(heads.select("bucket", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != slot_of())).alias("slot"), "node"))
+    return linked(rows.join(sets, "node").withColumn("side", F.lit(0)).withColumn("label", F.col("node")), ["bucket", "slot"], similarity)
 
 
-def _block_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """The links of each group (bucket, i, j) of rows that come in order: members of slot i with those of slot j."""
+def links_across_blocks(shared: DataFrame, sets: DataFrame, labels: DataFrame | None, similarity: float) -> DataFrame:
+    """Links between blocks of a bucket: members outside the class of the bucket's head, in blocks, meet each block of the bucket."""
+    large = shared.where("blocks > 1").select("bucket", "blocks", "node")
+    if labels is None:
+        marked = large.withColumn("label", F.col("node"))
+    else:
+        marked = large.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    marked = written(marked, "near-marked")
+    head = marked.groupBy("bucket").agg(F.min_by("label", "node").alias("main"), F.max("blocks").alias("n"))
+    other = marked.join(F.broadcast(head.select("bucket", "main")) if _few(head) else head.select("bucket", "main"), "bucket").where("label <> main")
+    other = written(other.select("bucket", "blocks", "node", "label"), "near-other")
+    asking = other.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("turns"))
+    asking = written(asking, "near-asking")
+    few = F.broadcast(asking) if _few(asking) else asking
+    side0 = other.join(few, "bucket").select("bucket", F.pmod(F.xxhash64("node", F.lit(3)), F.col("turns")).cast("int").alias("turn"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("slot"), F.lit(0).alias("side"), "node", "label")
+    side1 = marked.join(few, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), slot_of().alias("slot"), F.lit(1).alias("side"), "node", "label")
+    return linked(side0.unionByName(side1).join(sets, "node"), ["bucket", "turn", "slot"], similarity)
 
-    def finish(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(parts).combine_chunks()
-        bucket, i, j = (rows.column(k)[0].as_py() for k in range(3))
-        slot, ids, labels = (rows.column(k).to_numpy() for k in (3, 4, 5))
-        bands = np.array(rows.column(6).combine_chunks().flatten()).reshape(len(ids), -1)
-        a, b = cross_links(bucket, int((slot == i).sum()) if i < j else None, ids, labels, bands, rows.column(7).to_pylist(), similarity)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    held, key = [], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
-        edges = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-        for p, q in zip([0, *edges], [*edges, len(keys)], strict=True):
-            if held and key != tuple(keys[p]):
-                yield finish(held)
-                held = []
-            key = tuple(keys[p])
-            held.append(batch.slice(p, q - p))
-    if held:
-        yield finish(held)
-
-
-def cross_links(bucket: int, left: int | None, ids: np.ndarray, labels: np.ndarray, bands: np.ndarray, sets: list[bytes], similarity: float) -> tuple[list[int], list[int]]:
-    """Links between the first `left` members and the others (None: among all), enough to join every class that a similar pair joins.
-
-    A pair is compared where its first common band has this bucket, if it is still of two classes and its sizes allow the
-    similarity. The count of common elements (repeats in a set counted, so not too low) chooses, the exact one decides.
-    """
-    labels, a, b = labels.copy(), [], []
-    size = np.array([len(s) // 4 for s in sets])
-    start = np.concatenate([[0], np.cumsum(size)])
-    values, code = np.unique(np.frombuffer(b"".join(sets), "<u4"), return_inverse=True)
-    mark = np.zeros(len(values), np.int32)
-    for p in range(len(ids) if left is None else left):
-        q0 = p + 1 if left is None else left
-        same = bands[q0:] == bands[p]
-        ok = (labels[q0:] != labels[p]) & (np.minimum(size[q0:], size[p]) >= similarity * np.maximum(size[q0:], size[p]) - 1e-6)
-        to = q0 + np.flatnonzero(ok & (bands[p][same.argmax(1)] == bucket))
-        if len(to) > 4:
-            own = code[start[p] : start[p + 1]]
-            mark[own] = 1
-            common = np.add.reduceat(mark[code[start[q0] :]], start[q0:-1] - start[q0])[to - q0]
-            mark[own] = 0
-            to = to[common >= similarity * (size[to] + size[p] - common) - 1e-6]
-        for q in to:
-            if labels[q] != labels[p] and jaccard(sets[p], sets[q]) >= similarity:
-                a.append(int(ids[p]))
-                b.append(int(ids[q]))
-                labels[labels == labels[q]] = labels[p]
-    return a, b
-
-
-def _marked(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """rows with the label of their id, itself where it has no link."""
-    rows = rows.select("bucket", "id", "company")
-    if labels is None:
-        return rows.withColumn("label", F.col("id"))
-    return rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+def _few(rows: DataFrame, most: int = 1 << 16) -> bool:
+    """Whether the rows, of a few numbers each, are few enough to broadcast."""
+    return rows.limit(most + 1).count() <= most
 
 
-def _meet(open_: DataFrame, pivots: DataFrame, total: int) -> DataFrame:
-    """(bucket, id, label, pivot, of): open members with each pivot of their bucket; pivots of hot buckets, if any, are broadcast."""
-    limit = hot_limit(total)
-    hot = pivots.where(F.col("members") > limit).drop("members")
-    if not hot.limit(1).count():
-        return open_.join(pivots.drop("members"), "bucket")
-    warm = open_.join(F.broadcast(hot), "bucket")
-    return warm.unionByName(open_.join(pivots.where(F.col("members") <= limit).drop("members"), "bucket"))
+def components(links: DataFrame, name: str = "near-labels") -> DataFrame:
+    """(id, label) of the ids in links (a, b): the least id of the connected component."""
+    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), name)
+    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.col("a").alias("old"), F.least("a", "m").alias("label")), name)
+    while True:
+        now = labels.select("id", "label")
+        near = both.join(now.select(F.col("id").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("id")).agg(F.min("l").alias("l"))
+        step = now.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "l").alias("label"))
+        jump = now.select(F.col("id").alias("label"), F.col("label").alias("top"))
+        new = written(step.join(jump, "label").select("id", "old", F.least("label", "top").alias("label")), name)
+        discard(labels)
+        labels = new
+        if not new.where("label <> old").limit(1).count():
+            discard(both)
+            return new
+
+
+def labels_of(reps: DataFrame, sets: DataFrame, same_id: DataFrame | None, similarity: float) -> DataFrame | None:
+    """(id, label) of the nodes that links join to others: the least node of their class. None if there are no links. same_id: links between texts of one id."""
+    shared = shared_buckets(reps)
+    parts = [] if same_id is None else [same_id]
+    if shared is not None:
+        large = shared.where("blocks > 1").limit(1).count() > 0
+        parts.append(written(links_in_blocks(shared, sets, large, similarity), "near-links"))
+    links = reduce(DataFrame.unionByName, parts) if parts else None
+    labels = None if links is None or not links.limit(1).count() else components(links)
+    if shared is not None and large:
+        more = written(links_across_blocks(shared, sets, labels, similarity), "near-more")
+        parts.append(more)
+        if more.limit(1).count():
+            discard(labels)
+            labels = components(reduce(DataFrame.unionByName, parts))
+    discard(shared, *parts)
+    return labels
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, class_id, class_size, kept) of every distinct id: its class's largest id, the ids there, and whether it is that id."""
+    """(id, class_id, class_size, kept) of every distinct id: its class's largest id, the rows there, and whether it is that id."""
     sketch = written(sketches(docs, id_col, text_col, width, bands, rows), "near-sketches")
-    ids = written(sketch.select("id", "s1", "s2").distinct(), "near-ids")
-    same = written(ids.groupBy("s1", "s2").agg(F.max("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "near-copies")
-    member = written(join_groups(ids, same, ["s1", "s2"], "copies", sketch.count()).select("id", "rep"), "near-members")
-    own = sketch.join(same.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"], "left_semi").select("id", "bands", "set")
-    if same.select("rep").distinct().count() < same.count() or sketch.count() > ids.count():  # ids with several texts or rows
-        own = written(own.dropDuplicates(["id"]), "near-own")
-    labels = labels_of(own, similarity, bands)
+    same = sketch.where("s1 is not null").groupBy("s1", "s2").agg(F.min("row").alias("node"), F.max("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    same = written(same, "near-copies")
+    with_words = sketch.where("s1 is not null").select("row", "id", "s1", "s2", "size", "bands")
+    member = join_groups(with_words, same, ["s1", "s2"], "copies", sketch.count())
+    member = written(member.select("id", "node", "rep", "copies", *[F.when(F.col("row") == F.col("node"), F.col(c)).alias(c) for c in ("size", "bands")]), "near-members")
+    wordless = sketch.where("s1 is null").select("id", *[F.lit(None).cast("long").alias(c) for c in ("node", "rep", "copies")])
+    by_id = member.select("id", "node", "rep", "copies").unionByName(wordless).groupBy("id").agg(
+        F.min(F.when(F.col("node").isNotNull(), F.struct("node", "rep", "copies"))).alias("own"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")
+    )
+    by_id = written(by_id.select("id", "own.node", "own.rep", "own.copies", "last", "n"), "near-ids")
+    several = by_id.where("last > node")
+    same_id = None
+    if several.limit(1).count():  # ids with several texts
+        several = written(several.select("id", F.col("node").alias("b"), "n"), "near-several")
+        same_id = written(join_groups(member.select("id", F.col("node").alias("a")), several, ["id"], "n", sketch.count()).where("a <> b").select("a", "b").distinct(), "near-same-id")
+        discard(several)
+    reps = member.where("bands is not null").select("node", "size", "bands")
+    sets = sketch.where("set is not null").select(F.col("row").alias("node"), "set")
+    labels = labels_of(reps, sets, same_id, similarity)
     if labels is None:
-        classes = same.select("rep", F.col("rep").alias("label"), "copies")
+        discard(sketch, member, same)
+        out = by_id.withColumn("class_id", F.col("rep")).withColumn("class_size", F.col("copies"))
     else:
-        classes = same.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"), "copies")
-    classes = written(classes, "near-classes")
-    tops = written(classes.groupBy("label").agg(F.max("rep").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("sets")), "near-tops")
-    of_set = written(join_groups(classes.select("label", "rep", "copies"), tops, ["label"], "sets", classes.count()).select("rep", "class_id", "class_size", "copies"), "near-sets")
-    with_words = join_groups(member, of_set, ["rep"], "copies", member.count()).groupBy("id").agg(F.max(F.struct("class_id", "class_size")).alias("c")).select("id", "c.class_id", "c.class_size")
-    every = docs.select(F.col(id_col).cast("long").alias("id")).distinct()
-    out = every.join(with_words, every["id"].eqNullSafe(with_words["id"]), "left").select(every["id"], F.coalesce("class_id", every["id"]).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
-    return out.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+        classes = written(same.join(labels.select(F.col("id").alias("node"), "label"), "node").select("node", "rep", "copies", "label"), "near-classes")
+        tops = written(classes.groupBy("label").agg(F.max("rep").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("sets")), "near-tops")
+        of_node = written(join_groups(classes.select("label", "node", "copies"), tops, ["label"], "sets", classes.count()).select("node", "class_id", "class_size", "copies"), "near-of-node")
+        discard(sketch, member, same, labels, classes, tops)
+        limit = hot_limit(by_id.count())
+        hot, cold = [of_node.where(F.col("copies") > limit), of_node.where(F.col("copies") <= limit)]
+        parts = [by_id.where(F.coalesce("copies", F.lit(0)) <= limit).join(cold.drop("copies"), "node", "left")]
+        if hot.limit(1).count():
+            parts.append(by_id.where(F.col("copies") > limit).join(F.broadcast(hot.drop("copies")), "node", "left"))
+        else:
+            parts.append(by_id.where(F.col("copies") > limit).select("node", "id", "rep", "copies", "last", "n", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("class_size")))
+        out = reduce(DataFrame.unionByName, parts)
+    class_id = F.coalesce("class_id", "rep", "id")
+    return out.select(F.col("id").alias(id_col), class_id.alias("class_id"), F.coalesce("class_size", "copies", "n").cast("long").alias("class_size"), F.col("id").eqNullSafe(class_id).alias("kept"))

@@ -293,10 +293,51 @@ def test_near_classes_against_all_pairs(spark):
     got = {r.doc_id: r for r in neardup.near_classes(frame(spark, rows)).collect()}
     want = brute_classes(rows)
     assert {i: x.class_id for i, x in got.items()} == want
-    sizes = Counter(want.values())
+    sizes = Counter(want[i] for i, _ in rows)
     assert all(x.class_size == sizes[x.class_id] and x.kept == (i == x.class_id) for i, x in got.items())
 
 
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_near_classes_of_ids_with_several_texts(spark, parts):
+    """An id's texts join its class, however the rows lie; rows without an id have a class of their own."""
+    a, b, c = ([f"{k}{i}" for i in range(60)] for k in "abc")
+    near = lambda w, x: " ".join([*w[:-1], x])
+    rows = [(10, " ".join(a)), (10, " ".join(b)), (3, near(a, "x")), (4, near(b, "y")), (4, near(b, "y")), (5, " ".join(c)), (None, " ".join(a)), (None, " ".join(c)), (7, None), (7, near(c, "z")), (8, ""), (8, "")]
+    got = {r.doc_id: (r.class_id, r.class_size, r.kept) for r in neardup.near_classes(frame(spark, rows).repartition(parts)).collect()}
+    assert got == {10: (10, 5, True), 3: (10, 5, False), 4: (10, 5, False), 5: (7, 2, False), 7: (7, 2, True), 8: (8, 2, True), None: (None, 2, True)}
+
+
+def test_near_classes_reads_its_own_columns_only(spark):
+    rows = [(1, "a b c d e f g h", 5, "n"), (2, "a b c d e f g h", 6, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node long, bands string")
+    assert {(r.doc_id, r.class_id) for r in neardup.near_classes(docs).collect()} == {(1, 2), (2, 2)}
+
+
+def test_block_links_join_what_all_pairs_join():
+    r = random.Random(8)
+    for trial in range(60):
+        base = [sorted(r.sample(range(400), 40)) for _ in range(3)]
+        sets = []
+        for _ in range(r.randrange(2, 30)):
+            own = set(r.choice(base)) ^ set(r.sample(range(400), r.randrange(0, 8)))
+            sets.append(np.array(sorted(own), "<u4").tobytes())
+        nodes, labels = np.arange(len(sets)) + 100, np.array([r.randrange(len(sets)) for _ in sets]) if trial % 2 else np.arange(len(sets))
+        left = r.randrange(1, len(sets)) if trial % 3 == 0 else None
+        own = [set(np.frombuffer(x, "<u4").tolist()) for x in sets]
+
+        def classes(links):
+            top = {("n", int(n)): ("l", int(k)) for n, k in zip(nodes, labels, strict=True)}
+            find = lambda x: find(top[x]) if top.get(x, x) != x else x
+            for a, b in links:
+                x, y = find(("n", int(a))), find(("n", int(b)))
+                if x != y:
+                    top[x] = y
+            return {frozenset(int(n) for n in nodes if find(("n", int(n))) == k) for k in {find(("n", int(n))) for n in nodes}}
+
+        every = [(nodes[i], nodes[j]) for i in range(len(sets)) for j in range(i + 1, len(sets)) if (left is None or i < left <= j) and len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j])]
+        assert classes(neardup.block_links(nodes, labels, left, sets, 0.8)) == classes(every)
+
+
 @pytest.mark.parametrize("block", [2048, 60])
 def test_near_classes_in_large_buckets_of_classes_of_two(spark, monkeypatch, block):
     """A family whose members are 0.78 alike, but 0.81 two by two: large buckets in which only pairs belong together."""
