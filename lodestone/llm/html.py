@@ -3,9 +3,12 @@
 Pass one walks every page and gives each container element a hash of its subtree (tag, class, texts, children) and of its
 parent's. Spark counts, for each host, under how many different parents a subtree stands; counting
 parents and not pages keeps whole copies of an article from looking like a template. Subtrees under at least min_parents
-parents of a host are its templates. Pass two walks the pages again with the hashes to delete, drops what by tag, role
-or class is a menu, header, footer, sidebar, notice, advert, form, script, style or comment, and returns the text of the articles
-(else of the main element, else of the body).
+parents of a host are its templates. Pass two walks the pages again with the hashes to delete, drops what by tag or role
+is a menu, header, footer, sidebar, notice, advert, form, script, style or comment, and returns the text of the articles
+(else of the main element, else of the body). What recurs nowhere, as comments and single adverts, is known by class and id: by a
+whole name such as `comments` or `sidebar-box`, each part of which names boilerplate or a place, never by a part of another name
+(`has-sidebar`, `share-price`). Such an element goes only if it holds no article or main element; one that does is a wrapper, whose
+articles are taken where the page has no article or main text outside such wrappers.
 
 Headings and paragraphs of an article, articles themselves and what holds them are never templates. A paragraph outside
 any article counts as one only from MIN_TEMPLATE_CHARS code points on. Walking is a loop over tags with a stack, so
@@ -58,6 +61,8 @@ NAMES = frozenset(
     "login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended recommendations related replies "
     "reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+#: Words that may stand beside one of NAMES in a class or id.
+PLACES = frozenset("area articles bar block body button buttons bottom box column container entry form global group inline inner icons item items left link links list main media meta mobile module more news outer panel posts primary reader readers right row secondary section site slot social stories thread top unit user users wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
 TAG = re.compile(
@@ -76,25 +81,30 @@ def text_hash(s: str) -> int:
 _TAG_HASHES: dict[str, int] = {}
 
 
-def named_boilerplate(tag: str, attributes: str) -> tuple[bool, str]:
-    """(whether class, id or role name boilerplate, the class and id)."""
-    bad, names = False, []
+def names_boilerplate(name: str) -> bool:
+    """Whether a whole class or id says so: one of NAMES, beside others of them or PLACES at most."""
+    words = {w.lower() for w in PARTS.findall(name)}
+    return not NAMES.isdisjoint(words) and words <= NAMES | PLACES | {w for w in words if w.isdigit()}
+
+
+def marked_boilerplate(tag: str, attributes: str) -> tuple[bool, bool, str]:
+    """(whether role or state say that it is none of the text, whether class or id name boilerplate, the class and id)."""
+    hidden, named, names = False, False, []
     for m in ATTRIBUTE.finditer(attributes):
         kind, value = m[1].lower(), (m[2] or "").strip("\"'")
         if kind in ("class", "id"):
             names.append(value)
-            words = {w.lower() for w in PARTS.findall(value)}
             if tag in NAMED:
-                bad = bad or not NAMES.isdisjoint(words)
+                named = named or any(map(names_boilerplate, value.split()))
             elif tag == "article":
-                bad = bad or not {"comment", "reply", "related", "promo", "ad", "advert"}.isdisjoint(words)
+                hidden = hidden or not {"comment", "reply", "related", "promo", "ad", "advert"}.isdisjoint(w.lower() for w in value.split())
         elif kind == "role":
-            bad = bad or value.lower() in ROLES
+            hidden = hidden or value.lower() in ROLES
         elif kind == "style":
-            bad = bad or HIDDEN.search(value) is not None
+            hidden = hidden or HIDDEN.search(value) is not None
         elif kind == "hidden" or value.lower() == "true":
-            bad = True
-    return bad and tag not in ("html", "body", "main"), " ".join(names)
+            hidden = True
+    return hidden and tag not in ("html", "body", "main"), named, " ".join(names)
 
 
 BREAK = None
@@ -105,12 +115,13 @@ class Walk:
 
     def __init__(self, page: str, drops: frozenset[int] = frozenset()):
         self.out: list[str | None] = []  # pieces of text; None parts blocks
-        self.regions: dict[str, list[tuple[int, int]]] = {"article": [], "main": []}
+        self.regions: dict[str, list[tuple[int, int, bool]]] = {"article": [], "main": []}  # with whether a named wrapper is around it
+        self.named: list[tuple[int, int, bool]] = []  # what class or id name, with whether it holds an article
         self.found: list[list] = []  # [hash, index of the parent's record]
         self.hashes: list[int] = []  # of closed elements by number
         self.drops = drops
-        # of an open element: tag, number, hash so far, skipped, first piece, code points, whether it holds an article, region, only headings, inside (1 article, 2 main)
-        self.stack: list[list] = [["#", 0, 1, False, 0, 0, False, None, False, 0]]
+        # of an open element: tag, number, hash so far, skipped, first piece, code points, whether it holds an article, region, only headings, inside (1 article, 2 main, 4 named), whether it is named
+        self.stack: list[list] = [["#", 0, 1, False, 0, 0, False, None, False, 0, False]]
         self.numbers = 1
         self.parents: list[int] = [0]
         self._run(page)
@@ -165,7 +176,7 @@ class Walk:
             if not top[3]:
                 self.out.append(BREAK if tag == "hr" else " " if tag == "br" else "")
             return
-        bad, names = named_boilerplate(tag, attributes) if attributes else (False, "")
+        bad, named, names = marked_boilerplate(tag, attributes) if attributes else (False, False, "")
         skipped = top[3] or bad or tag in DROP
         inside = top[9] & 1
         heads = top[8]
@@ -174,7 +185,8 @@ class Walk:
         if tag in BLOCK:
             self.out.append(BREAK)
         region = tag if tag in self.regions and not skipped else None
-        self.stack.append([tag, self.numbers, (_tag_hash(tag) * 31 + (text_hash(names) if names else 7)) & M64, skipped, len(self.out), 0, False, region, heads, top[9] | {"article": 1, "main": 2}.get(tag, 0)])
+        named = named and not skipped
+        self.stack.append([tag, self.numbers, (_tag_hash(tag) * 31 + (text_hash(names) if names else 7)) & M64, skipped, len(self.out), 0, False, region, heads, top[9] | {"article": 1, "main": 2}.get(tag, 0) | 4 * named, named])
         self.parents.append(top[1])
         self.numbers += 1
         if attributes.endswith("/") and tag in ("svg", "math", "path"):
@@ -204,17 +216,21 @@ class Walk:
                 return
 
     def _pop(self) -> None:
-        tag, number, h, skipped, first, chars, holds, region, _, _ = self.stack.pop()
+        tag, number, h, skipped, first, chars, holds, region, _, inside, named = self.stack.pop()
         top = self.stack[-1]
         top[2] = (top[2] * 1099511628211 + h) & M64
         top[5] += chars
-        top[6] = top[6] or holds or tag in ("article", "main")
-        if chars and not holds and (tag in CONTAINER or (tag in ("p", "li", "span") and chars >= MIN_TEMPLATE_CHARS and not top[9])):
+        top[6] = top[6] or holds or region is not None
+        if chars and not holds and (tag in CONTAINER or (tag in ("p", "li", "span") and chars >= MIN_TEMPLATE_CHARS and not top[9] & 3)):
             self.found.append([h, number])
             if h in self.drops:
                 del self.out[first:]
+                while self.named and self.named[-1][0] >= first:
+                    self.named.pop()
         if region is not None:
-            self.regions[region].append((first, len(self.out)))
+            self.regions[region].append((first, len(self.out), bool(inside & 4)))
+        if named:
+            self.named.append((first, len(self.out), holds))
         if tag in BLOCK:
             self.out.append(BREAK)
         while len(self.hashes) <= number:
@@ -226,16 +242,26 @@ class Walk:
         self.hashes[0] = self.stack[0][2]
         return {(h, self.hashes[self.parents[number]]) for h, number in self.found}
 
+    def _between(self, a: int, b: int, wrappers: bool) -> list[str | None]:
+        """The pieces from a to b without what is named; wrappers: nor named elements that hold articles, if they begin there."""
+        out, at = [BREAK], a
+        for x, y, holds in sorted(self.named, key=lambda n: (n[0], -n[1])):
+            if x >= at and y <= b and (wrappers or not holds):
+                out += self.out[at:x]
+                at = y
+        return [*out, *self.out[at:b], BREAK]
+
     def text(self) -> str:
-        for kind in ("article", "main"):
-            spans: list[tuple[int, int]] = []
-            for a, b in sorted(self.regions[kind], key=lambda x: (x[0], -x[1])):
-                if b > a and (not spans or a >= spans[-1][1]):  # not inside another
-                    spans.append((a, b))
-            found = blocks_of([p for a, b in spans for p in (BREAK, *self.out[a:b], BREAK)])
-            if found:
-                return found
-        return blocks_of(self.out)
+        for wrapped in (False, True):
+            for kind in ("article", "main"):
+                spans: list[tuple[int, int]] = []
+                for a, b, inside in sorted(self.regions[kind], key=lambda x: (x[0], -x[1])):
+                    if b > a and inside == wrapped and (not spans or a >= spans[-1][1]):  # not inside another
+                        spans.append((a, b))
+                found = blocks_of([p for a, b in spans for p in self._between(a, b, not wrapped)])
+                if found:
+                    return found
+        return blocks_of(self._between(0, len(self.out), False))
 
 
 def _tag_hash(tag: str) -> int:
