@@ -12,7 +12,7 @@ calibrates rejection: a text is accepted if its cross-entropy is at most what ow
 their spread, which shrinks with the root of the length, plus `slack` nats.
 
 Training reads a bounded sample: about SAMPLE_DOCS whole documents a language, chosen by a hash of their text among the
-labelled rows, of which at most SAMPLE_CHARS characters are used. The alphabet is the sample's ALPHABET most frequent
+labelled rows, of which some SAMPLE_CHARS characters are used. It runs in one task, so that neither texts nor tables lie in the driver. The alphabet is the sample's ALPHABET most frequent
 letters. Both are parameters. Predictions read every text whole.
 
 Defined results: a text that is null or has no letter is `und` with score 0 and is rejected; equal cross-entropies go
@@ -21,9 +21,11 @@ to the first language by name; without labelled rows all texts are `und`; other
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -207,20 +209,28 @@ def char_table(texts: list[str], alphabet: int) -> np.ndarray:
     return out
 
 
-def fit(sample: dict[str, list[str]], order: int = ORDER, chars: int = SAMPLE_CHARS, alphabet: int = ALPHABET) -> LanguageModel:
+def halves(texts: Iterable[str], chars: int) -> tuple[list[str], list[str]]:
+    """(training, calibration) texts in order, of about so many characters each at most: every tenth text with letters calibrates. Each half has a text if there is one."""
+    train, held, used = [], [], [0, 0]
+    for i, t in enumerate(t for t in texts if any(c.isalpha() for c in t)):
+        side = int(i % 10 == 9)
+        if used[side] < chars:
+            (train, held)[side].append(t)
+            used[side] += len(t)
+    return train, held or train[:1]
+
+
+def fit(sample: dict[str, Iterable[str]], chars: int = SAMPLE_CHARS, **options) -> LanguageModel:
     """A model from texts by language; every tenth text calibrates."""
-    model = LanguageModel(langs=sorted(k for k, v in sample.items() if any(any(c.isalpha() for c in t) for t in v)))
+    return fit_halves({k: halves(v, chars) for k, v in sample.items()}, **options)
+
+
+def fit_halves(parted: dict[str, tuple[list[str], list[str]]], order: int = ORDER, alphabet: int = ALPHABET) -> LanguageModel:
+    """A model from (training, calibration) texts by language."""
+    model = LanguageModel(langs=sorted(k for k, (own, _) in parted.items() if own))
     if not model.langs:
         return model
-    train, held = {}, {}
-    for k in model.langs:
-        texts = [t for t in sample[k] if any(c.isalpha() for c in t)]
-        held[k] = texts[9::10] or texts[:1]
-        pool, train[k], used = [t for i, t in enumerate(texts) if i % 10 != 9] or texts, [], 0
-        for t in pool:
-            if used < chars:
-                train[k].append(t)
-                used += len(t)
+    train, held = {k: parted[k][0] for k in model.langs}, {k: parted[k][1] for k in model.langs}
     model.char_ids = char_table([t for v in train.values() for t in v], min(alphabet, (1 << WIDTH) - 8))
     size = int(model.char_ids.max()) + 1
     parts = []
@@ -260,34 +270,57 @@ def fit(sample: dict[str, list[str]], order: int = ORDER, chars: int = SAMPLE_CH
     return model
 
 
-def sample_of(docs: DataFrame, labelled: Column, text_col: str, lang_col: str, docs_a_lang: int) -> dict[str, list[str]]:
-    """About docs_a_lang whole texts of each language among the rows where labelled holds, chosen by hash."""
+class Packed:
+    """A fitted model as bytes, which the driver passes on; a worker unpacks them once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.model = data, None
+
+    def __getstate__(self) -> dict:
+        return {"data": self.data, "model": None}
+
+    def unpacked(self) -> LanguageModel:
+        if self.model is None:
+            self.model = pickle.loads(self.data)
+        return self.model
+
+
+def sample_of(docs: DataFrame, labelled: Column, text_col: str, lang_col: str, docs_a_lang: int) -> DataFrame | None:
+    """(lang, h, text): about docs_a_lang whole texts of each language among the rows where labelled holds, chosen by the hash h. None without labelled rows."""
     rows = docs.where(labelled & F.col(lang_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not counts:
-        return {}
+        return None
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, docs_a_lang / n))])
     unit = F.pmod(F.xxhash64(F.col(text_col), F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    chosen = rows.where(F.col(text_col).isNotNull() & (unit < share[F.col(lang_col)])).select(lang_col, text_col, F.xxhash64(text_col).alias("h"))
+    chosen = rows.where(F.col(text_col).isNotNull() & (unit < share[F.col(lang_col)])).select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     # texts with many copies may exceed their share: equal texts count once
-    out: dict[str, list] = {}
-    for lang, text, h in chosen.dropDuplicates([lang_col, "h"]).toLocalIterator():
-        out.setdefault(lang, []).append((h, text))
-    return {k: [t for _, t in sorted(v)] for k, v in out.items()}
+    return chosen.dropDuplicates(["lang", "h"])
 
 
-def train(docs: DataFrame, labelled: Column, text_col: str = "text", lang_col: str = "lang", docs_a_lang: int = SAMPLE_DOCS, **options) -> LanguageModel:
-    return fit(sample_of(docs, labelled, text_col, lang_col, docs_a_lang), **options)
+def train(docs: DataFrame, labelled: Column, text_col: str = "text", lang_col: str = "lang", docs_a_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, **options) -> Packed:
+    """Fits a model in one task, which reads the bounded sample in order and holds so many characters a language; the driver gets the model's bytes."""
+    sample = sample_of(docs, labelled, text_col, lang_col, docs_a_lang)
+    if sample is None:
+        return Packed(pickle.dumps(LanguageModel()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((k, t) for batch in batches for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        model = fit_halves({k: halves((t for _, t in own), chars) for k, own in groupby(rows, key=lambda x: x[0])}, **options)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    ordered = sample.repartition(1).sortWithinPartitions("lang", "h").select("lang", "text")
+    return Packed(bytes(ordered.mapInArrow(run, "model binary").first()[0]))
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", spreads: float = 8.0, slack: float = 1.0) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel | Packed, text_col: str = "text", spreads: float = 8.0, slack: float = 1.0) -> DataFrame:
     """docs with lang_pred, score, entropy (nats a character, null for `und`) and accepted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model if isinstance(model, Packed) else Packed(pickle.dumps(model)))
     add = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("entropy", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
     schema = T.StructType([*[f for f in docs.schema.fields if f.name not in {a.name for a in add}], *add])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = shared.value.unpacked()
         for batch in batches:
             raw, offsets = utf8(batch.column(text_col))
             for i, j in slices(offsets, SLICE_BYTES):
