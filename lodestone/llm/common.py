@@ -42,11 +42,23 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Writes df in the shared folder as a table of so many buckets by key, each sorted: what joins or groups several such tables by key needs no exchange."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    table_name = f"lodestone_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table_name)
+    out = spark.table(table_name)
+    out.scratch_path, out.scratch_table = path, table_name
+    return out
+
+
 def discard(*tables: DataFrame | None) -> None:
-    """Deletes what written() wrote for these tables; nothing that is still to run may read them."""
+    """Deletes what written() or bucketed() wrote for these tables; nothing that is still to run may read them."""
     for df in tables:
         path = vars(df).get("scratch_path") if df is not None else None
         if path:
+            if name := vars(df).get("scratch_table"):
+                df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
             jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)

@@ -71,12 +71,26 @@ def test_line_dedup(spark, batches):
     assert sorted(map(tuple, lines.line_digest(frame(spark, rows), batches=batches).collect())) == expected_lines(rows)
 
 
-def test_line_runs_give_owner_once(spark):
-    store = lines.LineRuns(fanout=2)
-    for batch in ([("a", 9), ("b", 9)], [("a", 5), ("c", 5)], [("a", 1), ("c", 1)]):
+@pytest.mark.parametrize("fanout", [2, 5])
+def test_line_runs_share_no_key_and_need_no_exchange(spark, fanout):
+    store = lines.LineRuns(4, fanout)
+    for batch in ([("a", 9), ("b", 9)], [("a", 5), ("c", 5)], [("a", 1), ("c", 1), ("a", 1)]):
         store.add(spark.createDataFrame(batch, "key string, id long"))
-    assert len(store.runs()) < 3
-    assert {(r.key, r.docs, r.owner) for r in store.merged().collect()} == {("a", 3, 9), ("b", 1, 9), ("c", 2, 5)}
+    assert sorted((r.key, r.owner) for run in store.runs() for r in run.collect()) == [("a", 9), ("b", 9), ("c", 5)]
+    assert len(store.runs()) == (3 if fanout == 5 else 2)
+    plan = store.tallies[1].join(store.runs()[0].select("key").hint("merge"), "key", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert {(r.key, r.docs, r.owner) for r in store.repeated(1).collect()} == {("a", 3, 9), ("b", 1, 9), ("c", 2, 5)}
+    store.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lodestone_line")]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_line_dedup_of_ids_with_several_texts(spark, parts):
+    line = "a line that many documents hold"
+    rows = [(3, "unique line that nobody else holds\nb"), (3, f"{line}\nc"), (3, f"x\n{line}"), (4, line), (5, line), (None, f"{line}\ny"), (None, None), (5, f"{line}\n{line}\nz"), (5, "only here, in the id that owns it")]
+    got = sorted(map(tuple, lines.line_digest(frame(spark, rows).repartition(parts), batches=3).collect()), key=str)
+    assert got == sorted([(i, len((t or "").split("\n")), *own) for i, t in rows for kept in [[x for x in (t or "").split("\n") if x != line or i == 5]] for own in [(len((t or "").split("\n")) - len(kept), sha("\n".join(kept)))]], key=str)
 
 
 def test_clashing_columns_are_carried(spark):
