@@ -306,7 +306,7 @@ def links_in_blocks(shared: DataFrame, sets: DataFrame, large: bool, similarity:
     if large:
         heads = shared.where("blocks > 1").groupBy("bucket").agg(F.min("node").alias("node"), F.max("blocks").alias("blocks"))
         rows = rows.unionByName(heads.select("bucket", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != slot_of())).alias("slot"), "node"))
-    return linked(rows.join(sets, "node").withColumn("side", F.lit(0)).withColumn("label", F.col("node")), ["bucket", "slot"], similarity)
+    return linked(rows.join(sets.hint("merge"), "node").withColumn("side", F.lit(0)).withColumn("label", F.col("node")), ["bucket", "slot"], similarity)
 
 
 def links_across_blocks(shared: DataFrame, sets: DataFrame, labels: DataFrame | None, similarity: float) -> DataFrame:
@@ -325,7 +325,7 @@ def links_across_blocks(shared: DataFrame, sets: DataFrame, labels: DataFrame |
     few = F.broadcast(asking) if _few(asking) else asking
     side0 = other.join(few, "bucket").select("bucket", F.pmod(F.xxhash64("node", F.lit(3)), F.col("turns")).cast("int").alias("turn"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("slot"), F.lit(0).alias("side"), "node", "label")
     side1 = marked.join(few, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), slot_of().alias("slot"), F.lit(1).alias("side"), "node", "label")
-    return linked(side0.unionByName(side1).join(sets, "node"), ["bucket", "turn", "slot"], similarity)
+    return linked(side0.unionByName(side1).join(sets.hint("merge"), "node"), ["bucket", "turn", "slot"], similarity)
 
 
 def _few(rows: DataFrame, most: int = 1 << 16) -> bool:
