@@ -47,6 +47,20 @@ def test_exact_dedup_filter_lets_no_copy_pass(spark):
     assert exact.maybe_repeated(cells, exact.repeated_cells(cells)).where("maybe").count() < 200
 
 
+def test_exact_dedup_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(exact, "MAX_BITS", 11)
+    rows = [(i, f"text {i // 2 if i % 3 else i}") for i in range(600)] + [(None, "none"), (7, None), (7, "")]
+    assert exact.ranges_of(len(rows)) == 5
+    marked, parts = exact.marked_rows(exact.fingerprints(frame(spark, rows)), len(rows))
+    assert len(parts) == 5 and marked.where("not maybe").count() > 100
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.exact_dedup(frame(spark, rows)).collect())
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t or "", []).append(i)
+    top = {k: max((i for i in v if i is not None), default=None) for k, v in groups.items()}
+    assert got == Counter((i, top[t or ""], len(groups[t or ""]), i == top[t or ""]) for i, t in rows)
+
+
 def expected_lines(rows):
     blanks = " \t\n\x0b\x0c\r"
     holders = {}
