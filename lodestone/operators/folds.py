@@ -7,10 +7,14 @@ time. A document is the largest unit that a task holds.
 from __future__ import annotations
 
 import re
+from os.path import commonprefix
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import EngineConfig, SECTION_LABELS, SECTIONS
 from ..functions import similarity as S
@@ -22,46 +26,96 @@ def greedy_statements(rows: DataFrame, keys: list[str], order: str, key: str) ->
     return rows.groupBy(*keys).agg(S.greedy_distinct(ordered).alias("kept"))
 
 
-def near_duplicate(a: str, b: str) -> bool:
-    """The predicate of functions.similarity for one pair."""
-    if not a or not b:
-        return False
-    if a in b or b in a:
-        return True
-    x, y = a.split(" "), b.split(" ")
-    short = min(len(x), len(y))
-    prefix = next((i for i in range(short) if x[i] != y[i]), short)
-    if short >= 10 and prefix / short >= 0.86:
-        return True
-    u, v = set(x), set(y)
-    both, most, least = len(u & v), max(len(u), len(v)), min(len(u), len(v))
-    return both / most >= 0.82 or (both / least >= 0.90 and both / most >= 0.56)
+class SaidBefore:
+    """Canonical keys in the order they came, and which of them say the same as a new one.
+
+    The relation is that of functions.similarity.near_duplicate. Word overlaps with all keys come from an index of words, so a
+    key costs what it shares and not a comparison of word sets with each.
+    """
+
+    def __init__(self):
+        self.keys: list[str] = []
+        self.words: list[list[str]] = []
+        self.kinds: list[int] = []
+        self.holders: dict[str, list[int]] = {}
+        self.gone: set[int] = set()
+
+    def add(self, key: str) -> int:
+        """The key's place."""
+        place, words = len(self.keys), key.split(" ")
+        self.keys.append(key)
+        self.words.append(words)
+        kinds = set(words)
+        self.kinds.append(len(kinds))
+        for w in kinds:
+            self.holders.setdefault(w, []).append(place)
+        return place
+
+    def drop(self, place: int) -> None:
+        self.gone.add(place)
+
+    def alike(self, key: str) -> list[int]:
+        """Places of the keys that say the same, in order; none for an empty key."""
+        if not key or not self.keys:
+            return []
+        words = key.split(" ")
+        kinds = set(words)
+        shared = np.bincount([p for w in kinds for p in self.holders.get(w, ())], minlength=len(self.keys))
+        sizes = np.array(self.kinds)
+        of_larger, of_smaller = shared / np.maximum(sizes, len(kinds)), shared / np.minimum(sizes, len(kinds))
+        same = (of_larger >= 0.82) | ((of_smaller >= 0.90) & (of_larger >= 0.56))
+        for p in np.flatnonzero(~same):
+            other = self.keys[p]
+            short = min(len(words), len(self.words[p]))
+            same[p] = bool(other) and (key in other or other in key or (short >= 10 and len(commonprefix([words, self.words[p]])) / short >= 0.86))
+        return [int(p) for p in np.flatnonzero(same) if p not in self.gone and self.keys[p]]
+
+    def first(self, key: str) -> int | None:
+        return next(iter(self.alike(key)), None)
+
+
+#: How columns of merged items combine: unions of lists, the greater number, both flags, the first that isn't empty.
+UNIONS, GREATEST, BOTH, FIRST_SAID = ("refs", "flags"), ("confidence", "section_confidence"), ("is_untrusted",), ("anchor", "section_source", "result_evidence_type")
+MOST_REFS = 8
+
+
+def joined_item(old: dict, new: dict) -> dict:
+    """The old item with what the new one adds."""
+    out = dict(old)
+    for c in UNIONS:
+        if c in old:
+            out[c] = list(dict.fromkeys([*(old[c] if old[c] is not None else ()), *(new[c] if new[c] is not None else ())]))[:MOST_REFS]
+    out |= {c: max(old[c], new[c]) for c in GREATEST if c in old} | {c: bool(old[c] and new[c]) for c in BOTH if c in old} | {c: old[c] or new[c] for c in FIRST_SAID if c in old}
+    if len(new["statement"].strip()) > len(old["statement"].strip()):
+        out["statement"] = new["statement"].strip()
+    return out
 
 
 def merge_items(rows: DataFrame, keys: list[str], limit: int = 10**9) -> DataFrame:
-    """Near-duplicate items (keys.., ord, key, statement, refs, confidence) merged into the first alike.
+    """Items (keys.., ord, key, statement, confidence, and any of the columns named above) merged by group, in order of ord.
 
-    The merged item has the union of references (at most 8), the highest confidence, the longest statement; a newcomer of
-    strictly higher confidence takes the place over, and the item moves to the end.
+    An item whose key is there already joins that item in its place. Else it joins the first near-duplicate, in its place too unless the
+    newcomer's confidence is strictly higher: then the joined item moves to the end, under the newcomer's key. What is joined keeps the
+    older one's fields and lists its references first; empty keys are left out. place: 0.. in the merged order.
     """
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
+        said, items, at = SaidBefore(), {}, {}
         for row in pdf.sort_values("ord").to_dict("records"):
-            row["refs"] = list(row["refs"])
-            at = next((i for i, k in enumerate(kept) if near_duplicate(row["key"], k["key"])), None)
-            if at is None:
-                kept.append(row)
+            key = row["key"]
+            if not key:
                 continue
-            old = kept[at]
-            lead, other = (row, old) if row["confidence"] > old["confidence"] else (old, row)
-            one = {**lead, "refs": list(dict.fromkeys([*lead["refs"], *other["refs"]]))[:8], "confidence": max(row["confidence"], old["confidence"]), "statement": max((lead["statement"], other["statement"]), key=len)}
-            if lead is row:
-                kept.pop(at)
-                kept.append(one)
-            else:
-                kept[at] = one
-        out = pd.DataFrame(kept[:limit], columns=pdf.columns)
+            place = at.get(key)
+            if place is None and (place := said.first(key)) is None:
+                items[at.setdefault(key, said.add(key))] = row
+                continue
+            both = joined_item(items[place], row)
+            if key != said.keys[place] and row["confidence"] > items[place]["confidence"]:
+                del items[place], at[said.keys[place]]
+                said.drop(place)
+                place = at[key] = said.add(key)
+            items[place] = {**both, "key": said.keys[place]}
+        out = pd.DataFrame(list(items.values())[:limit], columns=pdf.columns)
         out["place"] = range(len(out))
         return out
 
@@ -71,30 +125,26 @@ def merge_items(rows: DataFrame, keys: list[str], limit: int = 10**9) -> DataFra
 def cross_section_winners(rows: DataFrame, document: str, config: EngineConfig = EngineConfig()) -> DataFrame:
     """Drops items (document, section, ord, key, score) that say what another section's item says better.
 
-    Clusters form over the sections in order; the winner has the highest score, then the earlier section, then the lower
-    place. Sections in config.min_keep never fall under their least.
+    Over the sections in order an item joins the first cluster whose first key is alike, or begins one. A cluster's winner has the
+    highest score, then the earlier section, then the lower place; all others go. A section in config.min_keep that had at least so many
+    items and is left with fewer gets its best losers back. Items with an empty key stay as they are.
     """
     rank = {s: i for i, s in enumerate(SECTIONS)}
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = sorted(pdf.to_dict("records"), key=lambda r: (rank.get(r["section"], 9), r["ord"]))
-        clusters: list[list[dict]] = []
-        for item in items:
-            for cluster in clusters:
-                if any(near_duplicate(item["key"], other["key"]) for other in cluster):
-                    cluster.append(item)
-                    break
-            else:
-                clusters.append([item])
-        left = pdf["section"].value_counts().to_dict()
-        gone = set()
-        for cluster in clusters:
-            best = max(cluster, key=lambda r: (r["score"], -rank.get(r["section"], 9), -r["ord"]))
-            for item in cluster:
-                if item is not best and left[item["section"]] > config.min_keep.get(item["section"], 0):
-                    gone.add((item["section"], item["ord"]))
-                    left[item["section"]] -= 1
-        return pdf[[(s, o) not in gone for s, o in zip(pdf["section"], pdf["ord"], strict=True)]]
+        items = pdf[pdf["key"] != ""].assign(rank=pdf["section"].map(rank).fillna(9)).sort_values(["rank", "ord"])
+        said, cluster = SaidBefore(), []
+        for key in items["key"]:
+            place = said.first(key)
+            cluster.append(said.add(key) if place is None else place)
+        best_first = items.assign(cluster=cluster).sort_values(["score", "rank", "ord"], ascending=[False, True, True])
+        stay = set(best_first.drop_duplicates("cluster").index)
+        for section, least in config.min_keep.items():
+            own = best_first.index[best_first["section"] == section]
+            kept = [i for i in own if i in stay]
+            if len(own) >= least > len(kept):
+                stay.update([i for i in own if i not in stay][: least - len(kept)])
+        return pdf[[k == "" or i in stay for i, k in zip(pdf.index, pdf["key"], strict=True)]]
 
     return rows.groupBy(document).applyInPandas(pick, rows.schema)
 
@@ -107,18 +157,18 @@ def assign_slots(candidates: DataFrame, document: str, slots: list[str], reuse_a
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(["score", "idx"], ascending=[False, True]).to_dict("records")
-        used, anchors, keys, out = set(), set(), [], {}
+        used, anchors, said, out = set(), set(), SaidBefore(), {}
         for again in (False, True) if reuse_anchor else (False,):
             for slot in slots:
                 if slot in out:
                     continue
                 for r in rows:
-                    if r["slot"] != slot or r["score"] <= 0 or r["idx"] in used or (not again and r["anchor"] in anchors) or any(near_duplicate(r["key"], k) for k in keys):
+                    if r["slot"] != slot or r["score"] <= 0 or r["idx"] in used or (not again and r["anchor"] in anchors) or said.first(r["key"]) is not None:
                         continue
                     out[slot] = r
                     used.add(r["idx"])
                     anchors.add(r["anchor"])
-                    keys.append(r["key"])
+                    said.add(r["key"])
                     break
         name = pdf[document].iloc[0]
         return pd.DataFrame(
@@ -179,23 +229,33 @@ def smooth_sections(rows: DataFrame, document: str, margin: float = 0.08) -> Dat
 
 
 def event_gap_filter(rows: DataFrame, key: str, seconds: float = 2.0) -> DataFrame:
-    """Events (key, ts, event_id) that come at least so long after the last one kept of their key."""
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id")))
-    kept = F.aggregate(
-        ordered, F.struct(F.lit(None).cast("timestamp_ntz").alias("last"), F.array().cast("array<bigint>").alias("ids")),
-        lambda a, x: F.when(a["last"].isNull() | (F.unix_micros(x["ts"].cast("timestamp")) - F.unix_micros(a["last"].cast("timestamp")) >= int(seconds * 1e6)), F.struct(x["ts"].alias("last"), F.concat(a["ids"], F.array(x["event_id"])).alias("ids"))).otherwise(a),
-        lambda a: a["ids"],
-    )
-    return rows.groupBy(key).agg(kept.alias("ids")).select(key, F.explode("ids").alias("event_id"))
+    """Events (key, ts, event_id) that come at least so long after the last one kept of their key.
+
+    What is kept depends on all that came before, so a key's events pass through one task; they do so sorted, and a task holds no more than the
+    time of the last one kept. Events without a time come first and are kept only where no other was.
+    """
+    far, kinds = int(seconds * 1e6), [rows.schema[c].dataType for c in (key, "event_id")]
+
+    def run(batches):
+        current, last = object(), None
+        for batch in batches:
+            keys, times, keep = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
+            for i, (k, t) in enumerate(zip(keys, times, strict=True)):
+                if k != current:
+                    current, last = k, None
+                    keep.append(i)
+                elif last is None or t - last >= far:
+                    keep.append(i)
+                else:
+                    continue
+                last = t
+            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+
+    each = rows.select(key, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return each.repartition(key).sortWithinPartitions(key, "us", "event_id").mapInArrow(run, T.StructType([T.StructField(c, k) for c, k in zip((key, "event_id"), kinds, strict=True)]))
 
 
 def structured_parts(text: str) -> list[tuple[str, str]]:
     """(label, text) parts of one structured abstract: the plain form of functions.text.abstract_parts."""
     found = list(re.finditer(r"(?i)\b(objectives?|background|aims?|methods?|design|results|conclusions?)\s*:", text))
     return [(m[1].lower(), text[m.end() : (found[i + 1].start() if i + 1 < len(found) else len(text))].strip()) for i, m in enumerate(found)]
-
-
-def repair_key(c: Column) -> Column:
-    """Stem of a canonical key: its first 8 to 14 words, '' when shorter."""
-    words = F.split(c, " ")
-    return F.when(F.size(words) >= 8, F.array_join(F.slice(words, 1, 14), " ")).otherwise("")

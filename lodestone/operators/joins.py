@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import numbers as N
 from ..functions import predicates as P
@@ -88,14 +95,140 @@ def best_sentence(items: DataFrame, sentences: DataFrame, keys: list[str]) -> Da
     return scored.groupBy("item_id").agg(F.max_by(F.struct("sentence", "score"), F.struct("score", -F.col("pos"))).alias("b")).select("item_id", "b.sentence", "b.score")
 
 
-def best_match(reference: DataFrame, lines: DataFrame, keys: list[str], threshold: float, candidates: DataFrame | None = None) -> DataFrame:
-    """For each reference point (keys.., ref_id, ref) the most similar line (keys.., line_id, line), and whether it reaches the threshold.
+#: Words of reference points, and queries, that a task holds at once.
+BLOCK_WORDS, BLOCK_QUERIES, BLOCK_ROWS, CELLS = 1 << 19, 2048, 1 << 14, 1 << 22
+
+
+class _Points:
+    """A block of reference points: their parts, sizes, and an index from word to points."""
+
+    def __init__(self, rows: list):
+        self.ids, self.parts = [r[0] for r in rows], [r[1] for r in rows]
+        self.size = np.array([len(r[2]) for r in rows], np.int64)
+        flat = pa.array([w for r in rows for w in r[2]], pa.string()).dictionary_encode()
+        self.words = flat.dictionary
+        order = np.argsort(codes := flat.indices.to_numpy(), kind="stable")
+        self.points = np.repeat(np.arange(len(rows)), self.size)[order]
+        self.begin = np.searchsorted(codes[order], np.arange(len(self.words) + 1))
 
-    candidates (ref_id, line_id) limits the pairs to those that share a word, which loses no pair with a score above 0.
+    def scores(self, lists: pa.ListArray) -> np.ndarray:
+        """[line, point] -> twice the shared words by all words of both."""
+        n, m = len(lists), pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+        code = pc.fill_null(pc.index_in(lists.flatten(), self.words), -1).to_numpy()
+        line = np.repeat(np.arange(n), m)[code >= 0]
+        code = code[code >= 0]
+        count = self.begin[code + 1] - self.begin[code]
+        at = np.repeat(self.begin[code] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        shared = np.bincount(np.repeat(line, count) * len(self.ids) + self.points[at], minlength=n * len(self.ids)).reshape(n, -1)
+        return np.where(shared > 0, 2.0 * shared / np.maximum(m[:, None] + self.size[None, :], 1), 0.0)
+
+
+def best_match(reference: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """For each reference point (ref_id, part, words) the line (line_id, part, words) whose word set is most alike by token F1, the least line of equals; whether it reaches the threshold; and the best score of a line of the same part.
+
+    Points that share no word with any line are left out. Reference points pass over the lines in blocks of at most BLOCK_WORDS words, one pass a block (one
+    for any usual reference); a task counts shared words by an index and sends its best line a point, so no pair is ever shuffled.
+    """
+    spark, parts = lines.sparkSession, []
+    schema = T.StructType([T.StructField("ref_id", reference.schema["ref_id"].dataType), T.StructField("line_id", lines.schema["line_id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("same_part", T.DoubleType())])
+
+    def run(shared):
+        def each(batches):
+            points = shared.value
+            step = max(1, CELLS // max(1, len(points.ids)))
+            for batch in batches:
+                for i in range(0, batch.num_rows, step):
+                    part = batch.slice(i, step)
+                    score = points.scores(part.column(2))
+                    ids = part.column(0).to_numpy()
+                    rounded = np.round(score, 9)
+                    top = rounded.max(0)
+                    line = np.where(rounded == top, ids[:, None], np.iinfo(ids.dtype).max).min(0)
+                    same = np.where(np.array(part.column(1).to_pylist(), object)[:, None] == np.array(points.parts, object)[None, :], score, 0.0).max(0)
+                    on = np.flatnonzero(top > 0)
+                    yield pa.RecordBatch.from_arrays([pa.array([points.ids[k] for k in on], to_arrow_type(schema[0].dataType)), pa.array(line[on]), pa.array(score.max(0)[on]), pa.array(same[on])], names=schema.names)
+
+        return lines.select("line_id", "part", "words").mapInArrow(each, schema)
+
+    block, held = [], 0
+    for r in reference.select("ref_id", "part", "words").where(F.size("words") > 0).toLocalIterator(prefetchPartitions=True):
+        if block and held + len(r[2]) > BLOCK_WORDS:
+            parts.append(run(spark.sparkContext.broadcast(_Points(block))))
+            block, held = [], 0
+        block.append(r)
+        held += len(r[2])
+    parts.append(run(spark.sparkContext.broadcast(_Points(block))) if block else spark.createDataFrame([], schema))
+    found = reduce(DataFrame.unionByName, parts).groupBy("ref_id").agg(
+        F.max_by("line_id", F.struct(F.round("score", 9), -F.col("line_id"))).alias("line_id"), F.max("score").alias("score"), F.max("same_part").alias("same_part")
+    )
+    return found.withColumn("matched", F.col("score") >= threshold)
+
+
+def _cosines(q: list[np.ndarray], v: list[np.ndarray]) -> np.ndarray:
+    """[query, row] -> cosine over the common prefix, 0 to 1; 0 where a side is empty or all zero."""
+    out = np.zeros((len(q), len(v)))
+    a, b = np.array([len(x) for x in q]), np.array([len(x) for x in v])
+    for m in np.unique(a[a > 0]):
+        for n in np.unique(b[b > 0]):
+            i, j, k = np.flatnonzero(a == m), np.flatnonzero(b == n), min(m, n)
+            x, y = np.stack([q[t][:k] for t in i]), np.stack([v[t][:k] for t in j])
+            norm = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]
+            out[np.ix_(i, j)] = np.where(norm > 0, np.clip(x @ y.T / np.where(norm > 0, norm, 1), 0, 1), 0)
+    return out
+
+
+def nearest_vectors(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """For each query (id, vector) the nearest other row (vec_id, vector) by cosine, the least of equals: (id, nearest, similarity).
+
+    Every query meets every row, as blocks: a cell holds about BLOCK_QUERIES queries and BLOCK_ROWS rows and multiplies them as matrices, and only its best
+    row a query leaves it. Rows are sent once for each block of queries.
     """
-    pairs = reference.join(lines, keys) if candidates is None else reference.join(candidates, "ref_id").join(lines, "line_id")
-    scored = pairs.withColumn("score", S.token_f1(F.col("ref"), F.col("line")))
-    return scored.groupBy("ref_id").agg(F.max_by(F.struct("line_id", "score"), F.struct("score", -F.col("line_id"))).alias("b")).select("ref_id", "b.line_id", "b.score", (F.col("b.score") >= threshold).alias("matched"))
+    parallel = rows.sparkSession.sparkContext.defaultParallelism
+    nq, n = queries.count(), rows.count()
+    across, down = max(1, -(-nq // BLOCK_QUERIES)), max(1, -(-n // BLOCK_ROWS))
+    if across * down < parallel:
+        down = max(1, min(parallel, n // 256))
+
+    def placed(df: DataFrame, key: str, side: int) -> DataFrame:
+        own, other = ("i", across), ("j", down)
+        if side:
+            own, other = other, own
+        slot = F.pmod(F.xxhash64(key), F.lit(own[1])).cast("int").alias(own[0])
+        return df.select(slot, F.explode(F.sequence(F.lit(0), F.lit(other[1] - 1))).alias(other[0]), F.lit(side).alias("side"), F.col(key).cast("long").alias("key"), F.col("vector").cast("array<double>").alias("vector"))
+
+    def best(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        cell = pa.Table.from_batches(parts).combine_chunks()
+        side, keys = cell.column("side").to_numpy(), cell.column("key").to_numpy()
+        vectors = [np.array(x if x is not None else [], float) for x in cell.column("vector").to_pylist()]
+        left = int((side == 0).sum())
+        if not left or left == len(side):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["id", "vec_id", "c"])
+        c = np.round(_cosines(vectors[:left], vectors[left:]), 9)
+        c[keys[:left, None] == keys[None, left:]] = -1
+        top = c.max(1)
+        row = np.where(c == top[:, None], keys[None, left:], np.iinfo(np.int64).max).min(1)
+        on = top >= 0
+        return pa.RecordBatch.from_arrays([pa.array(keys[:left][on]), pa.array(row[on]), pa.array(top[on])], names=["id", "vec_id", "c"])
+
+    def run(batches):
+        held, last = [], None
+        for batch in batches:
+            key = np.stack([batch.column(k).to_numpy() for k in (0, 1)], 1)
+            edges = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1 if len(key) else []
+            for p, q in zip([0, *edges], [*edges, len(key)], strict=True):
+                if p == q:
+                    continue
+                if held and last != tuple(key[p]):
+                    yield best(held)
+                    held = []
+                last = tuple(key[p])
+                held.append(batch.slice(p, q - p))
+        if held:
+            yield best(held)
+
+    both = placed(queries, "id", 0).select("i", "j", "side", "key", "vector").unionByName(placed(rows, "vec_id", 1))
+    cells = both.repartition(max(across * down, 1), "i", "j").sortWithinPartitions("i", "j", "side").mapInArrow(run, "id long, vec_id long, c double")
+    return cells.groupBy("id").agg(F.max_by("vec_id", F.struct("c", -F.col("vec_id"))).alias("nearest"), F.max("c").alias("similarity"))
 
 
 def longest_by_token(captions: DataFrame, keys: list[str]) -> DataFrame:

@@ -60,7 +60,9 @@ def capped_top_k(rows: DataFrame, section: str, anchor: str, order: list[Column]
     """At most per_anchor rows of a section's anchor, then the section's cap, both in the order; rank counts the kept ones."""
     first = top_k(rows, [section, anchor], order, per_anchor)
     cap = F.create_map(*[F.lit(x) for k, v in caps.items() for x in (k, v)])
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy(section).orderBy(*order))).where(F.col("rank") <= F.coalesce(cap[F.col(section)], F.lit(0)))
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy(section).orderBy(*order)))
+    # the largest cap as a literal lets each task cut its part of a section before the exchange
+    return ranked.where(F.col("rank") <= max(caps.values(), default=0)).where(F.col("rank") <= F.coalesce(cap[F.col(section)], F.lit(0)))
 
 
 def page(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:

@@ -67,14 +67,14 @@ def ranked_greedy(rows: DataFrame, keys: list[str], limit: int, per_anchor: int
     """Items (keys.., score, ord, key, anchor) by score, then place: kept unless near-duplicates of a kept one or one too many of an anchor's kept ones, up to the limit."""
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, seen, anchors = [], [], {}
+        kept, said, anchors = [], folds.SaidBefore(), {}
         for r in pdf.sort_values(["score", "ord"], ascending=[False, True]).itertuples():
             if len(kept) >= limit:
                 break
-            if (per_anchor and anchors.get(r.anchor, 0) >= per_anchor) or any(folds.near_duplicate(r.key, k) for k in seen):
+            if (per_anchor and anchors.get(r.anchor, 0) >= per_anchor) or said.first(r.key) is not None:
                 continue
             kept.append(r.Index)
-            seen.append(r.key)
+            said.add(r.key)
             anchors[r.anchor] = anchors.get(r.anchor, 0) + 1
         out = pdf.loc[kept].copy()
         out["rank"] = range(1, len(out) + 1)

@@ -174,13 +174,10 @@ def w07_legend_blocks(spark, sf):
     return kept.where("words >= 8").groupBy("doc_id").agg(F.max("words").alias("words"), F.count(F.lit(1)).alias("blocks"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT event_type, ts, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events WHERE user_id < 5),
-    f AS (SELECT event_type, ts AS last, event_id, r, true AS kept FROM e WHERE r = 1
-          UNION ALL SELECT e.event_type, CASE WHEN e.ts - f.last >= INTERVAL 2 HOUR THEN e.ts ELSE f.last END, e.event_id, e.r, e.ts - f.last >= INTERVAL 2 HOUR FROM f JOIN e ON e.event_type = f.event_type AND e.r = f.r + 1)
-    SELECT event_type, event_id FROM f WHERE kept""")
+@query("""WITH l AS (SELECT event_type, list({'t': ts, 'ids': [event_id]} ORDER BY ts, event_id) AS x FROM events GROUP BY 1)
+    SELECT event_type, unnest(list_reduce(x, lambda a, b: CASE WHEN b.t - a.t >= INTERVAL 2 HOUR THEN {'t': b.t, 'ids': list_concat(a.ids, b.ids)} ELSE a END).ids) AS event_id FROM l""")
 def w11_event_gap(spark, sf):
-    e = table(spark, sf, "events").where("user_id < 5").select("event_type", "ts", "event_id")
-    return folds.event_gap_filter(e, "event_type", 7200.0)
+    return folds.event_gap_filter(table(spark, sf, "events").select("event_type", "ts", "event_id"), "event_type", 7200.0)
 
 
 # pages

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import EVENT_SEVERITY, EngineConfig, SEVERITY_RANK
@@ -160,13 +160,13 @@ SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!
 WORDSET = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z0-9][a-z0-9-]*')), lambda x: x NOT IN ('a','an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','that','the','to','was','were','with'))"
 
 
-@query(f"""WITH d AS (SELECT doc_id, {SENTENCES} AS s FROM documents WHERE lang = 'en'), e AS (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS pos, s[1] AS first FROM d),
+@query(f"""WITH d AS (SELECT doc_id, {SENTENCES} AS s FROM documents), e AS (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS pos, s[1] AS first FROM d),
     w AS (SELECT doc_id, sentence, pos, {WORDSET.format('first')} AS a, {WORDSET.format('sentence')} AS b FROM e WHERE pos > 0),
     x AS (SELECT doc_id, sentence, pos, CASE WHEN len(a) > 0 AND len(b) > 0 THEN 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) ELSE 0 END + least(0.15, length(sentence) / 2000.0) AS score FROM w)
     SELECT doc_id AS item_id, max_by(sentence, (round(score, 9), -pos)) AS sentence, round(max(score), 6) AS score FROM x GROUP BY doc_id""")
 def j10_extractive_join(spark, sf):
-    """For the first sentence of each English document the other one that says it best."""
-    said = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", X.sentences(F.col("text")).alias("s"))
+    """For the first sentence of each document the other one that says it best."""
+    said = table(spark, sf, "documents").select("doc_id", X.sentences(F.col("text")).alias("s"))
     items = said.select("doc_id", F.col("doc_id").alias("item_id"), F.element_at("s", 1).alias("statement")).where("size(s) > 1")
     others = said.select("doc_id", F.posexplode("s").alias("pos", "sentence")).where("pos > 0")
     out = J.best_sentence(items, others, ["doc_id"])
@@ -185,14 +185,10 @@ MATCHES = f"""WITH r AS (SELECT item_id AS ref_id, {WORDSET.format('text')} AS a
 
 
 def _matches(spark, sf) -> DataFrame:
-    """Best document of each benchmark item: candidates by shared rare words, scores from counts of shared words."""
-    points = table(spark, sf, "benchmark").select(F.col("item_id").alias("ref_id"), X.word_set(F.col("text")).alias("w"))
-    lines = table(spark, sf, "documents").select(F.col("doc_id").alias("line_id"), X.word_set(F.col("text")).alias("w"))
-    of_ref = points.select("ref_id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    of_line = lines.select("line_id", F.size("w").alias("m"), F.explode("w").alias("word"))
-    both = of_ref.join(of_line, "word").groupBy("ref_id", "line_id").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
-    scored = both.select("ref_id", "line_id", (2.0 * F.col("k") / (F.col("n") + F.col("m"))).alias("score"))
-    return scored.groupBy("ref_id").agg(F.max_by(F.struct("line_id", "score"), F.struct(F.round("score", 9), -F.col("line_id"))).alias("b")).select("ref_id", "b.line_id", "b.score", (F.col("b.score") >= 0.42).alias("matched"))
+    """Best document of each benchmark item by shared words; a part is an id's remainder by five."""
+    points = table(spark, sf, "benchmark").select(F.col("item_id").alias("ref_id"), (F.col("item_id") % 5).alias("part"), X.word_set(F.col("text")).alias("words"))
+    lines = table(spark, sf, "documents").select(F.col("doc_id").alias("line_id"), (F.col("doc_id") % 5).alias("part"), X.word_set(F.col("text")).alias("words"))
+    return J.best_match(points, lines, 0.42)
 
 
 @query(f"{MATCHES} SELECT ref_id, line_id, round(score, 9) AS score, score >= 0.42 AS matched FROM m")
@@ -212,12 +208,7 @@ def a15_recall_precision(spark, sf):
 @query(f"""{MATCHES}, d5 AS (SELECT ref_id, line_id, score, ref_id % 5 = line_id % 5 AS same FROM x)
     SELECT ref_id, round(max(score), 9) AS any_section, round(coalesce(max(score) FILTER (WHERE same), 0), 9) AS same_section FROM d5 GROUP BY ref_id""")
 def j13_inclusion_match(spark, sf):
-    points = table(spark, sf, "benchmark").select(F.col("item_id").alias("ref_id"), X.word_set(F.col("text")).alias("w"))
-    lines = table(spark, sf, "documents").select(F.col("doc_id").alias("line_id"), X.word_set(F.col("text")).alias("w"))
-    both = points.select("ref_id", F.size("w").alias("n"), F.explode("w").alias("word")).join(lines.select("line_id", F.size("w").alias("m"), F.explode("w").alias("word")), "word")
-    scored = both.groupBy("ref_id", "line_id", "n", "m").agg(F.count(F.lit(1)).alias("k")).withColumn("score", 2.0 * F.col("k") / (F.col("n") + F.col("m")))
-    same = F.col("ref_id") % 5 == F.col("line_id") % 5
-    return scored.groupBy("ref_id").agg(F.round(F.max("score"), 9).alias("any_section"), F.round(F.coalesce(F.max(F.when(same, F.col("score"))), F.lit(0.0)), 9).alias("same_section"))
+    return _matches(spark, sf).select("ref_id", F.round("score", 9).alias("any_section"), F.round("same_part", 9).alias("same_section"))
 
 
 @query("""WITH q AS (SELECT vec_id AS id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0),
@@ -225,10 +216,9 @@ def j13_inclusion_match(spark, sf):
     SELECT id, max_by(vec_id, (round(c, 9), -vec_id)) AS nearest, round(greatest(0, max(c)), 6) AS similarity FROM x GROUP BY id""")
 def j14_vector_match(spark, sf):
     """Nearest other vector of every vector whose id is divisible by 20: a stated query set against all rows."""
-    e = table(spark, sf, "embeddings")
-    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("q"))
-    pairs = e.select("vec_id", "embedding").join(asked, F.col("vec_id") != F.col("id")).select("id", "vec_id", S.cosine(F.col("q"), F.col("embedding")).alias("c"))
-    return pairs.groupBy("id").agg(F.max_by("vec_id", F.struct(F.round("c", 9), -F.col("vec_id"))).alias("nearest"), F.round(F.max("c"), 6).alias("similarity"))
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked = e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "id")
+    return J.nearest_vectors(asked, e).select("id", "nearest", F.round("similarity", 6).alias("similarity"))
 
 
 @query("SELECT source AS doc, lang AS modality, n_chars AS signature, min(doc_id) AS first_id FROM documents GROUP BY 1, 2, 3")
@@ -630,17 +620,16 @@ def d14_url_dedupe(spark, sf):
 NEAR = """(contains(x, y) OR contains(y, x) OR len(list_intersect(u, v)) / greatest(len(u), len(v))::DOUBLE >= 0.82 OR (len(list_intersect(u, v)) / least(len(u), len(v))::DOUBLE >= 0.90 AND len(list_intersect(u, v)) / greatest(len(u), len(v))::DOUBLE >= 0.56))"""
 
 
-@query(f"""WITH k AS (SELECT min(doc_id) AS doc_id, source, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+(?:\\.[0-9]+)?')[1:12], ' ') AS key FROM documents GROUP BY 2, 3),
-    p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.key AS x, b.key AS y, list_distinct(string_split(a.key, ' ')) AS u, list_distinct(string_split(b.key, ' ')) AS v,
-          list_position(list_transform(list_zip(string_split(a.key, ' '), string_split(b.key, ' ')), lambda z: coalesce(z[1] = z[2], false)), false) - 1 AS lcp, least(len(string_split(a.key, ' ')), len(string_split(b.key, ' '))) AS short
-          FROM k a JOIN k b ON a.source = b.source AND a.doc_id < b.doc_id AND a.key <> '' AND b.key <> '' AND string_split(a.key, ' ')[1:3] = string_split(b.key, ' ')[1:3])
-    SELECT a, b FROM p WHERE {NEAR} OR (short >= 10 AND CASE WHEN lcp IS NULL OR lcp < 0 THEN short ELSE least(lcp, short) END / short::DOUBLE >= 0.86)""")
-def d06_near_duplicate_heads(spark, sf):
-    """Pairs of different opening statements of one source that begin with the same three words and say the same; copies are one statement, with its first document."""
-    head = table(spark, sf, "documents").select("doc_id", "source", F.array_join(F.slice(X.canonical_tokens(F.col("text")), 1, 12), " ").alias("key")).where("key <> ''")
-    k = head.groupBy("source", "key").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.slice(F.split("key", " "), 1, 3))
-    pairs = k.select("source", "first", F.col("doc_id").alias("a"), F.col("key").alias("x")).join(k.select("source", "first", F.col("doc_id").alias("b"), F.col("key").alias("y")), ["source", "first"]).where("a < b")
-    return pairs.where(S.near_duplicate(F.col("x"), F.col("y"))).select("a", "b")
+@query(f"""WITH k AS (SELECT conv_id, turn, role, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+(?:\\.[0-9]+)?'), ' ') AS x FROM conversations),
+    o AS (SELECT conv_id, turn, x, lag(x) OVER (PARTITION BY conv_id, role ORDER BY turn) AS y FROM k),
+    p AS (SELECT *, list_distinct(string_split(x, ' ')) AS u, list_distinct(string_split(y, ' ')) AS v, least(len(string_split(x, ' ')), len(string_split(y, ' '))) AS short,
+          list_position(list_transform(list_zip(string_split(x, ' '), string_split(y, ' ')), lambda z: coalesce(z[1] = z[2], false)), false) - 1 AS lcp FROM o WHERE y IS NOT NULL)
+    SELECT conv_id, turn, x <> '' AND y <> '' AND ({NEAR} OR (short >= 10 AND CASE WHEN lcp IS NULL OR lcp < 0 THEN short ELSE least(lcp, short) END / short::DOUBLE >= 0.86)) AS repeats FROM p""")
+def d06_near_duplicate_turns(spark, sf):
+    """Whether a turn says what the speaker's turn before it said: the predicate over whole texts."""
+    k = table(spark, sf, "conversations").select("conv_id", "turn", "role", X.canonical(F.col("text")).alias("x"))
+    pairs = k.withColumn("y", F.lag("x").over(Window.partitionBy("conv_id", "role").orderBy("turn"))).where("y is not null")
+    return pairs.select("conv_id", "turn", S.near_duplicate(F.col("x"), F.col("y")).alias("repeats"))
 
 
 @query("""WITH i AS (SELECT conv_id, role AS item, min(turn) AS turn FROM conversations WHERE turn < 2 GROUP BY 1, 2), m AS (SELECT conv_id, text AS item, turn FROM conversations),
@@ -774,10 +763,12 @@ def n05_timestamps(spark, sf):
     return table(spark, sf, "events").select("event_id", N.stamp(t).alias("stamp"), F.year(t).alias("year"))
 
 
-@query("SELECT l_orderkey, string_agg(x, '|' ORDER BY x) AS preview, count(*) AS total FROM (SELECT l_orderkey, l_partkey || ':' || l_suppkey AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey || ':' || l_suppkey) AS r FROM lineitem) GROUP BY 1 HAVING count(*) <= 5")
+@query("SELECT l_orderkey, string_agg(x, '|' ORDER BY r) FILTER (WHERE r <= 5) AS preview, count(*) AS total FROM (SELECT l_orderkey, l_partkey || ':' || l_suppkey AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r FROM lineitem) GROUP BY 1")
 def n10_table_preview(spark, sf):
-    g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.concat_ws(":", "l_partkey", "l_suppkey"))).alias("x")).where("size(x) <= 5")
-    return g.select("l_orderkey", F.array_join(F.slice("x", 1, 5), "|").alias("preview"), F.size("x").cast("long").alias("total"))
+    """The first five rows of each order's table, and how many it has."""
+    rows = table(spark, sf, "lineitem").withColumn("r", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
+    first = F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.struct("r", F.concat_ws(":", "l_partkey", "l_suppkey").alias("x")))))
+    return rows.groupBy("l_orderkey").agg(F.array_join(F.transform(first, lambda v: v["x"]), "|").alias("preview"), F.count(F.lit(1)).alias("total"))
 
 
 @query("SELECT l_suppkey, 'orders: ' || CASE WHEN m = '' THEN 'complete' ELSE 'missing ' || m END AS line FROM (SELECT l_suppkey, coalesce(string_agg(k, ', ' ORDER BY k) FILTER (WHERE r <= 8), '') AS m FROM (SELECT l_suppkey, CASE WHEN l_returnflag = 'R' THEN CAST(l_orderkey AS VARCHAR) END AS k, row_number() OVER (PARTITION BY l_suppkey ORDER BY CASE WHEN l_returnflag = 'R' THEN CAST(l_orderkey AS VARCHAR) END NULLS LAST) AS r FROM lineitem) GROUP BY 1)")

@@ -98,13 +98,13 @@ def s22_json_events(spark, sf):
     return e.select("event_id", F.from_json("props", "k BIGINT")["k"].alias("k")).where("k is not null")
 
 
-@query("SELECT 'introduction' AS section, item_id AS ord, text FROM (SELECT item_id + 1 AS item_id, trim(regexp_replace(text, '\\s*\\n\\s*', ' ', 'g')) AS text FROM benchmark)")
+@query("SELECT item_id AS file, 'introduction' AS section, 1 AS ord, trim(regexp_replace(text, '\\s*\\n\\s*', ' ', 'g')) AS text FROM benchmark")
 def s23_reference_points(spark, sf):
-    """Points written as markdown bullets with continuation lines, read back."""
-    b = table(spark, sf, "benchmark")
-    lines = b.select(F.col("item_id"), F.posexplode(F.split(F.concat(F.lit("* "), F.trim("text")), "\n")).alias("i", "line")).select(((F.col("item_id") + 1) * 10_000 + F.col("i")).alias("n"), F.when(F.col("i") > 0, F.concat(F.lit("  "), "line")).otherwise(F.col("line")).alias("line"))
-    head = spark.createDataFrame([(0, "# INTRODUCTION")], "n long, line string")
-    return readers.reference_points(lines.unionByName(head))
+    """Points written as markdown bullets with continuation lines, a file each, read back."""
+    written = F.split(F.concat(F.lit("# INTRODUCTION\n* "), F.trim("text")), "\n")
+    lines = table(spark, sf, "benchmark").select(F.col("item_id").alias("file"), F.posexplode(written).alias("n", "line"))
+    lines = lines.withColumn("line", F.when(F.col("n") > 1, F.concat(F.lit("  "), "line")).otherwise(F.col("line")))
+    return readers.reference_points(lines)
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
@@ -197,8 +197,7 @@ def j04_overlap(spark, sf):
 
 @query("SELECT l_partkey AS key, l_returnflag AS reason, CAST(l_orderkey AS VARCHAR) AS packet_id FROM lineitem GROUP BY 1, 2, 3")
 def j17_discrepancy_links(spark, sf):
-    rows = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("key"), F.col("l_returnflag").alias("reason")).agg(F.array_distinct(F.collect_list(F.col("l_orderkey").cast("string"))).alias("links"))
-    return rows.select("key", "reason", F.explode("links").alias("packet_id"))
+    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_returnflag").alias("reason"), F.col("l_orderkey").cast("string").alias("packet_id")).distinct()
 
 
 @query()

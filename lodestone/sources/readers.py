@@ -180,7 +180,7 @@ def page_parts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
 def paragraph_chunks(parts: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """Paragraphs of at least min_paragraph characters, first of equals, structured abstracts split, numbered, up to max_chunks a page."""
     rows = parts.where((F.col("kind") == "paragraph") & (F.length("text") >= config.min_paragraph))
-    once = O.first_wins(rows.withColumn("__k", F.lower(F.substring("text", 1, 500))), ["page_id", "__k"], [F.col("ord")]).drop("__k")
+    once = O.first_wins(rows.withColumn("__k", F.lower("text")), ["page_id", "__k"], [F.col("ord")]).drop("__k")
     split = once.select("page_id", "ord", "heading", "level", F.posexplode(X.abstract_parts(F.col("text"))).alias("part", "p"))
     w = Window.partitionBy("page_id").orderBy("ord", "part")
     numbered = split.withColumn("n", F.row_number().over(w)).where(F.col("n") <= config.max_chunks)
@@ -234,30 +234,10 @@ def event_log(spark: SparkSession, path: str, streaming: bool = False) -> DataFr
 
 
 def reference_points(lines: DataFrame) -> DataFrame:
-    """(section, ord, text) from markdown lines (n, line): '# SECTION' headers, bullets, and lines that go on with the last bullet."""
+    """(file, section, ord, text) from markdown lines (file, n, line): '# SECTION' headers, bullets, and lines that go on with the last bullet. ord counts a file's bullets."""
     header = F.nullif(F.regexp_extract("line", r"^#\s*([A-Z][A-Z ]+)\s*$", 1), F.lit(""))
     bullet = F.nullif(F.regexp_extract("line", r"^\s*(?:[-*]\s+|\d+\.\s+)(.+?)\s*$", 1), F.lit(""))
-    w = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)  # one file's lines
+    w = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     rows = lines.withColumn("section", F.lower(F.last(header, ignorenulls=True).over(w))).withColumn("is_bullet", bullet.isNotNull()).withColumn("said", F.coalesce(bullet, F.when(header.isNull(), F.nullif(F.trim("line"), F.lit("")))))
     rows = rows.withColumn("ord", F.sum(F.when(F.col("is_bullet"), 1).otherwise(0)).over(w)).where("said is not null and section is not null and ord > 0")
-    return rows.groupBy("section", "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "said"))), lambda x: x["said"]), " ").alias("text"))
-
-
-def xml_paragraphs(rows: DataFrame, xml_col: str = "xml") -> DataFrame:
-    """(id, title, authors, paragraphs) of well-formed TEI by paths; broken XML gives nulls through the caller's filter."""
-    return rows.select(
-        "id", F.expr(f"xpath_string({xml_col}, '//titleStmt/title')").alias("title"), F.expr(f"xpath({xml_col}, '//author/persName/surname/text()')").alias("authors"), F.expr(f"xpath({xml_col}, '//body//p/text()')").alias("paragraphs"),
-    )
-
-
-def item_stream(items: DataFrame) -> DataFrame:
-    """Layout items (doc, idx, type, text) with the section that the last heading before them names."""
-    heading = F.when((F.col("type") == "heading") | P.is_heading_line(F.col("text")), F.struct(F.col("text").alias("title"), X.heading_section(F.col("text")).alias("section")))
-    current = O.carry_forward(heading, ["doc"], [F.col("idx")])
-    return items.select("doc", "idx", "type", "text", current["title"].alias("heading"), F.coalesce(F.nullif(current["section"], F.lit("")), F.lit("unknown")).alias("section"))
-
-
-def first_meta(chunks: DataFrame) -> DataFrame:
-    """The first meta chunk of each document that is JSON."""
-    ok = chunks.where("modality = 'meta'").where(F.try_parse_json("content").isNotNull())
-    return ok.groupBy("document_id").agg(F.min_by("content", "id").alias("meta"))
+    return rows.groupBy("file", "section", "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "said"))), lambda x: x["said"]), " ").alias("text"))

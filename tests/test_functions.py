@@ -78,19 +78,40 @@ def test_predicates(spark):
     assert of(spark, lambda c: P.valid_source(F.lit("url"), c, F.lit(None).cast("string"), c), "https://a.org/x", "ftp://x", None) == ["", "give a full address or a DOI", "give a full address or a DOI"]
 
 
+def says_the_same(a, b):
+    """The rule in words: one key holds the other; the common prefix is 86 % of the shorter of at least ten words; the common words
+    are 82 % of the larger set, or 90 % of the smaller and 56 % of the larger."""
+    if a == "" or b == "":
+        return False
+    x, y = a.split(" "), b.split(" ")
+    n = min(len(x), len(y))
+    prefix = 0
+    while prefix < n and x[prefix] == y[prefix]:
+        prefix += 1
+    larger, smaller = sorted((set(x), set(y)), key=len, reverse=True)
+    common = len([w for w in larger if w in smaller])
+    return a in b or b in a or (n >= 10 and prefix / n >= 0.86) or common / len(larger) >= 0.82 or (common / len(smaller) >= 0.90 and common / len(larger) >= 0.56)
+
+
+def random_keys(seed, n, letters="a b c d e f g h i j k l"):
+    r = random.Random(seed)
+    out = [" ".join(r.choices(letters.split(), k=r.randrange(1, 16))) for _ in range(n)]
+    return [r.choice(out) if r.random() < 0.1 else k for k in out] + [""]
+
+
 def test_similarity(spark):
     keys = [random.Random(i).choices("a b c d e f g h i j k l".split(), k=random.Random(i).randrange(1, 16)) for i in range(60)]
     pairs = [(" ".join(x), " ".join(y)) for x in keys for y in keys[:12]]
-    assert of(spark, S.near_duplicate, *pairs) == [folds.near_duplicate(a, b) for a, b in pairs]
+    assert of(spark, S.near_duplicate, *pairs) == [says_the_same(a, b) for a, b in pairs]
     rows = spark.createDataFrame([([1.0, 2.0], [2.0, 4.0, 9.0]), ([0.0], [1.0]), ([], [1.0]), ([1.0], [-1.0])], "a array<double>, b array<double>")
     assert [round(r[0], 9) for r in rows.select(S.cosine(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 0.0, 0.0]
     order = spark.createDataFrame([(1, ["a b c d e", "a b c d f", "a b c x f"]), (2, ["a b c d f", "a b c d e", "a b c x f"])], "i int, k array<string>")
-    alike = lambda k: [x for i, x in enumerate(k) if not any(folds.near_duplicate(x, y) for y in greedy(k[:i]))]
+    alike = lambda k: [x for i, x in enumerate(k) if not any(says_the_same(x, y) for y in greedy(k[:i]))]
 
     def greedy(k):
         out = []
         for x in k:
-            if x and not any(folds.near_duplicate(x, y) for y in out):
+            if x and not any(says_the_same(x, y) for y in out):
                 out.append(x)
         return out
 
@@ -133,22 +154,123 @@ def test_order_does_not_depend_on_partitions(spark):
 
 
 def test_folds(spark):
-    item = "section string, ord int, key string, score double, doc int"
-    same = [("results", 0, "a b c d e f", 1.9, 1), ("conclusion", 0, "a b c d e f", 0.9, 1), ("conclusion", 1, "z y x", 0.5, 1), ("conclusion", 2, "q r s", 0.5, 1), ("conclusion", 3, "m n o", 0.5, 1)]
-    left = folds.cross_section_winners(spark.createDataFrame(same, item), "doc").collect()
-    assert ("conclusion", 0) not in {(r.section, r.ord) for r in left} and len(left) == 4
-    few = folds.cross_section_winners(spark.createDataFrame(same[:3], item), "doc").collect()
-    assert len(few) == 3  # the least a section keeps
     candidates = [(1, "design", 0, "a1", "k one", "s one", 90.0), (1, "sample", 0, "a1", "k one", "s one", 95.0), (1, "sample", 1, "a2", "other words", "s two", 80.0), (1, "sample", 2, "a1", "third thing", "s3", 85.0)]
     slots = {r.slot: r for r in folds.assign_slots(spark.createDataFrame(candidates, "doc int, slot string, idx long, anchor string, key string, statement string, score double"), "doc", ["design", "sample", "none"]).collect()}
     assert (slots["design"].idx, slots["sample"].idx, slots["none"].status) == (0, 1, "not_found")
-    merged = folds.merge_items(spark.createDataFrame([(1, 0, "a b c d e", "short", ["r1"], 0.5), (1, 1, "x y z", "x", ["r2"], 0.5), (1, 2, "a b c d e f", "the longest", ["r3"], 0.9)], "doc int, ord int, key string, statement string, refs array<string>, confidence double"), ["doc"]).orderBy("place").collect()
-    assert [(r.ord, r.statement, r.refs, r.confidence) for r in merged] == [(1, "x", ["r2"], 0.5), (2, "the longest", ["r3", "r1"], 0.9)]
     votes = [(1, 0, 0.1, "conclusion", 1.5, 0.2, False), (1, 1, 0.2, "methods", 0.9, 0.1, False), (1, 2, 0.3, "results", 0.9, 0.1, True), (1, 3, 0.4, "discussion", 0.5, 0.46, False)]
     smooth = folds.smooth_sections(spark.createDataFrame(votes, "doc int, ord int, position double, best string, best_score double, second_score double, explicit boolean"), "doc").orderBy("ord").collect()
     assert [r.label for r in smooth] == ["conclusion", "conclusion", "results", "unknown"]
 
 
+def test_said_before():
+    for seed in range(20):
+        keys, said = random_keys(seed, 40), folds.SaidBefore()
+        for i, k in enumerate(keys):
+            assert said.alike(k) == [j for j in range(i) if says_the_same(k, keys[j])]
+            said.add(k)
+        said.drop(3)
+        assert 3 not in said.alike(keys[3])
+
+
+def expected_merge(items, limit=10**9):
+    """Merging by its rules: an ordered map by key, an equal key first, then the first alike."""
+    merged = {}
+    for new in items:
+        if not new["key"]:
+            continue
+        near = new["key"] if new["key"] in merged else next((k for k in merged if says_the_same(new["key"], k)), None)
+        if near is None:
+            merged[new["key"]] = dict(new)
+            continue
+        old = merged[near]
+        both = dict(old)
+        both["confidence"], both["section_confidence"] = max(old["confidence"], new["confidence"]), max(old["section_confidence"], new["section_confidence"])
+        both["is_untrusted"] = old["is_untrusted"] and new["is_untrusted"]
+        for c in ("refs", "flags"):
+            both[c] = list(dict.fromkeys(old[c] + new[c]))[:8]
+        both["anchor"] = old["anchor"] or new["anchor"]
+        if len(new["statement"]) > len(old["statement"]):
+            both["statement"] = new["statement"]
+        if near != new["key"] and new["confidence"] > old["confidence"]:
+            del merged[near]
+            near = new["key"]
+        merged[near] = both
+    return [(x["ord"], k, x["statement"], x["refs"], x["flags"], x["confidence"], x["section_confidence"], x["is_untrusted"], x["anchor"]) for k, x in merged.items()][:limit]
+
+
+def test_merge_items_by_its_rules(spark):
+    columns = "doc int, ord int, key string, statement string, refs array<string>, flags array<string>, confidence double, section_confidence double, is_untrusted boolean, anchor string"
+    rows, want = [], {}
+    for doc in range(25):
+        r, items = random.Random(doc), []
+        for i, k in enumerate(random_keys(doc, 14, "a b c d e f")):
+            items.append({"doc": doc, "ord": i, "key": k, "statement": k + "x" * r.randrange(4), "refs": [f"r{r.randrange(9)}" for _ in range(r.randrange(5))], "flags": [f"f{r.randrange(3)}"], "confidence": r.randrange(5) / 4, "section_confidence": r.random(), "is_untrusted": r.random() < 0.5, "anchor": r.choice(["", "a1", "a2"])})
+        want[doc] = expected_merge(items)
+        rows += [tuple(x.values()) for x in items]
+    frame = spark.createDataFrame(rows, columns)
+    for parts in (1, 5):
+        got = {}
+        for r in folds.merge_items(frame.repartition(parts), ["doc"]).orderBy("doc", "place").collect():
+            got.setdefault(r.doc, []).append((r.ord, r.key, r.statement, r.refs, r.flags, r.confidence, r.section_confidence, r.is_untrusted, r.anchor))
+        assert got == want
+    # a surer newcomer moves the item to the end, whose references still come first
+    three = [(1, 0, "a b c d e", "short", ["r1"], 0.5), (1, 1, "x y z", "x", ["r2"], 0.5), (1, 2, "a b c d e f", "the longest", ["r3"], 0.9)]
+    merged = folds.merge_items(spark.createDataFrame(three, "doc int, ord int, key string, statement string, refs array<string>, confidence double"), ["doc"]).orderBy("place").collect()
+    assert [(r.ord, r.statement, r.refs, r.confidence) for r in merged] == [(1, "x", ["r2"], 0.5), (0, "the longest", ["r1", "r3"], 0.9)]
+
+
+def expected_winners(items, least):
+    """Cross-section clustering by its rules; items are (section, ord, key, score) in section order."""
+    order = ["introduction", "methods", "results", "discussion", "conclusion"]
+    clusters = {}
+    for x in sorted((x for x in items if x[2]), key=lambda x: (order.index(x[0]), x[1])):
+        clusters.setdefault(next((k for k in clusters if says_the_same(x[2], k)), x[2]), []).append(x)
+    kept = {max(c, key=lambda x: (x[3], -order.index(x[0]), -x[1])) for c in clusters.values()}
+    for section, n in least.items():
+        own = sorted((x for x in items if x[2] and x[0] == section), key=lambda x: (-x[3], x[1]))
+        if len(own) >= n:
+            for x in own:
+                if len([k for k in kept if k[0] == section]) < n:
+                    kept.add(x)
+    return kept | {x for x in items if not x[2]}
+
+
+def test_cross_section_winners_by_their_rules(spark):
+    from lodestone.config import EngineConfig, SECTIONS
+
+    rows, want = [], {}
+    for doc in range(30):
+        r = random.Random(doc)
+        items = [(r.choice(SECTIONS[:5]), i, k, r.randrange(6) / 2) for i, k in enumerate(random_keys(doc, r.choice([3, 8, 20]), "a b c d e f g"))]
+        want[doc] = expected_winners(items, EngineConfig().min_keep)
+        rows += [(doc, *x) for x in items]
+    frame = spark.createDataFrame(rows, "doc int, section string, ord int, key string, score double")
+    for parts in (1, 5):
+        got = {}
+        for r in folds.cross_section_winners(frame.repartition(parts), "doc").collect():
+            got.setdefault(r.doc, set()).add((r.section, r.ord, r.key, r.score))
+        assert got == want
+    # fewer candidates than the least that a section keeps: the loser goes
+    same = [("results", 0, "a b c d e f", 1.9), ("conclusion", 0, "a b c d e f", 0.9), ("conclusion", 1, "z y x", 0.5)]
+    few = folds.cross_section_winners(spark.createDataFrame([(1, *x) for x in same], "doc int, section string, ord int, key string, score double"), "doc").collect()
+    assert {(r.section, r.ord) for r in few} == {("results", 0), ("conclusion", 1)}
+
+
+def test_event_gaps_against_a_plain_fold(spark):
+    import datetime as dt
+
+    r, base = random.Random(2), dt.datetime(2024, 1, 1)
+    rows = [(r.choice("abc"), base + dt.timedelta(seconds=r.randrange(3000)), i) for i in range(800)]
+    want, last = set(), {}
+    for k, t, i in sorted(rows, key=lambda x: (x[1], x[2])):
+        if k not in last or (t - last[k]).total_seconds() >= 40:
+            last[k] = t
+            want.add((k, i))
+    frame = spark.createDataFrame(rows, "k string, ts timestamp_ntz, event_id long")
+    for parts in (1, 6):
+        assert {tuple(x) for x in folds.event_gap_filter(frame.repartition(parts), "k", 40.0).collect()} == want
+
+
 def test_merge_discrepancies_and_coverage(spark):
     rows = [("k", "r", 2, "second", ["b"], ["2"], 0.4, "low"), ("k", "r", 1, "First", ["a", "b"], ["1"], 0.3, "high")]
     got = A.merge_discrepancies(spark.createDataFrame(rows, "key string, reason string, ord int, claim string, evidence array<string>, links array<string>, confidence double, severity string"), {"low": 0, "medium": 1, "high": 2}).first()

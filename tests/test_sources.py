@@ -59,8 +59,8 @@ def test_abstract_and_chunk_limit(spark):
 
 def test_reference_points_and_items(spark):
     lines = ["# INTRODUCTION", "* first", "  goes on", "- second", "", "# RESULTS", "1. third"]
-    rows = R.reference_points(spark.createDataFrame(list(enumerate(lines)), "n int, line string")).orderBy("ord").collect()
-    assert [(r.section, r.text) for r in rows] == [("introduction", "first goes on"), ("introduction", "second"), ("results", "third")]
+    rows = R.reference_points(spark.createDataFrame([(f, n, x) for f in "ab" for n, x in enumerate(lines)], "file string, n int, line string")).orderBy("file", "ord").collect()
+    assert [(r.file, r.section, r.ord, r.text) for r in rows] == [(f, *x) for f in "ab" for x in [("introduction", 1, "first goes on"), ("introduction", 2, "second"), ("results", 3, "third")]]
     items = spark.createDataFrame([(1, 0, "text", "before it all began in earnest."), (1, 1, "heading", "Methods"), (1, 2, "text", "we measured a lot of things today.")], "doc int, idx int, type string, text string")
     assert [r.section for r in R.item_stream(items).orderBy("idx").collect()] == ["unknown", "methods", "methods"]
     xml = "<TEI><titleStmt><title>T</title></titleStmt><author><persName><surname>Li</surname></persName></author><body><div><p>one</p><p>two</p></div></body></TEI>"
