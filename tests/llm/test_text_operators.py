@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import attention, bpe, decontam, exact, langid, lines, lm, neardup, pii
 from lodestone.llm.textnum import ALNUM, utf8, words
@@ -377,62 +378,135 @@ def test_near_classes_in_large_buckets_of_classes_of_two(spark, monkeypatch, blo
 
 
 def test_lm_base_scores(spark):
-    rows = [(i, t) for i, t in ODD if len(t or "") < 1000] + [(500 + i, f"word{i % 5} and The the word") for i in range(60)]
-    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    rows = ODD + [(None, "no id"), (500, "word0"), (500, "word0")] + [(500 + i, f"word{i % 5} and The the word") for i in range(60)]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     split = [(i, re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(FOLD))) for i, t in rows]
     c = Counter(w for i, own in split if not held(i) for w in [*own, None])
     n, v = sum(c.values()), len(c)
-    want = sorted((i, held(i), len(own) + 1, sum(c[w] > 0 for w in [*own, None]), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*own, None]), 6)) for i, own in split)
+    want = sorted((str(i), held(i), len(own) + 1, sum(c[w] > 0 for w in [*own, None]), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*own, None]), 6)) for i, own in split)
     docs = frame(spark, rows)
-    training = ~(__import__("pyspark.sql.functions", fromlist=["x"]).crc32(docs.doc_id.cast("string").cast("binary")) % 10 == 0)
+    training = F.coalesce(F.crc32(docs.doc_id.cast("string").cast("binary")) % 10 != 0, F.lit(True))
     got = lm.score_documents(docs, training, steps=20).collect()
-    assert sorted((r.doc_id, not r.train, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+    assert sorted((str(r.doc_id), not r.train, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
-def test_attention_scores_are_probabilities_and_learn():
+def windows_of(model, ids, ends):
+    w = model.windows(model.symbols(ids, ends)[0])
+    return w[(w[:, model.context : -1] < model.finish).any(1)]
+
+
+def small_model(n, ids, ends, **sizes):
+    counts = np.bincount(ids, minlength=n)
+    return attention.AttentionLM(n, counts, windows_of(attention.AttentionLM(n, counts, np.zeros((0, 33), np.int32), **sizes), ids, ends), **sizes)
+
+
+def plain_log10(m, ids):
+    """Attention token by token: the specification."""
+    p, symbols, total = m.p, [m.begin, *ids, m.finish], 0.0
+    emb = lambda s: p["emb"][m.row[s]]
+    for t in range(len(symbols) - 1):
+        # a window has its own context: up to `context` back of its first position, but never farther than `context` from the position
+        back = [s for s in range(max(0, t - m.context), t + 1)]
+        q = emb(symbols[t]) @ p["wq"] * m.scale
+        a = np.array([math.exp(min(20, q @ (emb(symbols[s]) @ p["wk"]))) * math.exp(min(20, p["far"][t - s])) for s in back])
+        h = emb(symbols[t]) @ p["wx"] + p["b"] + sum(w * (emb(symbols[s]) @ p["wv"]) for w, s in zip(a / (a.sum() + 1e-12), back))
+        h = np.maximum(h, 0)
+        log_share = lambda x, k: x[k] - math.log(np.exp(x).sum())
+        to = symbols[t + 1]
+        total += log_share(h @ p["wo"] + p["bo"], m.cluster[to]) + m.share[to]
+        if m.cluster[to] < m.clusters:
+            total += log_share(h @ p["ws"][m.cluster[to]] + p["bs"][m.cluster[to]], m.slot[to])
+    return total / math.log(10)
+
+
+def test_attention_equals_plain_attention():
     r = np.random.default_rng(0)
+    ids, ends = r.integers(0, 40, 3000) % r.integers(1, 41, 3000), np.arange(0, 3001, 100)
+    for sizes in ({"size": 4, "clusters": 6, "rows": 20}, {"size": 8, "clusters": 3, "rows": 9, "context": 8, "stride": 4}, {"size": 8, "clusters": 3, "rows": 9, "context": 5, "stride": 8}):
+        model = small_model(40, ids, ends, **sizes)
+        model.train(windows_of(model, ids, ends), 60)
+        texts = [r.integers(0, 40, n) for n in (0, 1, 15, 16, 17, 33, 70)]
+        cuts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        together = model.log10(np.concatenate(texts), cuts, block=3)
+        assert together == pytest.approx([plain_log10(model, t) for t in texts], rel=1e-4)
+        # no block size or neighbour changes a text's score
+        assert together == pytest.approx([model.log10(t, np.array([0, len(t)]))[0] for t in texts], rel=1e-4)
+
+
+def test_attention_scores_are_probabilities_and_learn():
     ids = np.tile(np.array([3, 5, 7, 9, 11]), 400)
     ends = np.arange(0, len(ids) + 1, 50)
-    model = attention.AttentionLM(20, np.bincount(ids, minlength=20), outputs=4, rows=5)
+    model = small_model(20, ids, ends, size=2, clusters=2)
     before = model.log10(ids, ends).sum()
-    model.train(ids, ends, steps=150)
-    after = model.log10(ids, ends)
-    assert after.sum() > 0.3 * before
-    # the next id and the end make one: over all continuations of a text
-    head = np.array([3, 5, 7, 2])
-    one = model.log10(np.concatenate([[*head, x] for x in range(20)]), np.arange(0, 101, 5))
-    closed = model.log10(head, np.array([0, 4]))[0]
-    # P(head, x, end) / P(end | head, x) summed over x, and P(head, end), are P(head)
-    rows, target, _ = model.windows(model.layout(head, np.array([0, 4])), slice(0, 1))
-    assert target[0, 4] == model.end and np.isfinite(one).all() and closed < 0
-    # scoring in windows is the model itself: no block size or neighbour changes a text's score
-    texts = [r.integers(0, 20, n) for n in (0, 1, 15, 16, 17, 33, 200)]
-    ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    together = model.log10(np.concatenate(texts), ends, block=3)
-    alone = [model.log10(t, np.array([0, len(t)]))[0] for t in texts]
-    assert together == pytest.approx(alone, rel=1e-4)
+    model.train(windows_of(model, ids, ends), 150)
+    assert model.log10(ids, ends).sum() > 0.3 * before
+    head = [3, 5, 7, 2]
+    alone = lambda t: 10 ** model.log10(np.array(t), np.array([0, len(t)]))[0]
+    w = model.windows(model.symbols(np.array(head), np.array([0, 4]))[0])
+    assert (w[0, : model.context] == model.pad).all() and w[0, model.context : model.context + 6].tolist() == [model.begin, *head, model.finish]
+    # texts of no id and of one id are some of all texts
+    assert alone([]) + sum(alone([x]) for x in range(20)) < 1
+
+
+def test_clusters_hold_every_frequent_id_once():
+    r = np.random.default_rng(4)
+    ids, ends = r.integers(0, 300, 20_000) % r.integers(1, 301, 20_000), np.array([0, 9_000, 20_000])
+    m = small_model(310, ids, ends, size=16, clusters=10)
+    inside = m.cluster[:310] < m.clusters
+    assert inside.sum() == 160 and len(set(zip(m.cluster[:310][inside].tolist(), m.slot[:310][inside].tolist()))) == 160 and m.slot.max() < 16
+    for g in range(m.clusters, m.end):
+        own = m.cluster[:310] == g
+        assert not own.any() or np.exp(m.share[:310][own]).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_attention_gradient():
     r = np.random.default_rng(3)
     ids, ends = r.integers(0, 12, 60), np.array([0, 20, 60])
-    m = attention.AttentionLM(12, np.bincount(ids, minlength=12), outputs=5, rows=6, width=5, head=3, hidden=6, context=4, stride=4)
-    m.p = {k: x.astype(np.float64) for k, x in m.p.items()}
-    rows, target, _ = m.windows(m.layout(ids, ends), slice(None))
-    _, g = m._gradient(rows, target)
+    m = small_model(12, ids, ends, size=3, clusters=2, rows=6, width=5, head=3, hidden=6, context=4, stride=4)
+    m.p = {k: np.where(x < -29, -2.0, x).astype(np.float64) for k, x in m.p.items()}
+    w = windows_of(m, ids, ends)
+    _, g = m._gradient(w)
     for k, x in m.p.items():
         for _ in range(4):
             at = tuple(r.integers(0, n) for n in x.shape)
             keep, up = x[at], 1e-5
             x[at] = keep + up
-            high, _ = m._gradient(rows, target)
+            high, _ = m._gradient(w)
             x[at] = keep - up
-            low, _ = m._gradient(rows, target)
+            low, _ = m._gradient(w)
             x[at] = keep
             assert g[k][at] == pytest.approx((high - low) / (2 * up), abs=2e-4), k
 
 
+def test_lm_learns_from_every_training_row(spark):
+    """Ids are counted in all rows, and each row sends windows; held-out rows send nothing. Shards give one mean model."""
+    v = bpe.shared_vocabulary(spark, *bpe.usual_vocabulary())
+    ids = len(v.value.token_size)
+    rows = [(i, f"word{i} and the other words of text number {i} " * (1 + i % 9), i % 5 > 0, i * 7919) for i in range(200)] + [(None, None, True, 1), (7, "", True, 2)]
+    docs = spark.createDataFrame(rows, "id long, text string, training boolean, h long")
+    texts = lm.written(lm.encoded(docs, v), "test-ids")
+    encoder = bpe.Encoder(v.value)
+    want, windows = np.zeros(ids, np.int64), 0
+    for _, t, training, _ in rows:
+        own = encoder.encode(*utf8(pa.array([t or ""])))[0]
+        want += training * np.bincount(own, minlength=ids)
+        windows += training * min(2, -(-(len(own) + 1) // 16))
+    assert (lm.id_counts(texts, ids) == want).all()
+    found = lm.written(lm.training_windows(texts, ids, 2), "test-windows")
+    assert found.count() == windows == len({(r.u, bytes(r.window)) for r in found.repartition(5).collect()}) + windows - found.distinct().count()
+    start = lm.first_fit(found, want, 5)
+    import pickle
+
+    means = [pickle.loads(lm.mean_fit(found.repartition(n), 3, start)).p for n in (1, 4)]
+    assert all(np.allclose(means[0][k], means[1][k], atol=1e-4) for k in means[0]) and not np.allclose(means[0]["wo"], pickle.loads(start).p["wo"])
+
+
+def test_lm_beats_its_base_on_held_out_rows(spark):
+    out = lm.scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert out["sum(score)"] > out["sum(base_score)"]
+
+
 def test_word_hashes_do_not_depend_on_place():
     texts = ["alpha beta gamma", "gamma " + "z" * 5000 + " beta", "z" * 5000, "alphab alphabe alphabet alphabets"]
     h, row, start, end = words(pa.array(texts), ALNUM)
