@@ -112,11 +112,20 @@ def polarity(c: Column, words: tuple[str, ...]) -> Column:
     return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.instr(low, w) > 0)
 
 
-def contradicts(claim: Column, other: Column) -> Column:
+def polarities(c: Column) -> Column:
+    """What a text says of an effect: (positive, negative, none)."""
     from ..config import NEGATIVE, POSITIVE
 
-    opposite = (polarity(claim, POSITIVE) & polarity(other, NEGATIVE)) | (polarity(claim, NEGATIVE) & polarity(other, POSITIVE))
-    return opposite | (F.lower(text(claim)).contains("no effect") != F.lower(text(other)).contains("no effect"))
+    return F.struct(polarity(c, POSITIVE).alias("positive"), polarity(c, NEGATIVE).alias("negative"), F.lower(text(c)).contains("no effect").alias("none"))
+
+
+def opposed(a: Column, b: Column) -> Column:
+    """Whether two texts' polarities contradict each other."""
+    return (a["positive"] & b["negative"]) | (a["negative"] & b["positive"]) | (a["none"] != b["none"])
+
+
+def contradicts(claim: Column, other: Column) -> Column:
+    return opposed(polarities(claim), polarities(other))
 
 
 def fits_section(section: Column, c: Column, label: Column) -> Column:

@@ -40,6 +40,24 @@ def related_pairs(claims: DataFrame, packets: DataFrame, group: str, numeric: bo
     return out.distinct()
 
 
+def value_relations(claims: DataFrame, packets: DataFrame, group: str, limit: float = 0.35) -> DataFrame:
+    """(group, claim_id, conflict, packet_id) of the claims (.., text, value) that are related by value to any packet of their group: both have one.
+
+    conflict: whether some such packet's value differs by more than the limit, or its text says the opposite; packet_id is one that does, null
+    without conflict. A claim differs from some value if it does from the least or the greatest, and packets of equal polarity are
+    opposed alike, so a group sends its two outermost packets and one for each polarity, never a pair a packet.
+    """
+    valued = packets.where("value is not null").withColumn("said", P.polarities(F.col("text")))
+    edge = lambda f: f(F.struct("value", "packet_id"))
+    edges = valued.groupBy(group).agg(edge(F.min).alias("least"), edge(F.max).alias("most"))
+    tones = valued.groupBy(group, "said").agg(F.min("packet_id").alias("packet_id")).groupBy(group).agg(F.collect_list(F.struct("said", "packet_id")).alias("tones"))
+    each = claims.where("value is not null").select(group, "claim_id", "value", P.polarities(F.col("text")).alias("own")).join(edges.join(tones, group), group)
+    differs = [F.when(magnitude_mismatch(F.col("value"), F.col(f"{c}.value"), limit), F.col(f"{c}.packet_id")) for c in ("least", "most")]
+    opposed = F.filter("tones", lambda t: P.opposed(F.col("own"), t["said"]))
+    found = F.coalesce(*differs, F.try_element_at(opposed, F.lit(1))["packet_id"])
+    return each.select(group, "claim_id", found.isNotNull().alias("conflict"), found.alias("packet_id"))
+
+
 def without_partner(claims: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
     return claims.join(pairs.select(*keys).distinct(), keys, "left_anti")
 

@@ -102,18 +102,29 @@ def best_unused(candidates: DataFrame, document: str, slots: list[str]) -> DataF
 
 
 def reconcile(claims: DataFrame, packets: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
-    """(status of every claim, discrepancies). claims: (group, claim_id, text, refs, said_refs, value); packets with packet_id likewise."""
+    """(status of every claim, discrepancies). claims: (group, claim_id, text, refs, said_refs, value); packets with packet_id likewise.
+
+    What shares references is compared pair by pair; what is related only because both have a value can conflict but not
+    support, and comes from value_relations, with one packet for all such conflicts of a claim.
+    """
     pairs = J.related_pairs(claims, packets, group)
     both = pairs.join(claims.select(group, "claim_id", F.col("text").alias("ct"), F.col("value").alias("cv")), [group, "claim_id"]).join(packets.select(group, "packet_id", F.col("text").alias("pt"), F.col("value").alias("pv")), [group, "packet_id"])
     rel = both.select(group, "claim_id", "packet_id", J.relation(F.col("ct"), F.col("pt"), F.col("cv"), F.col("pv"), F.lit(True)).alias("relation"))
-    conflict = F.col("relation").isin("magnitude_mismatch", "contradicted")
-    status = rel.groupBy(group, "claim_id").agg(A.claim_status(F.bool_or(F.col("relation") == "support"), F.bool_or(conflict)).alias("status"))
-    alone = J.without_partner(claims, pairs, [group, "claim_id"]).select(group, "claim_id", F.lit("unresolved").alias("status"))
-    found = rel.where(conflict).select(group, "claim_id", F.col("relation").alias("reason"), "packet_id")
+    by_value = J.value_relations(claims, packets, group).select(group, "claim_id", "packet_id", F.when(F.col("conflict"), "conflict_by_value").otherwise("unresolved").alias("relation"))
+    every = rel.unionByName(by_value)
+    conflict = F.col("relation").isin("magnitude_mismatch", "contradicted", "conflict_by_value")
+    status = every.groupBy(group, "claim_id").agg(A.claim_status(F.bool_or(F.col("relation") == "support"), F.bool_or(conflict)).alias("status"))
+    alone = J.without_partner(claims, every, [group, "claim_id"]).select(group, "claim_id", F.lit("unresolved").alias("status"))
+    found = every.where(conflict).select(group, "claim_id", F.col("relation").alias("reason"), "packet_id")
     missing = alone.select(group, "claim_id", F.lit("missing_modality").alias("reason"), F.lit(None).cast("string").alias("packet_id"))
     return status.unionByName(alone), found.unionByName(missing)
 
 
+def sided(rows: DataFrame, kind: str, main: tuple[str, ...]) -> DataFrame:
+    """rows with the side, main or supp, on which their asset's kind puts them; an unknown kind is main."""
+    return rows.withColumn("side", F.when(F.coalesce(F.col(kind), F.lit(main[0])).isin(*main), "main").otherwise("supp"))
+
+
 def sanitise_payload(payload: Column) -> Column:
     """A report's JSON with statements cleaned and repeated ones taken out; null where it is no such JSON."""
     parsed = F.from_json(payload, "items ARRAY<STRUCT<statement: STRING, refs: ARRAY<STRING>>>")["items"]

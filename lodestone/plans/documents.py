@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import EngineConfig, PROFILES, SECTIONS
 from ..functions import predicates as P
@@ -15,9 +15,11 @@ from ..functions import text as X
 from ..operators import aggregates as A
 from ..operators import folds
 from ..operators import ordered as O
+from ..operators import reports as RP
 from ..sources import readers as R
 from ..sources import sinks as K
 from ..streaming import jobs
+from ..workspace import scratch, written
 from .relational import SENTENCES, scored_sentences, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -188,18 +190,6 @@ def s09_page_paragraphs(spark, sf):
     return R.paragraph_chunks(R.page_parts(table(spark, sf, "pages"))).select("page_id", "anchor", "content", "section_norm", "paragraph_index")
 
 
-@query()
-def s10_page_media(spark, sf):
-    parts = R.page_parts(table(spark, sf, "pages"))
-    return parts.where(F.col("kind").isin("figure", "image")).where(P.is_content_image(F.col("url"), F.col("text"))).select("page_id", "ord", "kind", "url", "text")
-
-
-@query()
-def s11_page_tables(spark, sf):
-    parts = R.page_parts(table(spark, sf, "pages")).where("kind = 'table'")
-    return R.table_cells(parts.select(F.concat_ws(":", F.lit("table:html"), "page_id", "ord").alias("anchor"), F.col("extra").alias("content")))
-
-
 @query("SELECT page_id, len(regexp_extract_all(html, '<a href=\"[^\"]*\"')) AS links FROM pages")
 def s12_page_links(spark, sf):
     parts = R.page_parts(table(spark, sf, "pages")).where("kind = 'link'").groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
@@ -260,12 +250,21 @@ def k07_legend_map(spark, sf):
 
 @query()
 def c01_full_analysis(spark, sf):
-    """Chunks, packets, quota sample, coverage and a summary for every document in one plan."""
-    packets = packets_of(document_chunks(table(spark, sf, "documents")))
+    """Every document in one plan: chunks, packets, quota sample, coverage, reconciliation of what is claimed with what was found, and the report's items."""
+    packets = written(packets_of(document_chunks(table(spark, sf, "documents"))), "c01-packets")
     sample = folds.quota_sample(packets.select("document_id", "chunk", "pos", "section", "sentence", "key"), "document_id")
     chosen = sample.groupBy("document_id").agg(F.count(F.lit(1)).alias("chosen"), F.count_distinct("section").alias("sections"))
     every = packets.groupBy("document_id").agg(F.count(F.lit(1)).alias("packets"), F.avg("confidence").alias("mean"), F.count("value").alias("with_numbers"))
-    return every.join(chosen, "document_id", "left").select("document_id", "packets", "with_numbers", F.coalesce("chosen", F.lit(0)).alias("chosen"), F.coalesce("sections", F.lit(0)).alias("sections"), F.round(A.overall_confidence(F.col("mean"), F.lit(0)), 6).alias("confidence"))
+    found = F.col("section").isin("methods", "results")
+    said = packets.select("document_id", F.concat_ws("-", "chunk", "pos").alias("name"), F.col("sentence").alias("text"), F.array("anchor").alias("refs"), F.col("refs").alias("said_refs"), "value", found.alias("found"))
+    status, _ = RP.reconcile(said.where("not found").withColumnRenamed("name", "claim_id"), said.where("found").withColumnRenamed("name", "packet_id"), "document_id")
+    judged = status.groupBy("document_id").agg(F.count(F.lit(1)).alias("claims"), F.count_if(F.col("status").isin("contradicted", "partial")).alias("conflicting"))
+    items = packets.select(F.col("document_id").alias("doc_id"), "section", (F.col("chunk") * 1000 + F.col("pos")).alias("ord"), "key", F.col("confidence").alias("score"), "anchor")
+    kept = folds.cross_section_winners(RP.ranked_greedy(items, ["doc_id", "section"], 12, per_anchor=2).select("doc_id", "section", "ord", "key", "score"), "doc_id")
+    report = kept.groupBy(F.col("doc_id").alias("document_id")).agg(F.count(F.lit(1)).alias("items"))
+    whole = every.join(chosen, "document_id", "left").join(judged, "document_id", "left").join(report, "document_id", "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("chosen", "sections", "claims", "conflicting", "items")]
+    return whole.select("document_id", "packets", "with_numbers", *counts, F.round(A.overall_confidence(F.col("mean"), F.lit(0)), 6).alias("confidence"))
 
 
 @query()
@@ -312,19 +311,13 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _run_to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """Rows of a stream over what is there now, through a table in memory that the driver holds; for small results only."""
-    spark = stream.sparkSession
-    name = f"lode_{abs(hash((id(stream), mode)))}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", _checkpoint(spark, name)).start()
+    """Rows of a stream over what is there now, through files in the shared folder: all that it gave, with the number of the batch, or in complete mode what the last batch gave."""
+    spark, out = stream.sparkSession, scratch(stream.sparkSession, "stream")
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={n}")
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", scratch(spark, "stream-state")).start()
     q.awaitTermination()
-    return spark.table(name)
-
-
-def _checkpoint(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
-    import uuid
-
-    return f"{root.rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
+    schema = stream.schema if mode == "complete" else T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
+    return spark.read.schema(schema).parquet(out)
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
@@ -343,7 +336,7 @@ def r11_stream_windows(spark, sf):
 def r03_status_stream(spark, sf):
     """Jobs' states kept as state a job: moves follow the events in order, forbidden ones are ignored."""
     events = _stream(spark, sf, "events").select(F.col("user_id").alias("job_id"), "ts", F.element_at(F.array(*[F.lit(s) for s in ("running", "completed", "failed", "queued")]), (F.col("event_id") % 4).cast("int") + 1).alias("status"))
-    return _run_to_end(jobs.status_stream(events), "update")
+    return _run_to_end(jobs.status_stream(events), "update").groupBy("job_id").agg(F.max_by("status", "batch").alias("status"), F.max_by("moves", "batch").alias("moves"))
 
 
 @query("SELECT o_orderkey AS job_id, max_by(o_orderstatus, o_orderdate) AS status FROM orders GROUP BY 1")

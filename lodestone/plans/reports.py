@@ -63,13 +63,6 @@ def s04_content_sniffing(spark, sf):
     return table(spark, sf, "pages").select("page_id", readers.sniff(F.encode("html", "UTF-8")).alias("kind"))
 
 
-@query("SELECT CASE WHEN page_id % 7 = 0 THEN 'supp' ELSE 'main' END AS kind, count(*) AS assets, count(*) FILTER (WHERE length(html) > 0) AS read FROM pages GROUP BY 1")
-def s05_asset_driver(spark, sf):
-    """Counts of assets by kind, and of those that could be read; what can't be read is counted, not raised."""
-    p = table(spark, sf, "pages").withColumn("kind", F.when(F.col("page_id") % 7 == 0, "supp").otherwise("main"))
-    return p.groupBy("kind").agg(F.count(F.lit(1)).alias("assets"), F.count_if(F.length("html") > 0).alias("read"))
-
-
 @query("SELECT r_regionkey AS k, '{\"columns\":[\"n_nationkey\",\"n_name\"],\"data\":[' || string_agg('[\"' || n_nationkey || '\",\"' || n_name || '\"]', ',' ORDER BY n_nationkey) || ']}' AS content FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 def s07_table_chunks(spark, sf):
     n = table(spark, sf, "nation").withColumn("k", F.col("n_regionkey"))
@@ -125,16 +118,6 @@ def s25_parsed_rows(spark, sf):
     return rows.select("id", X.clean_space(F.col("t")).alias("content")).where(F.length("content") >= 30).join(F.broadcast(pages)).select("id", "pages", "content")
 
 
-@query("SELECT o_orderkey AS id, 'order:' || o_orderkey AS anchor, coalesce(nullif(o_orderstatus, ''), 'main') AS asset_kind FROM orders")
-def p01_chunk_record(spark, sf):
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("order:"), "o_orderkey").alias("anchor"), F.coalesce(F.nullif("o_orderstatus", F.lit("")), F.lit("main")).alias("asset_kind"))
-
-
-@query("SELECT l_returnflag AS kind, l_linestatus AS modality, count(*) AS n FROM lineitem GROUP BY 1, 2")
-def p02_kind_modality(spark, sf):
-    return table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("kind"), F.col("l_linestatus").alias("modality")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"{S_} SELECT doc, 'source appears access-limited' AS note FROM s GROUP BY doc HAVING count(*) FILTER (WHERE {has('paywall')}) >= 2")
 def p09_paywall_note(spark, sf):
     return R.paywall_notes(statements(spark, sf), "doc", "t")
@@ -226,12 +209,6 @@ def t10_presentation(spark, sf):
     return R.ranked_greedy(rows, ["doc_id", "section"], 6, per_anchor=2).select("doc_id", "section", "ord", "rank")
 
 
-@query("SELECT o_orderkey AS job_id, 'queued' AS status FROM orders WHERE o_orderstatus = 'O'")
-def r02_enqueue(spark, sf):
-    """What enqueueing would append; jobs.enqueue writes it."""
-    return table(spark, sf, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("job_id"), F.lit("queued").alias("status"))
-
-
 @query("""WITH last AS (SELECT o_custkey, max(o_orderdate) AS newest FROM orders GROUP BY 1), keep AS (SELECT o_custkey FROM last ORDER BY newest DESC, o_custkey LIMIT 3) SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM keep)""")
 def r10_retention_apply(spark, sf):
     """What is left after retention has run."""
@@ -322,12 +299,6 @@ def q09_ingest(spark, sf):
     return table(spark, sf, "pages").where(P.valid_source(F.lit("url"), F.col("url"), none, none) == "").select(F.col("page_id").alias("document_id"), X.url_host(F.col("url")).alias("host"), F.lit("queued").alias("status"))
 
 
-@query("SELECT 0 AS n")
-def u02_model_extractors(spark, sf):
-    """Without a model the extractor emits nothing."""
-    return R.extract(table(spark, sf, "pages").select("page_id"), None, "page_id long").agg(F.count(F.lit(1)).cast("int").alias("n"))
-
-
 @query("SELECT CAST(count(*) AS INTEGER) AS n, 0 AS errors FROM pages WHERE page_id % 2 = 0")
 def u07_isolated_extractor(spark, sf):
     """A model that fails on a batch gives an error row; this one doesn't."""
@@ -356,16 +327,13 @@ def u09_registered_functions(spark, sf):
     return spark.sql("SELECT id, lode_clean(t) AS cleaned FROM lode_statements")
 
 
-CLAIM_TEXT = "CASE p % 3 WHEN 0 THEN 'a significant increase' WHEN 1 THEN 'a decrease was seen' ELSE 'plain' END"
-
-
-@query(f"""{L.CLAIMS}, rel AS (SELECT DISTINCT doc, claim_id, packet_id, abs(cv - pv) / greatest(abs(cv), abs(pv), 1e-6) > 0.35 AS conflict FROM pairs),
-    st AS (SELECT doc, claim_id, CASE WHEN bool_or(conflict) AND NOT bool_or(NOT conflict) THEN 'contradicted' WHEN bool_or(conflict) THEN 'partial' ELSE 'supported' END AS status FROM rel GROUP BY 1, 2)
-    SELECT l.doc, coalesce(st.status, 'unresolved') AS status, count(*) AS claims FROM l LEFT JOIN st ON st.doc = l.doc AND st.claim_id = l.name WHERE f = 'R' GROUP BY 1, 2""")
+@query(f"""{L.CLAIMS}, found AS (SELECT doc, claim_id, CASE WHEN mismatch THEN 'magnitude_mismatch' ELSE 'contradicted' END AS reason FROM pairs WHERE mismatch OR opposed GROUP BY doc, claim_id, packet_id, mismatch, opposed
+    UNION ALL SELECT doc, claim_id, 'conflict_by_value' FROM by_value WHERE conflict UNION ALL SELECT doc, name, 'missing_modality' FROM l WHERE f = 'R' AND NOT EXISTS (SELECT 1 FROM rel WHERE rel.claim_id = l.name AND rel.doc = l.doc))
+    SELECT doc, claim_id, reason, count(*) AS n FROM found GROUP BY 1, 2, 3""")
 def c02_reconcile(spark, sf):
-    claims, packets = (x.withColumn("text", F.lit("plain")) for x in L._claims(spark, sf))
-    status, _ = R.reconcile(claims, packets, "doc")
-    return status.groupBy("doc", "status").agg(F.count(F.lit(1)).alias("claims"))
+    """Every claim's discrepancies by reason; a08 has the statuses."""
+    _, found = R.reconcile(*L._claims(spark, sf), "doc")
+    return found.groupBy("doc", "claim_id", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -390,11 +358,6 @@ def c07_stage_counts(spark, sf):
     return docs.agg(F.lit("documents").alias("stage"), F.count(F.lit(1)).alias("n")).unionByName(chunks.agg(F.lit("chunks").alias("stage"), F.count(F.lit(1)).alias("n"))).unionByName(said.agg(F.lit("sentences").alias("stage"), F.count(F.lit(1)).alias("n")))
 
 
-@query("SELECT * FROM (VALUES ('balanced', 0.42, 400), ('fast', 0.42, 120), ('full', 0.42, 2000), ('high_recall', 0.30, 400), ('section_sensitive', 0.36, 400)) p(profile, threshold, chunks)")
-def c08_profiles(spark, sf):
-    return spark.createDataFrame([(k, c.match_threshold, c.max_chunks) for k, c in PROFILES.items()], "profile string, threshold double, chunks int")
-
-
 @query("SELECT s_nationkey AS model, max(s_acctbal) AS best, rank() OVER (ORDER BY max(s_acctbal) DESC, s_nationkey) = 1 AS winner FROM supplier GROUP BY 1")
 def c09_model_benchmark(spark, sf):
     g = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("model")).agg(F.max("s_acctbal").alias("best"))
@@ -405,19 +368,3 @@ def c09_model_benchmark(spark, sf):
 def c10_report_audit(spark, sf):
     q = L._quality(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
     return q.groupBy("lang").agg(F.count(F.lit(1)).alias("reports"), F.avg("score").alias("mean_score"), F.count_if(F.col("score") < 60).alias("failing"))
-
-
-@query("SELECT lang AS section, '- ' || lang || ': ' || count(*) || ' items' AS line FROM documents GROUP BY lang")
-def k06_metric_lines(spark, sf):
-    return table(spark, sf, "documents").groupBy(F.col("lang").alias("section")).agg(F.count(F.lit(1)).alias("n")).select("section", F.concat(F.lit("- "), "section", F.lit(": "), "n", F.lit(" items")).alias("line"))
-
-
-@query("SELECT DISTINCT o_custkey AS document_id, count(*) AS rows FROM orders GROUP BY 1")
-def k01_replaced_partitions(spark, sf):
-    """What replace_documents would write: the documents and their rows."""
-    return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("document_id")).agg(F.count(F.lit(1)).alias("rows"))
-
-
-@query("SELECT event_id, '{\"event\":\"' || event_type || '\",\"n\":' || event_id || '}' AS line FROM events")
-def k08_event_lines(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("event"), F.col("event_id").alias("n"))).alias("line"))

@@ -7,6 +7,7 @@ import json
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -54,6 +55,49 @@ def delimited(spark: SparkSession, path: str, separator: str = ",") -> DataFrame
     return spark.read.csv(path, sep=separator, header=True, inferSchema=False)
 
 
+SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def _sheets(content: bytes) -> list[tuple[str, list[str], list[list[str]]]]:
+    """(name, header, rows) of every sheet of a workbook; cells keep their columns, gaps are empty."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = set(z.namelist())
+        shared = ["".join(t.text or "" for t in si.iter(f"{SHEET}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{SHEET}si")] if "xl/sharedStrings.xml" in names else []
+        links = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        out = []
+        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{SHEET}sheet"):
+            target = links[next(v for k, v in sheet.attrib.items() if k.endswith("}id"))]
+            rows = []
+            for row in ElementTree.fromstring(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}")).iter(f"{SHEET}row"):
+                cells: list[str] = []
+                for c in row.iter(f"{SHEET}c"):
+                    letters = "".join(x for x in c.get("r", "") if x.isalpha())
+                    at = sum((ord(x) - 64) * 26**i for i, x in enumerate(reversed(letters))) - 1 if letters else len(cells)
+                    value = "".join(t.text or "" for t in c.iter(f"{SHEET}t")) if c.get("t") == "inlineStr" else (c.findtext(f"{SHEET}v") or "")
+                    cells += [""] * (at - len(cells)) + [shared[int(value)] if c.get("t") == "s" and value else value]
+                rows.append(cells)
+            header = rows[0] if rows else []
+            out.append((sheet.get("name", ""), header, [[*r, *[""] * (len(header) - len(r))][: len(header)] for r in rows[1:]]))
+        return out
+
+
+def spreadsheets(rows: DataFrame) -> DataFrame:
+    """(path, anchor, modality, content): a table chunk a sheet of workbooks (path, content); what is no workbook gives none."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    sheets = _sheets(bytes(content or b""))
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, StopIteration):
+                    continue
+                out += [(path, f"sheet:{name}", "table", json.dumps({"columns": header, "data": data}, ensure_ascii=False, separators=(",", ":"))) for name, header, data in sheets]
+            yield pd.DataFrame(out, columns=["path", "anchor", "modality", "content"])
+
+    return rows.select("path", "content").mapInPandas(parse, "path string, anchor string, modality string, content string")
+
+
 def table_cells(chunks: DataFrame) -> DataFrame:
     """(anchor, row, column, value) of table chunks; ragged rows are padded, surplus cells dropped."""
     t = chunks.select("anchor", F.from_json("content", TABLE_CONTENT).alias("t")).where("t.columns is not null")
@@ -197,6 +241,15 @@ def media_links(parts: DataFrame, pages: DataFrame) -> DataFrame:
     return O.first_wins(links.select("page_id", "ord", modality.alias("modality"), href.alias("href"), "text").where("modality is not null"), ["page_id", "modality", "href"], [F.col("ord")]).drop("ord")
 
 
+def supplement_links(parts: DataFrame, pages: DataFrame, most: int = 10) -> DataFrame:
+    """(page_id, rank, href): links whose address or words name a supplement, absolute, once each, the first `most` of a page in its order."""
+    links = parts.where("kind = 'link'").join(pages.select("page_id", F.col("url").alias("base")), "page_id")
+    named = links.where(P.names_supplement(F.concat_ws(" ", "url", "text"))).withColumn("href", X.join_url(F.col("base"), F.col("url")))
+    once = O.first_wins(named.select("page_id", "ord", "href"), ["page_id", "href"], [F.col("ord")])
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy("ord")))
+    return ranked.where(F.col("rank") <= most).select("page_id", "rank", "href")
+
+
 def readable_text(c: Column) -> Column:
     """Text of a page by patterns alone: without scripts and styles, a line a block, at most two line ends in a row."""
     out = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<(script|style|noscript|template|svg)\b.*?</\1\s*>", " ")
@@ -241,3 +294,23 @@ def reference_points(lines: DataFrame) -> DataFrame:
     rows = lines.withColumn("section", F.lower(F.last(header, ignorenulls=True).over(w))).withColumn("is_bullet", bullet.isNotNull()).withColumn("said", F.coalesce(bullet, F.when(header.isNull(), F.nullif(F.trim("line"), F.lit("")))))
     rows = rows.withColumn("ord", F.sum(F.when(F.col("is_bullet"), 1).otherwise(0)).over(w)).where("said is not null and section is not null and ord > 0")
     return rows.groupBy("file", "section", "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "said"))), lambda x: x["said"]), " ").alias("text"))
+
+
+def xml_paragraphs(rows: DataFrame, xml_col: str = "xml") -> DataFrame:
+    """(id, title, authors, paragraphs) of well-formed TEI by paths; broken XML gives nulls through the caller's filter."""
+    return rows.select(
+        "id", F.expr(f"xpath_string({xml_col}, '//titleStmt/title')").alias("title"), F.expr(f"xpath({xml_col}, '//author/persName/surname/text()')").alias("authors"), F.expr(f"xpath({xml_col}, '//body//p/text()')").alias("paragraphs"),
+    )
+
+
+def item_stream(items: DataFrame) -> DataFrame:
+    """Layout items (doc, idx, type, text) with the section that the last heading before them names."""
+    heading = F.when((F.col("type") == "heading") | P.is_heading_line(F.col("text")), F.struct(F.col("text").alias("title"), X.heading_section(F.col("text")).alias("section")))
+    current = O.carry_forward(heading, ["doc"], [F.col("idx")])
+    return items.select("doc", "idx", "type", "text", current["title"].alias("heading"), F.coalesce(F.nullif(current["section"], F.lit("")), F.lit("unknown")).alias("section"))
+
+
+def first_meta(chunks: DataFrame) -> DataFrame:
+    """The first meta chunk of each document that is JSON."""
+    ok = chunks.where("modality = 'meta'").where(F.try_parse_json("content").isNotNull())
+    return ok.groupBy("document_id").agg(F.min_by("content", "id").alias("meta"))

@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
 
+def bundle(rows: DataFrame, key: str) -> DataFrame:
+    """(key, content): the members (key, member, content) of each key as one archive, in order of their names. A key's members are one unit; equal members give equal bytes."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for member, content in sorted(zip(pdf["member"], pdf["content"], strict=True), key=lambda x: x[0]):
+                z.writestr(zipfile.ZipInfo(member, (1980, 1, 1, 0, 0, 0)), bytes(content or b""))
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "content": [out.getvalue()]})
+
+    return rows.select(key, "member", "content").groupBy(key).applyInPandas(pack, f"{key} {rows.schema[key].dataType.simpleString()}, content binary")
+
+
 def replace_documents(rows: DataFrame, path: str, key: str = "document_id") -> None:
     """Delete-then-insert by document: only partitions of documents in rows change."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
@@ -40,6 +57,11 @@ def markdown(items: DataFrame, key: str, title: Column | str = "title") -> DataF
     return sections.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "section", "body"))), lambda x: F.concat(F.lit("## "), F.initcap(x["section"]), F.lit("\n"), x["body"])), "\n\n").alias("markdown"))
 
 
+def metric_lines(metrics: DataFrame, name: str, value: str) -> DataFrame:
+    """metrics with the line of a markdown listing."""
+    return metrics.withColumn("line", F.concat(F.lit("- "), F.col(name), F.lit(": "), F.col(value).cast("string"), F.lit(" items")))
+
+
 def html(markdown_rows: DataFrame, key: str) -> DataFrame:
     """(key, html): the same, escaped, headings as h2 and items as li."""
     body = F.regexp_replace(F.regexp_replace(X.html_escape(F.col("markdown")), r"(?m)^## (.*)$", "<h2>$1</h2>"), r"(?m)^- (.*)$", "<li>$1</li>")

@@ -72,6 +72,17 @@ def sessions(events: DataFrame, time: str, key: str, gap: str = "6 hours", late:
     return events.withWatermark(time, late).groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("began"), "n")
 
 
-def since(events: DataFrame, cursor, limit: int) -> DataFrame:
-    """The last events after the cursor: all of them are looked at, newest first."""
-    return events.where(F.col("ts") > F.lit(cursor)).orderBy(F.desc("ts")).limit(limit)
+def since(events: DataFrame, cursor: tuple, limit: int) -> DataFrame:
+    """A poll: the first `limit` events (ts, event_id) after the cursor (ts, event_id), oldest first; events of one instant follow their ids. The last row is the next cursor."""
+    ts, event_id = F.lit(cursor[0]), F.lit(cursor[1])
+    return events.where((F.col("ts") > ts) | ((F.col("ts") == ts) & (F.col("event_id") > event_id))).orderBy("ts", "event_id").limit(limit)
+
+
+def next_poll(statuses: DataFrame, busy: float = 1.0, idle: float = 4.0) -> DataFrame:
+    """(seconds) until a client asks again: soon while any job runs."""
+    return statuses.agg(F.when(F.coalesce(F.bool_or(F.col("status").isin("running", "queued")), F.lit(False)), busy).otherwise(idle).alias("seconds"))
+
+
+def orphans(workers: DataFrame, owners: DataFrame, key: str, fingerprint: str) -> DataFrame:
+    """Workers (key, fingerprint) that no living owner of the same fingerprint stands behind: a reused number isn't an owner."""
+    return workers.join(owners.select(key, fingerprint).distinct(), [key, fingerprint], "left_anti")

@@ -2,10 +2,10 @@
 
 import pytest
 
-from lodestone.plans import documents, relational, reports, statements
+from lodestone.plans import documents, relational, reports, statements, storage
 from oracle import assert_same, connect
 
-ALL = {name: (f, sql) for m in (documents, relational, reports, statements) for name, f in m.queries().items() for sql in [m.oracle_sql().get(name)]}
+ALL = {name: (f, sql) for m in (documents, relational, reports, statements, storage) for name, f in m.queries().items() for sql in [m.oracle_sql().get(name)]}
 
 
 @pytest.fixture(scope="module")

@@ -25,7 +25,7 @@ def test_reconcile(spark):
     packets = spark.createDataFrame([(1, "p1", "it was", ["r"], [], 10.0), (1, "p2", "a decrease", [], ["f1"], None), (2, "p3", "x", ["z"], [], None)], schema.format("packet_id"))
     status, found = R.reconcile(claims, packets, "doc")
     assert {(r.claim_id, r.status) for r in status.collect()} == {("c1", "contradicted"), ("c2", "contradicted"), ("c3", "unresolved")}
-    assert {(r.claim_id, r.reason, r.packet_id) for r in found.collect()} == {("c1", "magnitude_mismatch", "p1"), ("c2", "contradicted", "p2"), ("c3", "missing_modality", None)}
+    assert {(r.claim_id, r.reason, r.packet_id) for r in found.collect()} == {("c1", "magnitude_mismatch", "p1"), ("c1", "conflict_by_value", "p1"), ("c2", "contradicted", "p2"), ("c3", "missing_modality", None)}
 
 
 def test_payloads(spark):
