@@ -20,7 +20,7 @@ from ..sources import readers as R
 from ..sources import sinks as K
 from ..streaming import jobs
 from ..workspace import scratch, written
-from .relational import SENTENCES, scored_sentences, table
+from .relational import SCORED, SENTENCES, WORDSET, scored_sentences, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -150,7 +150,7 @@ def w03_section_smoothing(spark, sf):
     return folds.smooth_sections(voted, "doc_id").select("doc_id", "ord", "label", "flag")
 
 
-@query()
+@query(f"""WITH {SCORED} SELECT doc_id, i, coalesce(last_value(CASE WHEN section <> 'conclusion' THEN section END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'unknown') AS section FROM s""")
 def w05_previous_carry(spark, sf):
     """The unlabelled tail takes the label before it."""
     rows = scored_sentences(table(spark, sf, "documents")).withColumn("known", F.when(F.col("section") != "conclusion", F.col("section")))
@@ -165,7 +165,9 @@ def w06_abstract_parts(spark, sf):
     return rows.select("id", "part", "p.label", "p.text")
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), b AS (SELECT *, sum(CASE WHEN length(line) < 60 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM l),
+    t AS (SELECT *, min(CASE WHEN length(line) = 0 THEN i END) OVER (PARTITION BY doc_id, block) AS stop FROM b), k AS (SELECT doc_id, block, sum(len(string_split(line, ' '))) AS words FROM t WHERE stop IS NULL OR i < stop GROUP BY 1, 2)
+    SELECT doc_id, CAST(max(words) AS BIGINT) AS words, count(*) AS blocks FROM k WHERE words >= 8 GROUP BY 1""")
 def w07_legend_blocks(spark, sf):
     """Lines between a title and the next stop belong to the title's block; the longest block of a token stays."""
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", r"\n")).alias("i", "line"))
@@ -267,7 +269,9 @@ def c01_full_analysis(spark, sf):
     return whole.select("document_id", "packets", "with_numbers", *counts, F.round(A.overall_confidence(F.col("mean"), F.lit(0)), 6).alias("confidence"))
 
 
-@query()
+@query(f"""WITH {SCORED}, t AS (SELECT *, CASE WHEN score >= 2.0 THEN 0 WHEN score >= 1.2 THEN 1 ELSE 2 END AS tier, CASE section {' '.join(f"WHEN '{k}' THEN {v}" for k, v in PROFILES['balanced'].section_targets.items())} ELSE 6 END AS target FROM s),
+    w AS (SELECT *, CASE WHEN count(*) FILTER (WHERE tier = 0) OVER g >= target THEN 0 WHEN count(*) FILTER (WHERE tier <= 1) OVER g >= target THEN 1 ELSE 2 END AS wanted FROM t WINDOW g AS (PARTITION BY doc_id, section))
+    SELECT doc_id, section, count(*) AS items, max(tier) AS tier FROM w WHERE tier <= wanted GROUP BY 1, 2""")
 def c04_section_tiers(spark, sf):
     """Tiers of candidates: a section takes the next tier only while it has too few rows."""
     config = PROFILES["balanced"]
@@ -293,7 +297,9 @@ def d06_near_duplicate_fold(spark, sf):
     return folds.greedy_statements(rows, ["conv_id"], "turn", "key").select("conv_id", F.size("kept").alias("kept"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT a.conv_id, a.turn, {WORDSET.format('a.text')} AS x, {WORDSET.format('b.text')} AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+    m AS (SELECT *, CASE WHEN len(x) > 0 AND len(y) > 0 THEN 2.0 * len(list_intersect(x, y)) / (len(x) + len(y)) ELSE 0.0 END::DOUBLE AS l, CASE WHEN len(x) > 0 AND len(y) > 0 THEN CAST(len(list_intersect(x, y)) AS DOUBLE) / (len(x) + len(y) - len(list_intersect(x, y))) ELSE 0.0 END AS k FROM w)
+    SELECT conv_id, turn, round(0.48 * l + 0.34 * k + 0.18 * 0.5, 9)::DOUBLE AS score, CASE WHEN l >= k AND l >= 0.5 THEN 'lexical' WHEN k >= 0.5 THEN 'keyword' ELSE 'embedding' END AS reason FROM m""")
 def f07_hybrid_scores(spark, sf):
     """Hybrid similarity of neighbouring turns."""
     c = table(spark, sf, "conversations")

@@ -226,7 +226,8 @@ def f13_compact(spark, sf):
     return statements(spark, sf).select("id", X.compact(F.col("t"), 60).alias("compact"))
 
 
-@query()
+@query(f"""{S_}, c AS (SELECT id, {CLEAN} AS c FROM s), h AS (SELECT id, c, c[1:60] AS h, 61 - instr(reverse(c[1:60]), '.') AS stop, 60 - instr(reverse(c[1:60]), ' ') AS blank FROM c)
+    SELECT id, CASE WHEN length(c) <= 60 THEN c WHEN contains(h, '.') AND stop >= 39 THEN h[1:stop] WHEN contains(h, ' ') THEN rtrim(h[1:blank]) ELSE h END AS cut FROM h""")
 def f14_truncate(spark, sf):
     return statements(spark, sf).select("id", X.truncate_safely(F.col("t"), 60).alias("cut"))
 

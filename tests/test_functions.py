@@ -298,3 +298,60 @@ def test_registered_functions(spark):
 
 def test_profiles():
     assert set(PROFILES) == {"fast", "balanced", "section_sensitive", "high_recall", "full"} and PROFILES["balanced"] == EngineConfig()
+
+
+def test_best_match_in_blocks(spark, monkeypatch):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    lines = [(i, i % 3, r.sample(words, r.randrange(0, 12))) for i in range(90)] + [(90, 0, None)]
+    points = [(i, i % 3, r.sample(words, r.randrange(0, 9))) for i in range(25)] + [(25, 1, ["nowhere"])]
+    want = {}
+    for i, part, w in points:
+        scores = {j: (round(2 * len(set(w) & set(x or [])) / (len(w) + len(x or [])), 9) if set(w) & set(x or []) else 0, p) for j, p, x in lines}
+        top = max(s for s, _ in scores.values())
+        if top:
+            want[i] = (min(j for j, (s, _) in scores.items() if s == top), top, max([s for s, p in scores.values() if p == part]), top >= 0.42)
+    frames = [spark.createDataFrame(x, f"{k} long, part int, words array<string>") for k, x in (("ref_id", points), ("line_id", lines))]
+    for block in (1 << 19, 20):
+        monkeypatch.setattr(J, "BLOCK_WORDS", block)
+        got = {r.ref_id: (r.line_id, round(r.score, 9), round(r.same_part, 9), r.matched) for r in J.best_match(frames[0], frames[1].repartition(3), 0.42).collect()}
+        assert got == want
+
+
+def test_nearest_vectors_in_cells(spark, monkeypatch):
+    r = random.Random(6)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(r.choice([4, 4, 6]))]) for i in range(300)] + [(300, []), (301, None), (302, [0.0] * 4), (303, [1.0, 0.0, 0.0, 0.0]), (304, [2.0, 0.0, 0.0, 0.0])]
+
+    def cosine(a, b):
+        n = min(len(a or []), len(b or []))
+        norm = sum(x * x for x in (a or [])[:n]) ** 0.5 * sum(x * x for x in (b or [])[:n]) ** 0.5
+        return round(max(0.0, min(1.0, sum(x * y for x, y in zip((a or [])[:n], (b or [])[:n])) / norm)), 9) if norm else 0.0
+
+    want = {}
+    for i, v in rows[::9] + rows[-5:]:
+        scores = [(-cosine(v, x), j) for j, x in rows if j != i]
+        want[i] = (min(scores)[1], -min(scores)[0])
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    asked = frame.where(F.col("vec_id").isin(*want)).withColumnRenamed("vec_id", "id")
+    for queries, down in ((2048, 1 << 14), (7, 40)):
+        monkeypatch.setattr(J, "BLOCK_QUERIES", queries)
+        monkeypatch.setattr(J, "BLOCK_ROWS", down)
+        assert {r.id: (r.nearest, r.similarity) for r in J.nearest_vectors(asked, frame).collect()} == {i: (j, pytest.approx(c)) for i, (j, c) in want.items()}
+    empty = frame.where("vec_id < 0")
+    assert J.nearest_vectors(asked.where("id < 0"), frame).count() == 0 and J.nearest_vectors(asked, empty).count() == 0
+
+
+def test_relations_by_value_against_all_pairs(spark):
+    r = random.Random(7)
+    texts = ["a significant gain", "a decrease was seen", "plain", "it had no effect", "a worse effect"]
+    side = lambda key, n: [(r.randrange(6), f"{key}{i}", r.choice(texts), r.choice([None, 0.0, 10.0, 12.0, 14.0, -10.0, 30.0])) for i in range(n)]
+    claims, packets = side("c", 60), side("p", 25)
+    opposed = lambda a, b: (("significant" in a) and any(w in b for w in ("decrease", "worse", "no effect"))) or (("significant" in b) and any(w in a for w in ("decrease", "worse", "no effect"))) or (("no effect" in a) != ("no effect" in b))
+    want = {}
+    for doc, name, text, value in claims:
+        own = [(v, t) for d, _, t, v in packets if d == doc and v is not None]
+        if value is not None and own:
+            want[name] = any(abs(value - v) / max(abs(value), abs(v), 1e-6) > 0.35 or opposed(text, t) for v, t in own)
+    frames = [spark.createDataFrame(x, f"doc int, {k} string, text string, value double") for k, x in (("claim_id", claims), ("packet_id", packets))]
+    got = J.value_relations(*frames, "doc").collect()
+    assert {x.claim_id: x.conflict for x in got} == want and all((x.packet_id is not None) == x.conflict for x in got)

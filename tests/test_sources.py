@@ -115,3 +115,49 @@ def test_windows_stream_equals_batch(spark, tmp_path, slide):
     q = jobs.windowed_counts(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "e")), "t", "k", slide=slide).writeStream.format("memory").queryName(f"w{slide is None}").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table(f"w{slide is None}").collect())) == sorted(map(tuple, jobs.windowed_counts(rows, "t", "k", slide=slide).collect()))
+
+
+def test_broken_workbooks_and_bundles(spark):
+    members = spark.createDataFrame([("a", "m.txt", b"x"), ("a", "b.txt", b""), ("b", "n.txt", b"y")], "k string, member string, content binary")
+    packed = K.bundle(members, "k").withColumnRenamed("k", "path").withColumn("kind", F.lit("archive"))
+    assert {(r.path, bytes(r.content)) for r in R.archive_members(packed).select("path", "content").collect()} == {("a!m.txt", b"x"), ("a!b.txt", b""), ("b!n.txt", b"y")}
+    assert [bytes(r.content) for r in packed.orderBy("path").collect()] == [bytes(r.content) for r in K.bundle(members.repartition(3), "k").orderBy("k").collect()]
+    broken = spark.createDataFrame([("x", b"no zip"), ("y", None)], "path string, content binary")
+    assert R.spreadsheets(broken.unionByName(packed.select("path", "content"))).count() == 0
+
+
+def test_polls_follow_ties_and_end(spark):
+    events = spark.createDataFrame([(1, i) for i in range(5)] + [(2, 0)], "ts long, event_id long")
+    cursor, got = (0, 0), []
+    while True:
+        rows = jobs.since(events.repartition(3), cursor, 2).collect()
+        if not rows:
+            break
+        got += [tuple(r) for r in rows]
+        cursor = max(tuple(r) for r in rows)
+    assert got == [(1, 0), (1, 1), (1, 2), (1, 3), (1, 4), (2, 0)]
+    statuses = spark.createDataFrame([("running",), ("failed",)], "status string")
+    assert [jobs.next_poll(s).first().seconds for s in (statuses, statuses.where("status = 'failed'"), statuses.where("false"))] == [1.0, 4.0, 4.0]
+
+
+def test_distinct_events_and_sessions(spark, tmp_path):
+    rows = [(f"2024-01-01 00:00:0{s}", k) for s, k in ((0, "a"), (1, "a"), (1, "b"), (9, "a"))]
+    spark.createDataFrame(rows, "t string, k string").select(F.col("t").cast("timestamp").alias("t"), "k").write.parquet(str(tmp_path / "e"))
+    stream = spark.readStream.schema("t timestamp, k string").parquet(str(tmp_path / "e"))
+    for name, made, mode in (("distinct", jobs.distinct_events(stream, "k", "t"), "append"), ("sessions", jobs.sessions(stream, "t", "k", gap="5 seconds"), "complete")):
+        made.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start().awaitTermination()
+    assert sorted(r.k for r in spark.table("distinct").collect()) == ["a", "b"]
+    assert sorted((r.k, r.n) for r in spark.table("sessions").collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from lodestone import workspace
+
+    unset = SimpleNamespace(get=lambda *a: None, set=lambda *a: None)
+    session = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="yarn", getConf=lambda: unset))
+    with pytest.raises(RuntimeError):
+        workspace.work_dir(session)
+    session.sparkContext.master = "local[2]"
+    assert workspace.work_dir(session).startswith("file:")
