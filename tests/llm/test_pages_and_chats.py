@@ -140,3 +140,41 @@ def test_pipeline(spark, tiny):
         before = spark.createDataFrame(out.collect(), out.schema)
     assert 0 < before.count() <= docs.count()
     assert before.where(F.size("ids") != F.col("n_tokens")).count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows and ids, extra columns that clash, and an empty table, through every stage."""
+    import sys
+    from pathlib import Path
+
+    sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
+    import corpus_pipeline
+
+    r = random.Random(3)
+    said = lambda n: " ".join(r.choice(["the", "sun", "shines", "over", "green", "hills", "and", "quiet", "rivers", "today"]) + r.choice("abcdefgh") for _ in range(n))
+    base = said(80)
+    rows = [(i, said(60), "en", "s", 0, "x", i) for i in range(30)]
+    rows += [(100, base, "en", "s", 0, "x", 1), (101, base + " more", "en", "s", 0, "x", 2), (102, base, "en", "s", 0, "x", 3)]  # copies: 102 stays
+    rows += [(200, None, "en", "s", 0, "x", 4), (201, "", None, None, None, None, None), (202, "12 34", "en", "s", 0, "x", 5), (None, said(50), "en", "s", 0, "x", 6), (None, said(50), "en", "s", 0, "x", 7)]
+    rows += [(300, said(70), "en", "s", 0, "x", 8), (300, said(70), "en", "s", 0, "x", 9), (301, said(6000), "en", "s", 0, "x", 10), (5, rows[5][1], "en", "s", 0, "x", 5)]
+    leak = said(15)
+    rows += [(400, f"{said(30)} {leak} {said(30)}", "en", "s", 0, "x", 11)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, ids string, __kept int"
+    spark.createDataFrame([(1, leak), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for given in (rows, []):
+        docs, seen = spark.createDataFrame(given, schema), []
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            if i < len(corpus_pipeline.STAGES) - 1:
+                assert sorted(out.columns) == sorted(docs.columns), name
+            out.write.parquet(path := str(tmp_path / f"{len(given)}-{i}"))
+            docs = spark.read.schema(out.schema).parquet(path)
+            seen.append(sorted((x.doc_id if x.doc_id is not None else -1) for x in docs.select("doc_id").collect()))
+        if not given:
+            assert seen == [[]] * 5
+            continue
+        first = [x[0] if x[0] is not None else -1 for x in rows]
+        assert seen[0] == sorted(x for x in first if x not in (200, 201, 202)) == seen[1]
+        gone = set(seen[1]) - set(seen[2])
+        assert gone == {100, 101} and seen[2].count(-1) == 2 and seen[2].count(300) == 1 and seen[2].count(5) == 1
+        assert set(seen[2]) - set(seen[3]) == {400} and seen[4] == seen[3]
