@@ -38,10 +38,6 @@ def canonical(c: Column) -> Column:
     return F.array_join(canonical_tokens(c), " ")
 
 
-def plain_key(c: Column) -> Column:
-    return F.lower(clean_space(c))
-
-
 def word_set(c: Column) -> Column:
     """Distinct words without stopwords, in order of appearance."""
     words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([a-z0-9][a-z0-9-]*)"), F.lit(1))

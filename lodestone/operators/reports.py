@@ -30,13 +30,6 @@ def raw_chunk_score(section: str, s: Column, position: Column) -> Column:
     return hit("conclusion_words", 2.6) + hit("conclusion", 1.2) + F.when(s.rlike("(?i)^(?:in conclusion|overall|these findings)"), 1.5).otherwise(0.0) + F.when(position >= 0.7, 0.8).otherwise(0.0)
 
 
-def extractive_rank(confidence: Column, section_confidence: Column, is_text: Column, verbatim: Column, untrusted: Column, primary: Column, fallback: Column, raw: Column) -> Column:
-    return (
-        1.2 * confidence + 1.1 * section_confidence + F.when(is_text, 0.25).otherwise(0.0) + F.when(verbatim, 0.20).otherwise(0.0) - F.when(untrusted, 0.45).otherwise(0.0)
-        + F.when(primary, 0.35).otherwise(-0.05) - F.when(fallback, 0.20).otherwise(0.0) - F.when(raw, 0.15).otherwise(0.0)
-    )
-
-
 def method_slot_score(keyword: Column, category: Column, strict: Column, methods_anchor: Column, signal: Column, results_anchor: Column, confidence: Column, refs: Column) -> Column:
     """0 where a strict slot's keyword, or both keyword and category, are missing."""
     flag = lambda c, n: F.when(c, n).otherwise(0)

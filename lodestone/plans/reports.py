@@ -369,3 +369,31 @@ def c09_model_benchmark(spark, sf):
 def c10_report_audit(spark, sf):
     q = L._quality(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
     return q.groupBy("lang").agg(F.count(F.lit(1)).alias("reports"), F.avg("score").alias("mean_score"), F.count_if(F.col("score") < 60).alias("failing"))
+
+
+@query("SELECT conv_id, turn, text || ' [turn:' || turn || '] (refs: ' || role || ', r' || turn % 3 || ')' AS said FROM conversations")
+def f17_provenance(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("anchor", F.concat(F.lit("turn:"), F.col("turn")))
+    refs = F.array("anchor", "role", F.concat(F.lit("r"), F.col("turn") % 3), "role")
+    return c.select("conv_id", "turn", X.with_provenance(F.col("text"), F.col("anchor"), refs).alias("said"))
+
+
+@query("SELECT page_id, 'https://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)) || regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z]+://[^/?#]+', ''), '#.*$', ''), '/+$', '') AS url FROM pages")
+def f28_normal_urls(spark, sf):
+    """Addresses in other spellings come back to one."""
+    host = F.regexp_extract("url", r"^[A-Za-z]+://([^/?#]+)", 1)
+    rest = F.regexp_replace("url", r"^[A-Za-z]+://[^/?#]+", "")
+    return table(spark, sf, "pages").select("page_id", X.normal_url(F.concat(F.lit("HTTPS://"), host, rest, F.lit("/#top"))).alias("url"))
+
+
+@query("SELECT event_id, date_trunc('second', ts) AS from_seconds, date_trunc('second', ts) AS from_millis FROM events")
+def n05_epochs(spark, sf):
+    """Seconds and milliseconds, told apart by their digits."""
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    at = [N.epoch_timestamp(x).cast("timestamp_ntz").alias(name) for x, name in ((seconds, "from_seconds"), (seconds * 1000, "from_millis"))]
+    return table(spark, sf, "events").select("event_id", *at)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'F') THEN lower(o_orderstatus) ELSE 'p' END AS status FROM orders")
+def n14_domain(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", N.one_of(F.col("o_orderstatus"), ("o", "f"), "p").alias("status"))
