@@ -12,8 +12,8 @@ first character, and those with backslashes there one more, which reading takes
 range of code points of the segment: the whole text of an assistant.
 
 Defined results: null text counts as empty and null role as ''; rows with equal turns are messages of their own,
-ordered by role and text; a null conv_id is a conversation, a null turn comes first; an empty log gives no rows;
-other columns are ignored.
+ordered by role and then by a hash of the text; a null conv_id is a conversation, a null turn comes first; an empty log gives no rows;
+other columns are ignored; a conversation -1 of the table is one with the control conversation.
 """
 
 from __future__ import annotations
