@@ -9,8 +9,8 @@ windows are searched at once, from their last word to their first; occurrences a
 to a sampled position; their spans merge into the words to remove.
 
 Windows are `width` consecutive words of an item; an item with fewer words, but not none, is one window. Blocks of
-items of at most BLOCK_WORDS words are broadcast, one pass over the documents each (one pass for any usual benchmark),
-so what a task holds doesn't grow with either table. Words are compared by 64-bit hashes.
+items of at most BLOCK_WORDS words are broadcast, one pass over the documents each (one pass for any usual benchmark); between
+passes the rows are written, and a block's broadcast is gone before the next one's, so what a task and the driver hold doesn't grow with either table. Words are compared by 64-bit hashes.
 
 Defined results: null has no words; an item without words is never found; items with equal ids count once; a row of
 documents repeated gives its result twice; an empty benchmark hits nothing; other columns are carried along.
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import discard, written
 from .textnum import ALNUM, slices, utf8, with_columns, words
 
 SHARD_BYTES = 4 << 20
@@ -281,10 +282,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col:
         T.StructField(ITEMS, T.ArrayType(T.StringType())),
     ]
     schema = T.StructType([*[f for f in docs.schema.fields if f.name not in (N_WORDS, SPANS, ITEMS)], *add])
-    out = docs.drop(N_WORDS, SPANS, ITEMS)
-    for block in blocks(benchmark, item_col, item_text):
+    out, found, waiting = docs.drop(N_WORDS, SPANS, ITEMS), blocks(benchmark, item_col, item_text), None
+    block = next(found)
+    while block is not None:
+        more = next(found, None)
         shared = spark.sparkContext.broadcast(Phrases(block, width))
         out = out.mapInArrow(lambda batches, shared=shared: scan(batches, shared.value, text_col), schema)
+        if more is not None:  # one block is alive at a time
+            out = written(out, "leaks")
+            shared.destroy()
+            discard(waiting)
+            waiting = out
+        block = more
     return out
 
 

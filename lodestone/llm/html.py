@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HOT_KEYS, written
+from .common import HOT_KEYS, discard, written
 from .textnum import with_columns
 
 MIN_PARENTS = 5
@@ -316,7 +316,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     limit = max(1, found.count() // HOT_KEYS)
     hot = F.broadcast(known.where(F.col("n") > limit).select("host", "hash"))  # fewer than HOT_KEYS rows
     own = found.join(hot, ["host", "hash"], "left_semi").unionByName(found.join(hot, ["host", "hash"], "left_anti").join(known.select("host", "hash"), ["host", "hash"], "left_semi"))
-    drops = own.groupBy(F.col("page").alias("__page")).agg(F.collect_set("hash").alias("__drops"))
+    drops = written(own.groupBy(F.col("page").alias("__page")).agg(F.collect_set("hash").alias("__drops")), "html-drops")
+    discard(found, known)
     joined = pages.join(drops.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__page")), "left").drop("__page")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,8 @@ n-gram seen in none backs off, with each language's own weight of the context, t
 
 The prediction is the language of least cross-entropy a character of the whole text. A tenth of the sample
 calibrates rejection: a text is accepted if its cross-entropy is at most what own texts have, plus `spreads` times
-their spread, which shrinks with the root of the length, plus `slack` nats.
+their spread, which shrinks with the root of the length, plus a slack: a third of what the nearest other language's texts have more than own
+ones, from LEAST_SLACK to MOST_SLACK nats.
 
 Training reads a bounded sample: about SAMPLE_DOCS whole documents a language, chosen by a hash of their text among the
 labelled rows, of which some SAMPLE_CHARS characters are used. It runs in one task, so that neither texts nor tables lie in the driver. The alphabet is the sample's ALPHABET most frequent
@@ -39,6 +40,7 @@ ORDER = 4
 SAMPLE_DOCS = 600
 SAMPLE_CHARS = 1_500_000
 ALPHABET = 4000
+LEAST_SLACK, MOST_SLACK = 0.3, 0.5
 SLICE_BYTES = 1 << 20
 WIDTH = 12  # bits a character id
 BLANK, UNKNOWN = 1, 2
@@ -135,6 +137,7 @@ class LanguageModel:
     uniform: float = 0.0
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
+    slack: np.ndarray | None = None
 
     @property
     def order(self) -> int:
@@ -259,14 +262,16 @@ def fit_halves(parted: dict[str, tuple[list[str], list[str]]], order: int = ORDE
             values = [p.probability(n, union) if kind == "keys" else p.context_weight(n, union) for p in parts]
             index.order = None
             out.append((index, np.log(np.stack(values, 1)).astype(np.float32)))
-    mean, spread = [], []
+    mean, spread, under = [], [], []
     for i, k in enumerate(model.langs):
         raw, offsets = utf8(pa.array(held[k], pa.large_string()))
         e, n, _ = model.entropies(raw, offsets)
-        m = float((e[:, i] * n).sum() / n.sum())
-        mean.append(m)
-        spread.append(float(np.sqrt(np.mean(((e[:, i] - m) ** 2) * n))))
+        under.append((e * n[:, None]).sum(0) / n.sum())  # of k's texts, by each model
+        mean.append(float(under[i][i]))
+        spread.append(float(np.sqrt(np.mean(((e[:, i] - mean[i]) ** 2) * n))))
     model.mean, model.spread = np.array(mean), np.maximum(np.array(spread), 0.5)
+    foreign = np.stack(under) + np.where(np.eye(len(mean)), np.inf, 0)
+    model.slack = np.clip((foreign.min(0) - model.mean) / 3, LEAST_SLACK, MOST_SLACK)
     return model
 
 
@@ -313,7 +318,7 @@ def train(docs: DataFrame, labelled: Column, text_col: str = "text", lang_col: s
     return Packed(bytes(ordered.mapInArrow(run, "model binary").first()[0]))
 
 
-def identify(docs: DataFrame, model: LanguageModel | Packed, text_col: str = "text", spreads: float = 8.0, slack: float = 1.0) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel | Packed, text_col: str = "text", spreads: float = 8.0) -> DataFrame:
     """docs with lang_pred, score, entropy (nats a character, null for `und`) and accepted."""
     shared = docs.sparkSession.sparkContext.broadcast(model if isinstance(model, Packed) else Packed(pickle.dumps(model)))
     add = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("entropy", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
@@ -332,7 +337,7 @@ def identify(docs: DataFrame, model: LanguageModel | Packed, text_col: str = "te
                     own, real = e[np.arange(n), best], letters > 0
                     # share of the winner when each language's odds fall by e**-8 a nat a character
                     share = 1 / np.exp(-8 * np.minimum(e - own[:, None], 80)).sum(1)
-                    limit = m.mean[best] + spreads * m.spread[best] / np.sqrt(np.maximum(chars, 1)) + slack
+                    limit = m.mean[best] + spreads * m.spread[best] / np.sqrt(np.maximum(chars, 1)) + m.slack[best]
                     names = [m.langs[b] if ok else "und" for b, ok in zip(best, real, strict=True)]
                     score, accepted = np.where(real, share, 0.0), real & (own <= limit)
                     entropy = np.where(real, own, np.nan)

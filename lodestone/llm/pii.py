@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_groups, written
+from .common import discard, join_groups, written
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL, DOMAIN = "A-Za-z0-9._%+-", "A-Za-z0-9-"
@@ -114,7 +114,7 @@ def chunks(rows: DataFrame) -> DataFrame:
 
 def score(edges: DataFrame, rounds: int, min_support: int) -> DataFrame:
     """(pattern, total, one score a kind) after so many rounds over the graph's edges (pattern, instance)."""
-    state = written(edges.select("pattern", "instance", *[seed(k, F.col("instance")).cast("double").alias(k) for k in KINDS], *[has_form(k, F.col("instance")).alias(f"{k}_form") for k in KINDS]), "pii-graph")
+    kept_state = state = written(edges.select("pattern", "instance", *[seed(k, F.col("instance")).cast("double").alias(k) for k in KINDS], *[has_form(k, F.col("instance")).alias(f"{k}_form") for k in KINDS]), "pii-graph")
     n, any_seed = state.count(), reduce(lambda a, b: a | b, [F.col(k) >= 1.0 for k in KINDS])
     state = state.withColumn("seeded", any_seed)
     patterns = None
@@ -122,12 +122,14 @@ def score(edges: DataFrame, rounds: int, min_support: int) -> DataFrame:
         scores = [
             F.when(F.count(F.when(F.col(k) >= 0.5, 1)) >= min_support, F.sum(k) / (F.count(F.lit(1)) + PRIOR)).otherwise(0.0).alias(f"{k}_score") for k in KINDS
         ]
+        discard(patterns)
         patterns = written(state.groupBy("pattern").agg(*scores, F.count(F.lit(1)).alias("total")), "pii-patterns")
         if i + 1 == rounds:
             break
         met = written(join_groups(state, patterns, ["pattern"], "total", n), "pii-met")
         confidence = [(1 - F.exp(F.sum(F.log1p(-F.least(F.col(f"{k}_score"), F.lit(0.999)))))).alias(f"{k}_new") for k in KINDS]
         instances = written(met.groupBy("instance").agg(*confidence, F.count(F.lit(1)).alias("places")), "pii-instances")
+        old = kept_state
         kept = met.select("pattern", "instance", *KINDS, *[f"{k}_form" for k in KINDS], "seeded")
         state = written(
             join_groups(kept, instances, ["instance"], "places", n).select(
@@ -135,6 +137,9 @@ def score(edges: DataFrame, rounds: int, min_support: int) -> DataFrame:
             ),
             "pii-graph",
         )
+        kept_state = state
+        discard(old, met, instances)
+    discard(kept_state)
     return patterns
 
 
