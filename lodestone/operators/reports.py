@@ -118,6 +118,24 @@ def sided(rows: DataFrame, kind: str, main: tuple[str, ...]) -> DataFrame:
     return rows.withColumn("side", F.when(F.coalesce(F.col(kind), F.lit(main[0])).isin(*main), "main").otherwise("supp"))
 
 
+def reviewed(status: DataFrame, claims: DataFrame, group: str, model: Callable[[pd.DataFrame], pd.DataFrame] | None, most: int = 20) -> DataFrame:
+    """(group, claim_id, reason, error): what a model says of a group's claims that aren't supported, the first `most` by their ids. Without a model nothing."""
+    w = Window.partitionBy(group).orderBy("claim_id")
+    asked = status.where("status <> 'supported'").withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).join(claims.select(group, "claim_id", "text"), [group, "claim_id"])
+    return extract(asked.select(group, "claim_id", "text"), model, f"{group} {status.schema[group].dataType.simpleString()}, claim_id string, reason string")
+
+
+def checked_bullets(bullets: DataFrame, anchors: DataFrame, fallback: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys.., ord, statement, refs, by): a model's bullets (keys.., ord, statement, refs) with those references that exist among anchors (first of keys, anchor), without
+    bullets that have none; where keys get no bullet, the fallback's rows (keys.., ord, statement, refs)."""
+    doc = keys[0]
+    each = bullets.select(*keys, "ord", "statement", F.posexplode(F.array_distinct("refs")).alias("i", "anchor")).join(anchors.select(doc, "anchor").distinct(), [doc, "anchor"], "left_semi")
+    refs = F.transform(F.array_sort(F.collect_list(F.struct("i", "anchor"))), lambda x: x["anchor"])
+    good = each.groupBy(*keys, "ord", "statement").agg(refs.alias("refs")).withColumn("by", F.lit("model"))
+    rest = fallback.join(good.select(*keys).distinct(), keys, "left_anti").select(*keys, "ord", "statement", "refs").withColumn("by", F.lit("rules"))
+    return good.unionByName(rest)
+
+
 def sanitise_payload(payload: Column) -> Column:
     """A report's JSON with statements cleaned and repeated ones taken out; null where it is no such JSON."""
     parsed = F.from_json(payload, "items ARRAY<STRUCT<statement: STRING, refs: ARRAY<STRING>>>")["items"]

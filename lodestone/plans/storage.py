@@ -249,3 +249,49 @@ def p02_kind_modality(spark, sf):
     modality = F.element_at(F.array(*[F.lit(m) for m in ("text", "table", "figure", "meta")]), F.col("l_linenumber") % 4 + 1)
     rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("asset_kind"), modality.alias("modality"))
     return O.sided(rows, "asset_kind", ("A", "N")).groupBy("side", "modality").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH n AS (SELECT n_regionkey AS id, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS n FROM nation)
+    SELECT id, n, CASE WHEN n < 2 THEN 'unknown' WHEN n < 4 THEN 'methods' ELSE 'results' END AS section, 'About ' || n_name || ' & more' AS content FROM n""")
+def s14_tei_paragraphs(spark, sf):
+    """TEI made from the nations of a region, a part each, of which some heads name a section, and a broken file."""
+    n = table(spark, sf, "nation").withColumn("n", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")))
+    head = F.when(F.col("n") == 2, "<head>Methods</head>").when(F.col("n") == 4, "<head>RESULTS</head>").otherwise("<head>More of it</head>")
+    part = F.concat(F.lit("<div>"), head, F.lit("<p>About  "), "n_name", F.lit(" &amp; more</p><p> </p></div>"))
+    made = n.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", part.alias("x")))), lambda v: v["x"]), "").alias("parts"))
+    xml = made.select(F.col("n_regionkey").alias("id"), F.concat(F.lit("<TEI><text><body>"), "parts", F.lit("</body></text></TEI>")).alias("xml"))
+    return R.tei_paragraphs(xml.unionByName(xml.select((F.col("id") + 1000).alias("id"), F.lit("<TEI><text><body><div>").alias("xml"))))
+
+
+@query("""WITH o AS (SELECT o_custkey AS doc, string_agg('order number ' || o_orderkey || ' of this customer was placed', ' ' ORDER BY o_orderkey) FILTER (WHERE o_orderkey % 2 = 0) AS even, string_agg('order number ' || o_orderkey || ' of this customer was placed', ' ' ORDER BY o_orderkey) FILTER (WHERE o_orderkey % 2 = 1) AS odd FROM orders GROUP BY 1),
+    b AS (SELECT doc, 0 AS k, 'methods' AS section, even AS content FROM o UNION ALL SELECT doc, 1, 'results', odd FROM o)
+    SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY k) AS n, section, content FROM b WHERE content IS NOT NULL""")
+def s24_page_lines(spark, sf):
+    """Lines of a customer's pages: a heading, even orders, noise, a heading, odd orders."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("k"), F.concat(F.lit("  order number "), "o_orderkey", F.lit(" of this  customer was placed")).alias("line"))
+    docs, even = o.select("doc").distinct(), F.col("k") % 2 == 0
+    extra = docs.select("doc", F.explode(F.array(*[F.struct(F.lit(p).alias("page"), F.lit(n).cast("long").alias("n"), F.lit(t).alias("line")) for p, n, t in ((0, 0, "Methods"), (3, 0, ""), (3, 1, "page 3"), (3, 2, "RESULTS"))])).alias("x")).select("doc", "x.*")
+    rows = o.select("doc", F.when(even, 1).otherwise(4).alias("page"), F.col("k").alias("n"), "line")
+    return R.page_line_paragraphs(extra.unionByName(rows))
+
+
+@query(f"""{L.CLAIMS}, u AS (SELECT l.doc, l.name AS claim_id, text, row_number() OVER (PARTITION BY l.doc ORDER BY l.name) AS r FROM l LEFT JOIN st ON st.doc = l.doc AND st.claim_id = l.name WHERE f = 'R' AND coalesce(st.status, 'unresolved') <> 'supported')
+    SELECT doc, claim_id, 'unsupported' AS reason FROM u WHERE r <= 2 AND contains(text, 'plain')""")
+def u03_reviewer(spark, sf):
+    """A model that finds plain words unsupported reviews the first two open claims of each document."""
+    claims, packets = L._claims(spark, sf)
+    status, _ = O.reconcile(claims, packets, "doc")
+    model = lambda pdf: pdf[pdf["text"].str.contains("plain")].assign(reason="unsupported")
+    return O.reviewed(status, claims, "doc", model, 2).where("error is null").select("doc", "claim_id", "reason")
+
+
+@query("""WITH c AS (SELECT conv_id, role, turn, text FROM conversations), g AS (SELECT a.conv_id, a.role, a.turn, a.text, 't' || (a.turn + 2) AS ref FROM c a WHERE EXISTS (SELECT 1 FROM c b WHERE b.conv_id = a.conv_id AND b.turn = a.turn + 2))
+    SELECT conv_id, role, turn AS ord, text AS statement, ref AS refs, 'model' AS by FROM g UNION ALL
+    SELECT conv_id, role, turn, upper(role), '', 'rules' FROM c WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.conv_id = c.conv_id AND g.role = c.role)""")
+def u05_section_bullets(spark, sf):
+    """Bullets that point to a later turn, kept where it exists; speakers without any get rows by rule."""
+    c = table(spark, sf, "conversations")
+    bullets = c.select("conv_id", "role", F.col("turn").alias("ord"), F.col("text").alias("statement"), F.array(F.concat(F.lit("t"), F.col("turn") + 2), F.lit("nowhere")).alias("refs"))
+    rules = c.select("conv_id", "role", F.col("turn").alias("ord"), F.upper("role").alias("statement"), F.array().cast("array<string>").alias("refs"))
+    out = O.checked_bullets(bullets, c.select("conv_id", F.concat(F.lit("t"), "turn").alias("anchor")), rules, ["conv_id", "role"])
+    return out.select("conv_id", "role", "ord", "statement", F.array_join("refs", ",").alias("refs"), "by")

@@ -303,6 +303,33 @@ def xml_paragraphs(rows: DataFrame, xml_col: str = "xml") -> DataFrame:
     )
 
 
+TEI_BODY = "text STRUCT<body: STRUCT<div: ARRAY<STRUCT<head: STRING, p: ARRAY<STRING>>>>>"
+
+
+def tei_paragraphs(rows: DataFrame, xml_col: str = "xml", least: int = 1) -> DataFrame:
+    """(id, n, section, content) of the paragraphs of TEI, in order; a part whose head names no section goes on with the one before. Broken XML gives none."""
+    body = F.from_xml(xml_col, TEI_BODY, {"rowTag": "TEI", "mode": "PERMISSIVE"})["text"]["body"]["div"]
+    parts = rows.select("id", F.posexplode(body).alias("part", "d"))
+    own = F.nullif(X.heading_section(F.coalesce("d.head", F.lit(""))), F.lit(""))
+    named = parts.withColumn("section", F.coalesce(O.carry_forward(own, ["id"], [F.col("part")]), F.lit("unknown")))
+    each = named.select("id", "part", "section", F.posexplode("d.p").alias("i", "content")).withColumn("content", X.clean_space(F.col("content"))).where(F.length("content") >= least)
+    return each.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("part", "i"))).select("id", "n", "section", "content")
+
+
+def page_line_paragraphs(lines: DataFrame, least: int = 40) -> DataFrame:
+    """(doc, n, section, content) from the lines (doc, page, n, line) of pages: headings and empty lines part paragraphs, which go on over pages; short ones are noise."""
+    order = [F.col("page"), F.col("n")]
+    said = X.clean_space(F.col("line"))
+    is_head = (X.heading_section(said) != "") & P.is_heading_line(said)
+    rows = lines.select("doc", "page", "n", said.alias("said"), is_head.alias("is_head"))
+    section = O.carry_forward(F.when(F.col("is_head"), X.heading_section(F.col("said"))), ["doc"], order)
+    block = F.sum(((F.col("said") == "") | F.col("is_head")).cast("int")).over(Window.partitionBy("doc").orderBy(*order))
+    parted = rows.withColumn("section", F.coalesce(section, F.lit("unknown"))).withColumn("block", block).where("said <> '' and not is_head")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "n", "said"))), lambda x: x["said"]), " ")
+    whole = parted.groupBy("doc", "block", "section").agg(text.alias("content")).where(F.length("content") >= least)
+    return whole.withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("block"))).select("doc", "n", "section", "content")
+
+
 def item_stream(items: DataFrame) -> DataFrame:
     """Layout items (doc, idx, type, text) with the section that the last heading before them names."""
     heading = F.when((F.col("type") == "heading") | P.is_heading_line(F.col("text")), F.struct(F.col("text").alias("title"), X.heading_section(F.col("text")).alias("section")))
