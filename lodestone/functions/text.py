@@ -49,6 +49,7 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
+# Fixed value: how a statement states its confidence. The patterns inside the functions below are fixed values too: results depend on them.
 CONFIDENCE = r"(?i)\s*(?:\((?:model\s+)?confidence[:\s]*\d{1,3}(?:\.\d+)?%?\)|(?:model\s+)?confidence[:\s]+\d{1,3}(?:\.\d+)?%|\(\d{1,3}(?:\.\d+)?%\))\s*"
 
 

@@ -74,6 +74,7 @@ def test_predicates(spark):
     assert of(spark, lambda c: P.contradicts(F.lit("a significant effect"), c), "nonsignificant change", "same") == [True, False]  # words are matched inside words
     assert of(spark, P.is_incomplete, "(mean [SD], 0.", "A whole sentence.", "It depends on", "cut...", None) == [True, False, True, True, True]
     assert of(spark, P.is_ref_token, "f2", "section:x", "id:a", "word", "T12b") == [True, True, True, False, True]
+    assert of(spark, P.is_ref_token, " F3 ", "t", "f2ab", "figure:", "table:9", "supplement", "xsection:1", "", None) == [True, False, False, True, True, True, False, False, False]
     assert of(spark, P.asset_kind, "a.CSV", "b.pdf", "c", "d.zip", "e.htm") == ["tabular", "pdf", "", "archive", "html"]
     assert of(spark, lambda c: P.valid_source(F.lit("url"), c, F.lit(None).cast("string"), c), "https://a.org/x", "ftp://x", None) == ["", "give a full address or a DOI", "give a full address or a DOI"]
 
