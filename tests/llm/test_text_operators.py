@@ -406,6 +406,14 @@ def test_near_classes_against_all_pairs(spark):
     assert all(x.class_size == sizes[x.class_id] and x.kept == (i == x.class_id) for i, x in got.items())
 
 
+def test_near_classes_of_documents_against_all_pairs(spark):
+    """No class of the documents table differs from that of all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = brute_classes([(r.doc_id, r.text) for r in docs.collect()])
+    assert len(set(want.values())) < len(want)
+    assert {r.doc_id: r.class_id for r in neardup.near_classes(docs).collect()} == want
+
+
 @pytest.mark.parametrize("parts", [1, 3, 7])
 def test_near_classes_of_ids_with_several_texts(spark, parts):
     """An id's texts join its class, however the rows lie; rows without an id have a class of their own."""
