@@ -7,6 +7,7 @@ time. A document is the largest unit that a task holds.
 from __future__ import annotations
 
 import re
+from array import array
 from os.path import commonprefix
 
 import numpy as np
@@ -15,29 +16,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import EngineConfig, SECTION_LABELS, SECTIONS
-from ..functions import similarity as S
 
 
 def greedy_statements(rows: DataFrame, keys: list[str], order: str, key: str) -> DataFrame:
-    """By group, the canonical keys that are near-duplicates of none before them, in order."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, key))), lambda x: x[key])
-    return rows.groupBy(*keys).agg(S.greedy_distinct(ordered).alias("kept"))
+    """(keys.., kept): by group, the canonical keys that are near-duplicates of none before them, in order. A group's rows stream through one task, which holds what it keeps."""
+    width = len(keys)
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("kept", T.ArrayType(T.StringType()))])
+    arrow = [to_arrow_type(rows.schema[k].dataType) for k in keys]
+
+    def run(batches):
+        group, said = None, SaidBefore()
+
+        def out():
+            return pa.RecordBatch.from_arrays([*[pa.array([v], t) for v, t in zip(group, arrow, strict=True)], pa.array([said.keys], pa.list_(pa.string()))], names=schema.names)
+
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if row[:width] != group:
+                    if group is not None:
+                        yield out()
+                    group, said = row[:width], SaidBefore()
+                if row[width] and said.first(row[width]) is None:
+                    said.add(row[width])
+        if group is not None:
+            yield out()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).select(*keys, key).mapInArrow(run, schema)
 
 
 class SaidBefore:
     """Canonical keys in the order they came, and which of them say the same as a new one.
 
-    The relation is that of functions.similarity.near_duplicate. Word overlaps with all keys come from an index of words, so a
-    key costs what it shares and not a comparison of word sets with each.
+    The relation is that of functions.similarity.near_duplicate. Word overlaps come from an index of words. Where one key holds another of
+    three words or more, it has that one's second word as a whole, and keys with a long common beginning share their first nine words, so
+    these are looked up as well; only keys of one or two words are compared with all.
     """
 
     def __init__(self):
         self.keys: list[str] = []
         self.words: list[list[str]] = []
-        self.kinds: list[int] = []
-        self.holders: dict[str, list[int]] = {}
+        self.kinds = array("q")
+        self.holders: dict[str, array] = {}
+        self.inner: dict[str, list[int]] = {}
+        self.short: list[int] = []
+        self.begins: dict[tuple, list[int]] = {}
         self.gone: set[int] = set()
 
     def add(self, key: str) -> int:
@@ -48,27 +73,44 @@ class SaidBefore:
         kinds = set(words)
         self.kinds.append(len(kinds))
         for w in kinds:
-            self.holders.setdefault(w, []).append(place)
+            self.holders.setdefault(w, array("q")).append(place)
+        if len(words) < 3:
+            self.short.append(place)
+        else:
+            self.inner.setdefault(words[1], []).append(place)
+        if len(words) >= 10:
+            self.begins.setdefault(tuple(words[:9]), []).append(place)
         return place
 
     def drop(self, place: int) -> None:
         self.gone.add(place)
 
+    def _holding(self, key: str, words: list[str], kinds: set[str]):
+        """Places of keys that may hold this one or be held by it."""
+        if len(words) < 3:
+            yield from range(len(self.keys))
+            return
+        yield from min((self.holders.get(w, ()) for w in words[1:-1]), key=len)
+        yield from self.short
+        for w in kinds:
+            yield from self.inner.get(w, ())
+
     def alike(self, key: str) -> list[int]:
         """Places of the keys that say the same, in order; none for an empty key."""
         if not key or not self.keys:
             return []
         words = key.split(" ")
-        kinds = set(words)
-        shared = np.bincount([p for w in kinds for p in self.holders.get(w, ())], minlength=len(self.keys))
+        kinds, n = set(words), len(self.keys)
+        found = [np.array(self.holders[w]) for w in kinds if w in self.holders]
+        shared = np.bincount(np.concatenate(found), minlength=n) if found else np.zeros(n)
         sizes = np.array(self.kinds)
         of_larger, of_smaller = shared / np.maximum(sizes, len(kinds)), shared / np.minimum(sizes, len(kinds))
-        same = (of_larger >= 0.82) | ((of_smaller >= 0.90) & (of_larger >= 0.56))
-        for p in np.flatnonzero(~same):
-            other = self.keys[p]
-            short = min(len(words), len(self.words[p]))
-            same[p] = bool(other) and (key in other or other in key or (short >= 10 and len(commonprefix([words, self.words[p]])) / short >= 0.86))
-        return [int(p) for p in np.flatnonzero(same) if p not in self.gone and self.keys[p]]
+        same = set(np.flatnonzero((of_larger >= 0.82) | ((of_smaller >= 0.90) & (of_larger >= 0.56))).tolist())
+        same.update(p for p in self._holding(key, words, kinds) if key in self.keys[p] or self.keys[p] in key)
+        for p in self.begins.get(tuple(words[:9]), ()) if len(words) >= 10 else ():
+            if len(commonprefix([words, self.words[p]])) / min(len(words), len(self.words[p])) >= 0.86:
+                same.add(p)
+        return sorted(p for p in same if p not in self.gone and self.keys[p])
 
     def first(self, key: str) -> int | None:
         return next(iter(self.alike(key)), None)

@@ -116,6 +116,9 @@ def test_similarity(spark):
                 out.append(x)
         return out
 
+    each = [(g, i, k) for g in range(8) for i, k in enumerate(random_keys(g, 30, "a b c d e f g"))]
+    streamed = folds.greedy_statements(spark.createDataFrame(each, "g int, i int, k string").repartition(5), ["g"], "i", "k")
+    assert {r.g: r.kept for r in streamed.collect()} == {g: greedy([k for h, _, k in each if h == g]) for g in range(8)}
     for r in order.select("k", S.greedy_distinct(F.col("k")).alias("kept")).collect():
         assert r.kept == greedy(r.k) and alike(r.k)
 
@@ -164,8 +167,12 @@ def test_folds(spark):
 
 
 def test_said_before():
-    for seed in range(20):
-        keys, said = random_keys(seed, 40), folds.SaidBefore()
+    for seed in range(40):
+        keys, said = random_keys(seed, 40, "a b c d e f g h i j k l" if seed < 20 else "a ab ba aba b bb cab c abc"), folds.SaidBefore()
+        if seed % 2:  # long beginnings, and keys cut inside their words
+            base = [f"w{i}" for i in range(22)]
+            keys += [" ".join(base[:n] + [f"x{seed}{n}{i}" for i in range(m)]) for n in (8, 9, 10, 12, 19) for m in (0, 1, 2, 9)]
+            keys += [k[i:-i] for k in keys[:20] for i in (1, 2) if len(k) > 6]
         for i, k in enumerate(keys):
             assert said.alike(k) == [j for j in range(i) if says_the_same(k, keys[j])]
             said.add(k)
