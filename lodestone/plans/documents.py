@@ -20,7 +20,7 @@ from ..sources import readers as R
 from ..sources import sinks as K
 from ..streaming import jobs
 from ..workspace import scratch, written
-from .relational import SCORED, SENTENCES, WORDSET, scored_sentences, table
+from .relational import SCORED, SENTENCES, WORDSET, compact_sql, scored_sentences, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -282,7 +282,8 @@ def c04_section_tiers(spark, sf):
     return rows.join(counts, ["doc_id", "section"]).where(F.col("tier") <= wanted).groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("items"), F.max("tier").alias("tier"))
 
 
-@query()
+@query(f"""WITH {SCORED}, t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY score DESC, i) AS r FROM s), c AS (SELECT doc_id, section, trim(regexp_replace(string_agg(sentence, ' ' ORDER BY i), '\\s+', ' ', 'g')) AS c FROM t WHERE r <= 3 GROUP BY 1, 2)
+    SELECT doc_id, section, {compact_sql('c', 400)} AS summary FROM c""")
 def c05_executive_summary(spark, sf):
     """The best three sentences of each of a document's sections, joined and cut at a sentence."""
     top = O.top_k(scored_sentences(table(spark, sf, "documents")), ["doc_id", "section"], [F.desc("score"), F.col("i")], 3)

@@ -170,6 +170,15 @@ def j09_section_gate(spark, sf):
 
 
 SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
+def compact_sql(c: str, limit: int) -> str:
+    """SQL of functions.text.compact for a column that has clean space already."""
+    said = SENTENCES.replace("(text,", f"({c},")
+    kept = f"""list_reduce(list_prepend({{'t': '', 'o': true}}, list_transform({said}, lambda x: {{'t': x, 'o': true}})),
+        lambda a, b: CASE WHEN a.o AND length(a.t) + length(b.t) + CASE WHEN a.t = '' THEN 0 ELSE 1 END <= {limit} THEN {{'t': a.t || CASE WHEN a.t = '' THEN '' ELSE ' ' END || b.t, 'o': true}} ELSE {{'t': a.t, 'o': false}} END).t"""
+    mark = "greatest(" + ", ".join(f"CASE WHEN contains({c}[1:{limit}], '{m}') THEN {limit + 1} - instr(reverse({c}[1:{limit}]), '{m}') ELSE 0 END" for m in ";:,") + ")"
+    return f"CASE WHEN length({c}) <= {limit} THEN {c} ELSE coalesce(nullif({kept}, ''), CASE WHEN {mark} >= {int(limit * 0.65)} THEN rtrim({c}[1:{mark} - 1]) END, {c}) END"
+
+
 WORDSET = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z0-9][a-z0-9-]*')), lambda x: x NOT IN ('a','an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','that','the','to','was','were','with'))"
 
 

@@ -221,7 +221,7 @@ def f11_statement_key(spark, sf):
     return statements(spark, sf).select("id", X.statement_key(F.col("t")).alias("key"))
 
 
-@query()
+@query(f"{S_}, c AS (SELECT id, {CLEAN} AS c FROM s) SELECT id, {L.compact_sql('c', 60)} AS compact FROM c")
 def f13_compact(spark, sf):
     return statements(spark, sf).select("id", X.compact(F.col("t"), 60).alias("compact"))
 
