@@ -66,24 +66,33 @@ def packets_of(chunks: DataFrame) -> DataFrame:
 
 PACKETS = rf"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
     c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS ord FROM (SELECT doc_id, i, trim(regexp_replace(line, '\s+', ' ', 'g')) AS text FROM l) WHERE length(text) >= 30),
-    k AS (SELECT *, CAST(ord - 1 AS DOUBLE) / greatest(1, count(*) OVER (PARTITION BY doc_id) - 1) AS pos FROM c WHERE ord <= 400),
+    k AS (SELECT *, CAST(ord - 1 AS DOUBLE) / greatest(1, count(*) OVER (PARTITION BY doc_id) - 1) AS pos FROM c),
     e AS (SELECT doc_id, ord, pos, unnest({SENTENCES}) AS sentence, generate_subscripts({SENTENCES}, 1) - 1 AS j FROM k)"""
 
 
-@query(rf"WITH {PACKETS} SELECT doc_id AS document_id, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars FROM c WHERE ord <= 400 GROUP BY 1")
+#: Packets that are no noise.
+NOISE_FREE = r"""length(sentence) >= 24 AND NOT regexp_matches(sentence, '^[0-9\s.,;:%()-]+$') AND NOT contains(sentence, '$^{') AND NOT (length(sentence) >= 16 AND CAST(len(regexp_extract_all(sentence, '\p{Lu}')) AS DOUBLE) / greatest(1, len(regexp_extract_all(sentence, '\p{L}'))) > 0.85)
+    AND NOT regexp_matches(sentence, '(?i)\b(doi:|received [a-z]+ \d{1,2}, \d{4}|revision received|accepted [a-z]+ \d{1,2}, \d{4}|published online|address correspondence|presented at|supported by nih|financial relationships|customer service|table\s+\d+|figure\s+\d+)\b')"""
+
+
+@query(rf"WITH {PACKETS} SELECT doc_id AS document_id, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars FROM c GROUP BY 1")
 def s06_document_chunks(spark, sf):
     return document_chunks(table(spark, sf, "documents")).groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("content")).alias("chars"))
 
 
 @query(rf"""WITH {PACKETS} SELECT doc_id AS document_id, CASE WHEN pos <= 0.22 THEN 'introduction' WHEN pos <= 0.52 THEN 'methods' WHEN pos <= 0.70 THEN 'results' WHEN pos <= 0.90 THEN 'discussion' ELSE 'conclusion' END AS section, count(*) AS packets
-    FROM e WHERE length(sentence) >= 24 AND NOT regexp_matches(sentence, '^[0-9\s.,;:%()-]+$') AND NOT contains(sentence, '$^{{') AND NOT (length(sentence) >= 16 AND CAST(len(regexp_extract_all(sentence, '\p{{Lu}}')) AS DOUBLE) / greatest(1, len(regexp_extract_all(sentence, '\p{{L}}'))) > 0.85)
-    AND NOT regexp_matches(sentence, '(?i)\b(doi:|received [a-z]+ \d{{1,2}}, \d{{4}}|revision received|accepted [a-z]+ \d{{1,2}}, \d{{4}}|published online|address correspondence|presented at|supported by nih|financial relationships|customer service|table\s+\d+|figure\s+\d+)\b') GROUP BY 1, 2""")
+    FROM e WHERE {NOISE_FREE} GROUP BY 1, 2""")
 def u01_text_packets(spark, sf):
     """The deterministic extractor: what a model would be asked for, by rules."""
     return packets_of(document_chunks(table(spark, sf, "documents"))).groupBy("document_id", "section").agg(F.count(F.lit(1)).alias("packets"))
 
 
-@query()
+@query(rf"""WITH {PACKETS}, p AS (SELECT doc_id, ord, j, CASE WHEN pos <= 0.22 THEN 'introduction' WHEN pos <= 0.52 THEN 'methods' WHEN pos <= 0.70 THEN 'results' WHEN pos <= 0.90 THEN 'discussion' ELSE 'conclusion' END AS section, sentence,
+    array_to_string(regexp_extract_all(lower(sentence), '[a-z0-9]+(?:\.[0-9]+)?'), ' ') AS key FROM e WHERE {NOISE_FREE}),
+    g AS (SELECT doc_id, list([{{'c': ord, 'p': j, 's': section, 't': sentence, 'k': key}}] ORDER BY ord, j) AS x FROM p GROUP BY 1),
+    r AS (SELECT doc_id, unnest(list_reduce(x, lambda a, b: CASE WHEN len(list_filter(a, lambda t: t.s = b[1].s)) < CASE b[1].s {' '.join(f"WHEN '{k}' THEN {v}" for k, v in EngineConfig().quotas.items())} ELSE 0 END
+        AND len(list_filter(a, lambda t: t.c = b[1].c)) < {EngineConfig().per_chunk} AND len(list_filter(a, lambda t: t.k = b[1].k)) = 0 THEN list_concat(a, b) ELSE a END)) AS v FROM g)
+    SELECT doc_id AS document_id, v.c AS chunk, v.p AS pos, v.s AS section, v.t AS sentence, v.k AS key FROM r""")
 def d12_quota_sample(spark, sf):
     return folds.quota_sample(packets_of(document_chunks(table(spark, sf, "documents"))).select("document_id", "chunk", "pos", "section", "sentence", "key"), "document_id")
 
@@ -339,7 +348,9 @@ def r11_stream_windows(spark, sf):
     return _run_to_end(jobs.windowed_counts(events, "t", "event_type", size="1 day"), "complete").select(F.col("began").cast("timestamp_ntz").alias("began"), "event_type", "n")
 
 
-@query()
+@query("""WITH l AS (SELECT user_id AS job_id, list({'s': CASE event_id % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'completed' WHEN 2 THEN 'failed' ELSE 'queued' END, 'm': 0} ORDER BY ts) AS x FROM events GROUP BY 1),
+    r AS (SELECT job_id, list_reduce(list_prepend({'s': 'queued', 'm': 0}, x), lambda a, b: CASE WHEN (a.s = 'queued' AND b.s IN ('running', 'failed')) OR (a.s = 'running' AND b.s IN ('completed', 'failed', 'queued')) OR (a.s = 'failed' AND b.s = 'queued')
+        THEN {'s': b.s, 'm': a.m + 1} ELSE a END) AS r FROM l) SELECT job_id, r.s AS status, CAST(r.m AS BIGINT) AS moves FROM r""")
 def r03_status_stream(spark, sf):
     """Jobs' states kept as state a job: moves follow the events in order, forbidden ones are ignored."""
     events = _stream(spark, sf, "events").select(F.col("user_id").alias("job_id"), "ts", F.element_at(F.array(*[F.lit(s) for s in ("running", "completed", "failed", "queued")]), (F.col("event_id") % 4).cast("int") + 1).alias("status"))

@@ -351,7 +351,7 @@ def c06_evaluation(spark, sf):
     return m.agg(F.lit("overall").alias("scope"), F.count(F.lit(1)).alias("points"), F.count_if("matched").alias("hits"), F.round(F.count_if("matched") / F.count(F.lit(1)), 9).alias("recall"), F.round(F.avg("score"), 9).alias("mean_score"))
 
 
-@query(rf"WITH {D.PACKETS} SELECT 'chunks' AS stage, count(*) AS n FROM c WHERE ord <= 400 UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'sentences', count(*) FROM e")
+@query(rf"WITH {D.PACKETS} SELECT 'chunks' AS stage, count(*) AS n FROM c UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'sentences', count(*) FROM e")
 def c07_stage_counts(spark, sf):
     docs = table(spark, sf, "documents")
     chunks = D.document_chunks(docs)

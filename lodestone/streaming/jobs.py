@@ -43,7 +43,7 @@ def status_stream(events: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, moves = state.get if state.exists else ("queued", 0)
-        rows = pd.concat(list(batches)).sort_values("ts")
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
         for to in rows["status"]:
             if to in MOVES[status]:
                 status, moves = to, moves + 1
