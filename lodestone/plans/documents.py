@@ -20,7 +20,7 @@ from ..sources import readers as R
 from ..sources import sinks as K
 from ..streaming import jobs
 from ..workspace import scratch, written
-from .relational import SCORED, SENTENCES, WORDSET, compact_sql, scored_sentences, table
+from .relational import KEPT, SCORED, SENTENCES, WORDSET, compact_sql, scored_sentences, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -97,7 +97,9 @@ def d12_quota_sample(spark, sf):
     return folds.quota_sample(packets_of(document_chunks(table(spark, sf, "documents"))).select("document_id", "chunk", "pos", "section", "sentence", "key"), "document_id")
 
 
-@query()
+@query(rf"""WITH {PACKETS}, p AS (SELECT doc_id, ord, j, CASE WHEN pos <= 0.22 THEN 'introduction' WHEN pos <= 0.52 THEN 'methods' WHEN pos <= 0.70 THEN 'results' WHEN pos <= 0.90 THEN 'discussion' ELSE 'conclusion' END AS section,
+    array_to_string(regexp_extract_all(lower(sentence), '[a-z0-9]+(?:\.[0-9]+)?'), ' ') AS key FROM e WHERE {NOISE_FREE}), g AS (SELECT doc_id AS document_id, section, list([key] ORDER BY ord, j) FILTER (WHERE key <> '') AS x FROM p GROUP BY 1, 2),
+    r AS (SELECT document_id, section, CASE WHEN x IS NULL THEN [] ELSE {KEPT} END AS v FROM g) SELECT document_id, section, CAST(len(v) AS INTEGER) AS kept, array_to_string(v, '|') AS keys FROM r""")
 def d07_greedy_statements(spark, sf):
     """Sentences of each section of a document that repeat none before them there."""
     rows = packets_of(document_chunks(table(spark, sf, "documents"))).withColumn("ord", F.struct("chunk", "pos"))
@@ -300,7 +302,8 @@ def c05_executive_summary(spark, sf):
     return said.select("doc_id", "section", X.compact(F.col("s"), 400).alias("summary"))
 
 
-@query()
+@query(f"""WITH k AS (SELECT conv_id, turn, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+(?:\\.[0-9]+)?'), ' ') AS key FROM conversations), g AS (SELECT conv_id, list([key] ORDER BY turn) FILTER (WHERE key <> '') AS x FROM k GROUP BY 1)
+    SELECT conv_id, CAST(CASE WHEN x IS NULL THEN 0 ELSE len({KEPT}) END AS INTEGER) AS kept FROM g""")
 def d06_near_duplicate_fold(spark, sf):
     """Conversation turns that say nothing new, by the greedy filter inside each conversation."""
     rows = table(spark, sf, "conversations").select("conv_id", "turn", X.canonical(F.col("text")).alias("key"))

@@ -179,6 +179,18 @@ def compact_sql(c: str, limit: int) -> str:
     return f"CASE WHEN length({c}) <= {limit} THEN {c} ELSE coalesce(nullif({kept}, ''), CASE WHEN {mark} >= {int(limit * 0.65)} THEN rtrim({c}[1:{mark} - 1]) END, {c}) END"
 
 
+def near_sql(x: str, y: str) -> str:
+    """SQL of functions.similarity.near_duplicate for two keys that aren't empty."""
+    u, v = (f"list_distinct(string_split({k}, ' '))" for k in (x, y))
+    both, most, least = f"len(list_intersect({u}, {v}))::DOUBLE", f"greatest(len({u}), len({v}))", f"least(len({u}), len({v}))"
+    short = f"least(len(string_split({x}, ' ')), len(string_split({y}, ' ')))"
+    differs = f"list_position(list_transform(list_zip(string_split({x}, ' '), string_split({y}, ' ')), lambda z: coalesce(z[1] = z[2], false)), false)"
+    prefix = f"CASE WHEN {differs} IS NULL OR {differs} = 0 THEN {short} ELSE least({differs} - 1, {short}) END"
+    return f"(contains({x}, {y}) OR contains({y}, {x}) OR {both} / {most} >= 0.82 OR ({both} / {least} >= 0.90 AND {both} / {most} >= 0.56) OR ({short} >= 10 AND ({prefix}) / {short}::DOUBLE >= 0.86))"
+
+
+#: Of a list x of lists of one key each, those that say what none before them said.
+KEPT = f"list_reduce(x, lambda a, b: CASE WHEN len(list_filter(a, lambda k: {near_sql('k', 'b[1]')})) = 0 THEN list_concat(a, b) ELSE a END)"
 WORDSET = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z0-9][a-z0-9-]*')), lambda x: x NOT IN ('a','an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','that','the','to','was','were','with'))"
 
 
