@@ -183,7 +183,15 @@ def j17_discrepancy_links(spark, sf):
     return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_returnflag").alias("reason"), F.col("l_orderkey").cast("string").alias("packet_id")).distinct()
 
 
-@query()
+def ranked_sql(score: str, limit: int, anchor: str = "''", per_anchor: int | None = None) -> str:
+    """SQL of operators.reports.ranked_greedy over scored sentences: a fold over a section's items in order of score."""
+    fresh = f"len(list_filter(a, lambda t: t.k <> '' AND b[1].k <> '' AND {L.near_sql('t.k', 'b[1].k')})) = 0" + (f" AND len(list_filter(a, lambda t: t.a = b[1].a)) < {per_anchor}" if per_anchor else "")
+    return f"""WITH {L.SCORED}, g AS (SELECT doc_id, section, list([{{'k': key, 'o': i, 'a': {anchor}}}] ORDER BY {score} DESC, i) AS x FROM s GROUP BY 1, 2),
+        f AS (SELECT doc_id, section, list_reduce(x, lambda a, b: CASE WHEN len(a) < {limit} AND {fresh} THEN list_concat(a, b) ELSE a END) AS v FROM g)
+        SELECT doc_id, section, unnest(v).o AS ord, generate_subscripts(v, 1) AS rank FROM f"""
+
+
+@query(ranked_sql("score - length(sentence) / 10000.0", 4))
 def t05_ranked_fallback(spark, sf):
     rows = scored_sentences(table(spark, sf, "documents")).select("doc_id", "section", (F.col("score") - F.length("sentence") / 10_000.0).alias("score"), F.col("i").alias("ord"), "key", F.lit("").alias("anchor"))
     return R.ranked_greedy(rows, ["doc_id", "section"], 4).select("doc_id", "section", "ord", "rank")
@@ -203,7 +211,7 @@ def t08_slots_in_order(spark, sf):
     return R.best_unused(rows, "doc_id", ["design", "sample", "measures", "analysis"])
 
 
-@query()
+@query(ranked_sql("score", 6, "'para:' || i // 5", 2))
 def t10_presentation(spark, sf):
     rows = scored_sentences(table(spark, sf, "documents")).select("doc_id", "section", "score", F.col("i").alias("ord"), "key", F.concat(F.lit("para:"), (F.col("i") / 5).cast("int")).alias("anchor"))
     return R.ranked_greedy(rows, ["doc_id", "section"], 6, per_anchor=2).select("doc_id", "section", "ord", "rank")
