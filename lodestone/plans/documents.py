@@ -20,7 +20,7 @@ from ..sources import readers as R
 from ..sources import sinks as K
 from ..streaming import jobs
 from ..workspace import scratch, written
-from .relational import KEPT, SCORED, SENTENCES, WORDSET, compact_sql, scored_sentences, table
+from .relational import KEPT, SCORED, SENTENCES, WORDSET, compact_sql, near_sql, scored_sentences, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -129,19 +129,37 @@ def d10_slot_dedupe(spark, sf):
 
 def _slot_candidates(spark, sf) -> DataFrame:
     rows = scored_sentences(table(spark, sf, "documents"))
-    words = {"design": "that", "sample": "with", "measures": "from", "analysis": "this"}
-    hit = F.array(*[F.when(F.regexp_count(F.lower("sentence"), F.lit(rf"\b{w}\b")) > 0, F.lit(s)) for s, w in words.items()])
+    hit = F.array(*[F.when(F.regexp_count(F.lower("sentence"), F.lit(rf"\b{w}\b")) > 0, F.lit(s)) for s, w in SLOTS.items()])
     each = rows.withColumn("slot", F.explode(F.filter(hit, lambda x: x.isNotNull())))
     score = 80.0 + F.col("score") * 10
     return each.select("doc_id", "slot", F.col("i").cast("long").alias("idx"), F.concat(F.lit("para:"), (F.col("i") / 5).cast("int")).alias("anchor"), "key", F.col("sentence").alias("statement"), score.alias("score"))
 
 
-@query()
+SLOTS = {"design": "that", "sample": "with", "measures": "from", "analysis": "this"}
+SLOT_CANDIDATES = rf"""{SCORED}, c AS (SELECT doc_id, slot, i AS idx, 'para:' || i // 5 AS anchor, key, sentence AS statement, 80.0 + score * 10 AS score FROM s, (VALUES {', '.join(f"('{k}', '{w}')" for k, w in SLOTS.items())}) w(slot, word) WHERE regexp_matches(lower(sentence), '\b' || word || '\b'))"""
+
+
+def _assigned_sql() -> str:
+    """CTEs whose last, f, has every document's slots as the greedy assignment fills them: a step a slot, and again for what is left, where anchors may repeat."""
+    steps, last = ["h0 AS MATERIALIZED (SELECT * EXCLUDE (score) FROM c WHERE false)"], "h0"
+    for again in (False, True):
+        for slot in SLOTS:
+            taken = f"h.slot = '{slot}' OR h.idx = c.idx OR (c.key <> '' AND h.key <> '' AND {near_sql('c.key', 'h.key')})" + ("" if again else " OR h.anchor = c.anchor")
+            best = f"SELECT * EXCLUDE (score, r) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, idx) AS r FROM c WHERE slot = '{slot}' AND score > 0 AND NOT EXISTS (SELECT 1 FROM {last} h WHERE h.doc_id = c.doc_id AND ({taken}))) WHERE r = 1"
+            steps.append(f"h{len(steps)} AS MATERIALIZED (SELECT * FROM {last} UNION ALL {best})")
+            last = f"h{len(steps) - 1}"
+    every = f"(SELECT DISTINCT doc_id FROM c) d, (VALUES {', '.join(f"('{k}')" for k in SLOTS)}) w(slot)"
+    return f"WITH {SLOT_CANDIDATES}, {', '.join(steps)}, f AS (SELECT d.doc_id, w.slot, coalesce(h.statement, '') AS statement, coalesce(h.anchor, '') AS anchor, coalesce(h.idx, -1) AS idx, CASE WHEN h.idx IS NULL THEN 'not_found' ELSE 'found' END AS status FROM {every} LEFT JOIN {last} h ON h.doc_id = d.doc_id AND h.slot = w.slot)"
+
+
+@query(f"{_assigned_sql()} SELECT * FROM f")
 def t07_slot_assignment(spark, sf):
-    return folds.assign_slots(_slot_candidates(spark, sf), "doc_id", ["design", "sample", "measures", "analysis"])
+    return folds.assign_slots(_slot_candidates(spark, sf), "doc_id", list(SLOTS))
 
 
-@query()
+@query(f"""{_assigned_sql()}, gap AS (SELECT doc_id, slot, row_number() OVER (PARTITION BY doc_id ORDER BY slot) AS n FROM f WHERE status = 'not_found'),
+    spare AS (SELECT doc_id, statement, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS n FROM (SELECT DISTINCT doc_id, idx, statement FROM c) x WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = x.doc_id AND f.idx = x.idx))
+    SELECT gap.doc_id, gap.slot, coalesce(statement, '') AS statement FROM gap LEFT JOIN spare USING (doc_id, n)""")
 def t09_slot_rescue(spark, sf):
     """Empty slots take unused candidates in order: gaps and candidates are numbered and joined on the number."""
     filled = t07_slot_assignment(spark, sf)

@@ -205,10 +205,19 @@ def t06_raw_chunk_scores(spark, sf):
     return rows.select("id", *[F.round(R.raw_chunk_score(k, F.col("t"), F.col("pos")), 6).alias(k) for k in ("methods", "results")])
 
 
-@query()
+def _in_order_sql() -> str:
+    steps, last = ["h0 AS MATERIALIZED (SELECT doc_id, slot, idx, score FROM c WHERE false)"], "h0"
+    for slot in D.SLOTS:
+        best = f"SELECT doc_id, slot, idx, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, idx) AS r FROM c WHERE slot = '{slot}' AND NOT EXISTS (SELECT 1 FROM {last} h WHERE h.doc_id = c.doc_id AND h.idx = c.idx)) WHERE r = 1"
+        steps.append(f"h{len(steps)} AS MATERIALIZED (SELECT * FROM {last} UNION ALL {best})")
+        last = f"h{len(steps) - 1}"
+    return f"WITH {D.SLOT_CANDIDATES}, {', '.join(steps)} SELECT * FROM {last}"
+
+
+@query(_in_order_sql())
 def t08_slots_in_order(spark, sf):
     rows = D._slot_candidates(spark, sf).select("doc_id", "slot", "idx", "score")
-    return R.best_unused(rows, "doc_id", ["design", "sample", "measures", "analysis"])
+    return R.best_unused(rows, "doc_id", list(D.SLOTS))
 
 
 @query(ranked_sql("score", 6, "'para:' || i // 5", 2))
