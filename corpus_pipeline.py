@@ -34,7 +34,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the largest id of each class of near copies. Of rows that repeat that id the greatest (by its columns in order) stays; rows without an id all stay."""
     classes = written(neardup.near_classes(docs), "near-verdicts")
     kept = classes.where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept"))
-    stay = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").select(*docs.columns)
+    # as many ids as documents: always a merge join, whatever a small table would allow
+    stay = docs.join(kept.hint("merge"), docs["doc_id"] == kept["__kept"], "left_semi").select(*docs.columns)
     unnamed = docs.where("doc_id is null")
     rows, nameless = docs.count(), unnamed.count()
     if rows - nameless > classes.where("doc_id is not null").count():
