@@ -2,7 +2,8 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next one's docs. All but the last return the columns of documents, and no stage samples or caps.
-Rows without an id or text pass through each stage by the defined results of its operator.
+Nulls, empty and long texts, ties, repeated rows, empty tables and further columns (which all stages but the last carry along) have the results that
+each stage states; tests/llm covers them.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ def _columns(docs: DataFrame, names: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that their best language's model accepts; those without letters go."""
+    """Documents that their best language's model accepts; null, empty and letterless texts go, equal texts share their fate; without labelled rows none is accepted."""
     model = langid.train(docs, ~langid.held_out())
     return langid.identify(docs, model).where("accepted").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that a later document holds."""
+    """All documents, without the lines that a later document holds; null texts stay null, rows that repeat an id lose lines by their own text, rows without an id come before all others."""
     return _columns(lines.drop_repeated_lines(docs), docs.columns)
 
 
@@ -44,13 +45,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark window occurs."""
+    """Documents in which no benchmark window occurs; null texts and an empty benchmark drop nothing, repeated rows share their fate."""
     found = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"))
     return found.where(F.size(decontam.SPANS) == 0).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the digests of ids and of the bytes that decoding gives."""
+    """Token ids of every document, with the digests of ids and of the bytes that decoding gives; a null text has none; columns of other names aren't carried."""
     return bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), keep_ids=True).drop("text")
 
 
