@@ -1,19 +1,20 @@
 """Order-dependent steps that no window expresses: per-document folds.
 
-Small states fold inside the plan (aggregate over a sorted array); larger ones run as grouped pandas, a document at a
-time. A document is the largest unit that a task holds.
+Small states fold inside the plan (aggregate over a sorted array); larger ones stream through Arrow batches sorted by group, or run
+as grouped pandas, a document at a time. A document is the largest unit that a task holds.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Callable, Iterator
 from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -47,17 +48,42 @@ def greedy_statements(rows: DataFrame, keys: list[str], order: str, key: str) ->
     return rows.repartition(*keys).sortWithinPartitions(*keys, order).select(*keys, key).mapInArrow(run, schema)
 
 
+def streamed(rows: DataFrame, keys: list[str], order: list[Column], pick: Callable[[], Callable[..., int | None]], columns: list[str], number: str | None = None) -> DataFrame:
+    """Rows that a fold keeps. A group's rows pass in order through pick(), made anew for each group, as the values of columns; it gives a row's number, from 1, or None where
+    the row goes. number: the column that gets it."""
+    schema = rows.schema if number is None else rows.withColumn(number, F.lit(0).cast("long")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, one = object(), None
+        for batch in batches:
+            kept, numbers = [], []
+            values = zip(*[batch.column(c).to_pylist() for c in columns], strict=True)
+            for i, (own, row) in enumerate(zip(zip(*[batch.column(k).to_pylist() for k in keys], strict=True), values, strict=True)):
+                if own != group:
+                    group, one = own, pick()
+                if (n := one(*row)) is not None:
+                    kept.append(i)
+                    numbers.append(n)
+            out = batch.take(pa.array(kept, pa.int64())).columns
+            yield pa.RecordBatch.from_arrays(out if number is None else [*out, pa.array(numbers, pa.int64())], names=schema.names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 class SaidBefore:
     """Canonical keys in the order they came, and which of them say the same as a new one.
 
-    The relation is that of functions.similarity.near_duplicate. Word overlaps come from an index of words. Where one key holds another of
-    three words or more, it has that one's second word as a whole, and keys with a long common beginning share their first nine words, so
-    these are looked up as well; only keys of one or two words are compared with all.
+    The relation is that of functions.similarity.near_duplicate. Up to FEW keys are compared one by one. Of more, word overlaps come from an
+    index of words. Where one key holds another of three words or more, it has that one's second word as a whole, and keys with a long common
+    beginning share their first nine words, so these are looked up as well; only keys of one or two words are compared with all.
     """
 
+    FEW = 32
+
     def __init__(self):
         self.keys: list[str] = []
         self.words: list[list[str]] = []
+        self.sets: list[set[str]] = []
         self.kinds = array("q")
         self.holders: dict[str, array] = {}
         self.inner: dict[str, list[int]] = {}
@@ -70,6 +96,18 @@ class SaidBefore:
         place, words = len(self.keys), key.split(" ")
         self.keys.append(key)
         self.words.append(words)
+        if place < self.FEW:
+            self.sets.append(set(words))
+            return place
+        if self.sets:
+            for p in range(place):
+                self._index(p)
+            self.sets = []
+        self._index(place)
+        return place
+
+    def _index(self, place: int) -> None:
+        words = self.words[place]
         kinds = set(words)
         self.kinds.append(len(kinds))
         for w in kinds:
@@ -80,7 +118,20 @@ class SaidBefore:
             self.inner.setdefault(words[1], []).append(place)
         if len(words) >= 10:
             self.begins.setdefault(tuple(words[:9]), []).append(place)
-        return place
+
+    def _same(self, key: str, words: list[str], kinds: set[str], place: int) -> bool:
+        """Whether this key and the one there, of the first FEW, say the same; neither is empty."""
+        other, own = self.keys[place], self.sets[place]
+        if key in other or other in key:
+            return True
+        most, least = max(len(kinds), len(own)), min(len(kinds), len(own))
+        if least / most >= 0.56:
+            both = len(kinds & own)
+            if both / most >= 0.82 or (both / least >= 0.90 and both / most >= 0.56):
+                return True
+        there = self.words[place]
+        short = min(len(words), len(there))
+        return short >= 10 and words[:9] == there[:9] and len(commonprefix([words, there])) / short >= 0.86
 
     def drop(self, place: int) -> None:
         self.gone.add(place)
@@ -101,6 +152,8 @@ class SaidBefore:
             return []
         words = key.split(" ")
         kinds, n = set(words), len(self.keys)
+        if self.sets:
+            return [p for p in range(n) if self.keys[p] and p not in self.gone and self._same(key, words, kinds, p)]
         found = [np.array(self.holders[w]) for w in kinds if w in self.holders]
         shared = np.bincount(np.concatenate(found), minlength=n) if found else np.zeros(n)
         sizes = np.array(self.kinds)
@@ -113,6 +166,10 @@ class SaidBefore:
         return sorted(p for p in same if p not in self.gone and self.keys[p])
 
     def first(self, key: str) -> int | None:
+        if self.sets and key:
+            words = key.split(" ")
+            kinds = set(words)
+            return next((p for p, other in enumerate(self.keys) if other and p not in self.gone and self._same(key, words, kinds, p)), None)
         return next(iter(self.alike(key)), None)
 
 
@@ -172,23 +229,46 @@ def cross_section_winners(rows: DataFrame, document: str, config: EngineConfig =
     items and is left with fewer gets its best losers back. Items with an empty key stay as they are.
     """
     rank = {s: i for i, s in enumerate(SECTIONS)}
+    schema = rows.schema
+    arrow = [to_arrow_type(f.dataType) for f in schema]
+    at = [schema.names.index(c) for c in (document, "section", "ord", "key", "score")]
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = pdf[pdf["key"] != ""].assign(rank=pdf["section"].map(rank).fillna(9)).sort_values(["rank", "ord"])
+    def pick(held: list[tuple]) -> list[tuple]:
+        items = sorted((rank.get(r[at[1]], 9), r[at[2]], i) for i, r in enumerate(held) if r[at[3]])
         said, cluster = SaidBefore(), []
-        for key in items["key"]:
-            place = said.first(key)
-            cluster.append(said.add(key) if place is None else place)
-        best_first = items.assign(cluster=cluster).sort_values(["score", "rank", "ord"], ascending=[False, True, True])
-        stay = set(best_first.drop_duplicates("cluster").index)
+        for _, _, i in items:
+            place = said.first(held[i][at[3]])
+            cluster.append(said.add(held[i][at[3]]) if place is None else place)
+        best_first = sorted((-held[i][at[4]], k, o, i, c) for (k, o, i), c in zip(items, cluster, strict=True))
+        stay, won = set(), set()
+        for *_, i, c in best_first:
+            if c not in won:
+                won.add(c)
+                stay.add(i)
         for section, least in config.min_keep.items():
-            own = best_first.index[best_first["section"] == section]
-            kept = [i for i in own if i in stay]
-            if len(own) >= least > len(kept):
-                stay.update([i for i in own if i not in stay][: least - len(kept)])
-        return pdf[[k == "" or i in stay for i, k in zip(pdf.index, pdf["key"], strict=True)]]
+            own = [i for *_, i, _ in best_first if held[i][at[1]] == section]
+            lost = [i for i in own if i not in stay]
+            kept = len(own) - len(lost)
+            if len(own) >= least > kept:
+                stay.update(lost[: least - kept])
+        return [r for i, r in enumerate(held) if not r[at[3]] or i in stay]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(arrow)], names=schema.names)
+
+        current, held, out = object(), [], []
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if row[at[0]] != current:
+                    out += pick(held)
+                    current, held = row[at[0]], []
+                held.append(row)
+            yield sent(out)
+            out = []
+        yield sent(pick(held))
 
-    return rows.groupBy(document).applyInPandas(pick, rows.schema)
+    return rows.repartition(document).sortWithinPartitions(document).mapInArrow(run, schema)
 
 
 def assign_slots(candidates: DataFrame, document: str, slots: list[str], reuse_anchor: bool = True) -> DataFrame:
@@ -225,18 +305,20 @@ def assign_slots(candidates: DataFrame, document: str, slots: list[str], reuse_a
 def quota_sample(rows: DataFrame, document: str, config: EngineConfig = EngineConfig()) -> DataFrame:
     """Sentences (document, chunk, pos, section, sentence, key) in order, up to each section's quota and per_chunk of a chunk; equal keys once."""
 
-    def sample(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, taken, seen, keep = dict(config.quotas), {}, set(), []
-        for row in pdf.sort_values(["chunk", "pos"]).itertuples():
-            if left.get(row.section, 0) <= 0 or taken.get(row.chunk, 0) >= config.per_chunk or row.key in seen:
-                continue
-            left[row.section] -= 1
-            taken[row.chunk] = taken.get(row.chunk, 0) + 1
-            seen.add(row.key)
-            keep.append(row.Index)
-        return pdf.loc[keep]
+    def sample() -> Callable[..., int | None]:
+        left, taken, seen = dict(config.quotas), {}, set()
+
+        def one(section: str, chunk: int, key: str) -> int | None:
+            if left.get(section, 0) <= 0 or taken.get(chunk, 0) >= config.per_chunk or key in seen:
+                return None
+            left[section] -= 1
+            taken[chunk] = taken.get(chunk, 0) + 1
+            seen.add(key)
+            return len(seen)
+
+        return one
 
-    return rows.groupBy(document).applyInPandas(sample, rows.schema)
+    return streamed(rows, [document], [F.col("chunk"), F.col("pos")], sample, ["section", "chunk", "key"])
 
 
 ORDER = {s: i for i, s in enumerate(SECTION_LABELS)}

@@ -59,21 +59,22 @@ def paywall_notes(rows: DataFrame, key: str, text: str) -> DataFrame:
 def ranked_greedy(rows: DataFrame, keys: list[str], limit: int, per_anchor: int | None = None) -> DataFrame:
     """Items (keys.., score, ord, key, anchor) by score, then place: kept unless near-duplicates of a kept one or one too many of an anchor's kept ones, up to the limit."""
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, said, anchors = [], folds.SaidBefore(), {}
-        for r in pdf.sort_values(["score", "ord"], ascending=[False, True]).itertuples():
-            if len(kept) >= limit:
-                break
-            if (per_anchor and anchors.get(r.anchor, 0) >= per_anchor) or said.first(r.key) is not None:
-                continue
-            kept.append(r.Index)
-            said.add(r.key)
-            anchors[r.anchor] = anchors.get(r.anchor, 0) + 1
-        out = pdf.loc[kept].copy()
-        out["rank"] = range(1, len(out) + 1)
-        return out
-
-    return rows.groupBy(*keys).applyInPandas(pick, rows.withColumn("rank", F.lit(0).cast("long")).schema)
+    def pick() -> Callable[..., int | None]:
+        kept, said, anchors = 0, folds.SaidBefore(), {}
+
+        def one(key: str, anchor: str) -> int | None:
+            nonlocal kept
+            if kept >= limit or (per_anchor and anchors.get(anchor, 0) >= per_anchor) or (key and said.first(key) is not None):
+                return None
+            kept += 1
+            if key:
+                said.add(key)
+            anchors[anchor] = anchors.get(anchor, 0) + 1
+            return kept
+
+        return one
+
+    return folds.streamed(rows, keys, [F.desc("score"), F.col("ord")], pick, ["key", "anchor"], "rank")
 
 
 def best_unused(candidates: DataFrame, document: str, slots: list[str]) -> DataFrame:

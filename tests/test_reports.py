@@ -1,10 +1,17 @@
 """Report operators on small rows."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
+from lodestone.operators import folds
 from lodestone.operators import reports as R
+from lodestone.plans import reports
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_ranked_greedy_counts_only_kept_rows_of_an_anchor(spark):
@@ -53,3 +60,30 @@ def test_fallbacks_and_notes(spark):
     assert [r.doc for r in R.paywall_notes(rows, "doc", "t").collect()] == [1]
     draft = spark.createDataFrame([("d", " "), ("d", "better"), ("d", None)], "a string, b string").select(R.override(F.col("a"), F.col("b")))
     assert [r[0] for r in draft.collect()] == ["d", "better", "d"]
+
+
+def test_few_keys_are_compared_as_many_are():
+    r = random.Random(3)
+    said, few, indexed = [f"w{i}" for i in range(12)], folds.SaidBefore(), folds.SaidBefore()
+    indexed.FEW, few.FEW = 0, 1000
+    for n in range(400):
+        begin = "a b c d e f g h i j k l".split() if n % 4 == 0 else []
+        key = " ".join(begin + [r.choice(said) for _ in range(r.choice([0, 1, 2, 3, 6, 9]))])
+        assert few.alike(key) == indexed.alike(key) and few.first(key) == indexed.first(key)
+        few.add(key), indexed.add(key)
+        if n % 9 == 0:
+            few.drop(n), indexed.drop(n)
+
+
+def test_synthesis_streams_documents(spark, tiny):
+    assert "FlatMapGroupsInPandas" not in plan(reports.c03_synthesis(spark, tiny))
+    texts = [" ".join(f"d{i}s{k}w{j}" for j in range(8)) for i in range(3) for k in range(6)]
+    rows = [(i // 6, ("introduction", "results")[i % 2], i % 6, t, float(i % 5)) for i, t in enumerate(texts)] + [(d, "discussion", 9, texts[d * 6], 9.0) for d in range(3)] + [(2, "results", 10, "", 0.0)]
+    df = spark.createDataFrame(rows, "doc long, section string, ord int, key string, score double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = sorted(map(tuple, folds.cross_section_winners(df, "doc").collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    lost = {(d, d * 6) for d in range(3)}  # the discussion says it better
+    assert got == sorted(r for r in rows if (r[0], r[0] * 6 + r[2]) not in lost or r[1] == "discussion")
