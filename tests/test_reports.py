@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import folds
 from lodestone.operators import reports as R
 from lodestone.plans import reports
+from oracle import assert_same
 
 
 def plan(df) -> str:
@@ -87,3 +88,23 @@ def test_synthesis_streams_documents(spark, tiny):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     lost = {(d, d * 6) for d in range(3)}  # the discussion says it better
     assert got == sorted(r for r in rows if (r[0], r[0] * 6 + r[2]) not in lost or r[1] == "discussion")
+
+
+def _documents(spark, path) -> str:
+    """Documents of which two have one id."""
+    text = lambda d, n: " ".join(f"The {d} sentence {i} {'that ' * (i % 3)}says thing{d}x{i} and other{d}x{i}." for i in range(n))
+    spark.createDataFrame([(1, text("a", 5)), (1, text("bbbbbbb", 40)), (2, text("c", 7)), (3, None)], "doc_id long, text string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def _same_as_sql(spark, path, name):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    assert_same(reports.queries()[name](spark, path), reports.oracle_sql()[name], db)
+
+
+def test_ranked_fallback_places_sentences_in_their_own_text(spark, tiny, tmp_path):
+    assert not {w for w in ("Window", "FlatMapGroupsInPandas") if w in plan(reports.t05_ranked_fallback(spark, tiny))}
+    _same_as_sql(spark, _documents(spark, tmp_path), "t05_ranked_fallback")
