@@ -108,3 +108,8 @@ def _same_as_sql(spark, path, name):
 def test_ranked_fallback_places_sentences_in_their_own_text(spark, tiny, tmp_path):
     assert not {w for w in ("Window", "FlatMapGroupsInPandas") if w in plan(reports.t05_ranked_fallback(spark, tiny))}
     _same_as_sql(spark, _documents(spark, tmp_path), "t05_ranked_fallback")
+
+
+def test_presentation_places_sentences_in_their_own_text(spark, tiny, tmp_path):
+    assert plan(reports.t10_presentation(spark, tiny)).count("Exchange") == 1 and "FlatMapGroupsInPandas" not in plan(reports.t10_presentation(spark, tiny))
+    _same_as_sql(spark, _documents(spark, tmp_path), "t10_presentation")
