@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions import numbers as N
 from ..functions import predicates as P
 from ..functions import similarity as S
+from ..functions import text as X
 
 
 def look_up(rows: DataFrame, table: DataFrame, key: str, table_key: str, value: str, default: str) -> DataFrame:
@@ -108,9 +109,14 @@ def valid_refs(rows: DataFrame, anchors: DataFrame, keys: list[str], ref: str) -
 
 def best_sentence(items: DataFrame, sentences: DataFrame, keys: list[str]) -> DataFrame:
     """For each item (keys.., item_id, statement) the sentence (keys.., pos, sentence) of the same anchor that says it best; the earliest of equals."""
-    score = S.token_f1(F.col("statement"), F.col("sentence")) + F.least(F.lit(0.15), F.length("sentence") / 2000.0)
-    scored = items.join(sentences, keys).withColumn("score", score)
-    return scored.groupBy("item_id").agg(F.max_by(F.struct("sentence", "score"), F.struct("score", -F.col("pos"))).alias("b")).select("item_id", "b.sentence", "b.score")
+    return best_said(items.withColumn("words", X.word_set(F.col("statement"))).join(sentences, keys))
+
+
+def best_said(pairs: DataFrame) -> DataFrame:
+    """best_sentence of pairs (item_id, words of its statement, pos, sentence) that are there already. Scores are equal where nine decimals are."""
+    said = pairs.withColumn("own", X.word_set(F.col("sentence")))
+    scored = said.select("item_id", "sentence", "pos", (S.set_f1(F.col("words"), F.col("own")) + F.least(F.lit(0.15), F.length("sentence") / 2000.0)).alias("score"))
+    return scored.groupBy("item_id").agg(F.max_by("sentence", F.struct(F.round("score", 9), -F.col("pos"))).alias("sentence"), F.max("score").alias("score"))
 
 
 #: Words of reference points, and queries, that a task holds at once.

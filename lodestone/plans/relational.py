@@ -200,10 +200,10 @@ WORDSET = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z0-9][a-
     SELECT doc_id AS item_id, max_by(sentence, (round(score, 9), -pos)) AS sentence, round(max(score), 6) AS score FROM x GROUP BY doc_id""")
 def j10_extractive_join(spark, sf):
     """For the first sentence of each document the other one that says it best."""
-    said = table(spark, sf, "documents").select("doc_id", X.sentences(F.col("text")).alias("s"))
-    items = said.select("doc_id", F.col("doc_id").alias("item_id"), F.element_at("s", 1).alias("statement")).where("size(s) > 1")
-    others = said.select("doc_id", F.posexplode("s").alias("pos", "sentence")).where("pos > 0")
-    out = J.best_sentence(items, others, ["doc_id"])
+    said = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), X.sentences(F.col("text")).alias("s"))
+    first = X.word_set(F.try_element_at("s", F.lit(1)))
+    pairs = said.select("item_id", first.alias("words"), "s").select("item_id", "words", F.posexplode("s").alias("pos", "sentence")).where("pos > 0")
+    out = J.best_said(pairs)
     return out.select("item_id", "sentence", F.round("score", 6).alias("score"))
 
 

@@ -24,3 +24,22 @@ def test_statements_of_all_sections(spark, tmp_path):
     spark.createDataFrame([(1, "\n".join([*lines, lines[-1]]))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.section: r.kept for r in D.d07_greedy_statements(spark, str(tmp_path)).collect()}
     assert got == {"introduction": 3, "methods": 3, "results": 2, "discussion": 2, "conclusion": 1}
+
+
+def test_extractive_scores_that_differ_beyond_nine_decimals_are_equal(spark, tmp_path):
+    """The later sentence's score is greater in its last bit only; documents with one id keep their own first sentences."""
+    import duckdb
+
+    from lodestone.plans import relational
+    from oracle import assert_same
+
+    pad = lambda words, n: f"{words}{',' * (n - 1 - len(words))}."
+    early, late = pad("alpha beta gamma", 31), pad("alpha delta epsilon zeta", 231)
+    assert 2 / 5 + len(late) / 2000 > 2 / 4 + len(early) / 2000
+    rows = [(1, f"Alpha. {early} {late}"), (2, "One two. One two three."), (2, "Four five. Three one. Six."), (3, None), (4, "alone")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = relational.j10_extractive_join(spark, str(tmp_path))
+    assert {r.item_id: r.sentence for r in got.collect()}[1] == early
+    assert_same(got, relational.oracle_sql()["j10_extractive_join"], db)
