@@ -41,6 +41,11 @@ def related_pairs(claims: DataFrame, packets: DataFrame, group: str, numeric: bo
     return out.distinct()
 
 
+def tone(rows: DataFrame) -> Column:
+    """The polarities of a row's text: its column tone, where they are known already."""
+    return F.col("tone") if "tone" in rows.columns else P.polarities(F.col("text"))
+
+
 def value_relations(claims: DataFrame, packets: DataFrame, group: str, limit: float = 0.35) -> DataFrame:
     """(group, claim_id, conflict, packet_id) of the claims (.., text, value) that are related by value to any packet of their group: both have one.
 
@@ -48,11 +53,11 @@ def value_relations(claims: DataFrame, packets: DataFrame, group: str, limit: fl
     without conflict. A claim differs from some value if it does from the least or the greatest, and packets of equal polarity are
     opposed alike, so a group sends its two outermost packets and one for each polarity, never a pair a packet.
     """
-    valued = packets.where("value is not null").withColumn("said", P.polarities(F.col("text")))
+    valued = packets.where("value is not null").withColumn("said", tone(packets))
     edge = lambda f: f(F.struct("value", "packet_id"))
     edges = valued.groupBy(group).agg(edge(F.min).alias("least"), edge(F.max).alias("most"))
     tones = valued.groupBy(group, "said").agg(F.min("packet_id").alias("packet_id")).groupBy(group).agg(F.collect_list(F.struct("said", "packet_id")).alias("tones"))
-    each = claims.where("value is not null").select(group, "claim_id", "value", P.polarities(F.col("text")).alias("own")).join(edges.join(tones, group), group)
+    each = claims.where("value is not null").select(group, "claim_id", "value", tone(claims).alias("own")).join(edges.join(tones, group), group)
     differs = [F.when(magnitude_mismatch(F.col("value"), F.col(f"{c}.value"), limit), F.col(f"{c}.packet_id")) for c in ("least", "most")]
     opposed = F.filter("tones", lambda t: P.opposed(F.col("own"), t["said"]))
     found = F.coalesce(*differs, F.try_element_at(opposed, F.lit(1))["packet_id"])
@@ -69,7 +74,12 @@ def magnitude_mismatch(a: Column, b: Column, limit: float = 0.35) -> Column:
 
 def relation(claim: Column, packet: Column, claim_value: Column, packet_value: Column, overlap: Column, limit: float = 0.35) -> Column:
     """The first rule that fires for a related pair."""
-    return F.when(magnitude_mismatch(claim_value, packet_value, limit), "magnitude_mismatch").when(P.contradicts(claim, packet), "contradicted").when(overlap, "support").otherwise("unresolved")
+    return tones_relation(P.polarities(claim), P.polarities(packet), claim_value, packet_value, overlap, limit)
+
+
+def tones_relation(claim: Column, packet: Column, claim_value: Column, packet_value: Column, overlap: Column, limit: float = 0.35) -> Column:
+    """relation of texts by their polarities."""
+    return F.when(magnitude_mismatch(claim_value, packet_value, limit), "magnitude_mismatch").when(P.opposed(claim, packet), "contradicted").when(overlap, "support").otherwise("unresolved")
 
 
 def hydrate(packets: DataFrame, chunks: DataFrame, group: str) -> DataFrame:

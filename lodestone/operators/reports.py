@@ -96,14 +96,14 @@ def best_unused(candidates: DataFrame, document: str, slots: list[str]) -> DataF
 
 
 def reconcile(claims: DataFrame, packets: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
-    """(status of every claim, discrepancies). claims: (group, claim_id, text, refs, said_refs, value); packets with packet_id likewise.
+    """(status of every claim, discrepancies). claims: (group, claim_id, text, refs, said_refs, value), or tone, its polarities, instead of text; packets with packet_id likewise.
 
     What shares references is compared pair by pair; what is related only because both have a value can conflict but not
     support, and comes from value_relations, with one packet for all such conflicts of a claim.
     """
     pairs = J.related_pairs(claims, packets, group)
-    both = pairs.join(claims.select(group, "claim_id", F.col("text").alias("ct"), F.col("value").alias("cv")), [group, "claim_id"]).join(packets.select(group, "packet_id", F.col("text").alias("pt"), F.col("value").alias("pv")), [group, "packet_id"])
-    rel = both.select(group, "claim_id", "packet_id", J.relation(F.col("ct"), F.col("pt"), F.col("cv"), F.col("pv"), F.lit(True)).alias("relation"))
+    both = pairs.join(claims.select(group, "claim_id", J.tone(claims).alias("ct"), F.col("value").alias("cv")), [group, "claim_id"]).join(packets.select(group, "packet_id", J.tone(packets).alias("pt"), F.col("value").alias("pv")), [group, "packet_id"])
+    rel = both.select(group, "claim_id", "packet_id", J.tones_relation(F.col("ct"), F.col("pt"), F.col("cv"), F.col("pv"), F.lit(True)).alias("relation"))
     by_value = J.value_relations(claims, packets, group).select(group, "claim_id", "packet_id", F.when(F.col("conflict"), "conflict_by_value").otherwise("unresolved").alias("relation"))
     every = rel.unionByName(by_value)
     conflict = F.col("relation").isin("magnitude_mismatch", "contradicted", "conflict_by_value")

@@ -282,12 +282,13 @@ def k07_legend_map(spark, sf):
 @query()
 def c01_full_analysis(spark, sf):
     """Every document in one plan: chunks, packets, quota sample, coverage, reconciliation of what is claimed with what was found, and the report's items."""
-    packets = written(packets_of(document_chunks(table(spark, sf, "documents"))), "c01-packets")
-    sample = folds.quota_sample(packets.select("document_id", "chunk", "pos", "section", "sentence", "key"), "document_id")
+    every = packets_of(document_chunks(table(spark, sf, "documents"))).withColumn("tone", P.polarities(F.col("sentence")))
+    packets = written(every.drop("sentence", "p"), "c01-packets")
+    sample = folds.quota_sample(packets.select("document_id", "chunk", "pos", "section", "key"), "document_id")
     chosen = sample.groupBy("document_id").agg(F.count(F.lit(1)).alias("chosen"), F.count_distinct("section").alias("sections"))
     every = packets.groupBy("document_id").agg(F.count(F.lit(1)).alias("packets"), F.avg("confidence").alias("mean"), F.count("value").alias("with_numbers"))
     found = F.col("section").isin("methods", "results")
-    said = packets.select("document_id", F.concat_ws("-", "chunk", "pos").alias("name"), F.col("sentence").alias("text"), F.array("anchor").alias("refs"), F.col("refs").alias("said_refs"), "value", found.alias("found"))
+    said = packets.select("document_id", F.concat_ws("-", "chunk", "pos").alias("name"), "tone", F.array("anchor").alias("refs"), F.col("refs").alias("said_refs"), "value", found.alias("found"))
     status, _ = RP.reconcile(said.where("not found").withColumnRenamed("name", "claim_id"), said.where("found").withColumnRenamed("name", "packet_id"), "document_id")
     judged = status.groupBy("document_id").agg(F.count(F.lit(1)).alias("claims"), F.count_if(F.col("status").isin("contradicted", "partial")).alias("conflicting"))
     items = packets.select(F.col("document_id").alias("doc_id"), "section", (F.col("chunk") * 1000 + F.col("pos")).alias("ord"), "key", F.col("confidence").alias("score"), "anchor")

@@ -43,3 +43,10 @@ def test_extractive_scores_that_differ_beyond_nine_decimals_are_equal(spark, tmp
     got = relational.j10_extractive_join(spark, str(tmp_path))
     assert {r.item_id: r.sentence for r in got.collect()}[1] == early
     assert_same(got, relational.oracle_sql()["j10_extractive_join"], db)
+
+
+def test_full_analysis_keeps_no_sentence_and_runs_no_pandas(spark, tiny):
+    out = D.c01_full_analysis(spark, tiny)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "sentence" not in plan
+    assert out.where("items > 0 and chosen > 0").count() > 0
