@@ -612,3 +612,15 @@ def test_empty_tables(spark):
     assert decontam.leak_digest(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert langid.predictions(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
     assert lm.scores(docs).count() == 0
+
+
+def test_lm_learns_from_every_window_of_a_long_text(spark, monkeypatch):
+    v = bpe.shared_vocabulary(spark, *bpe.usual_vocabulary())
+    ids = len(v.value.token_size)
+    docs = spark.createDataFrame([(i, f"text {i} goes on and on " * 40, i < 3, i) for i in range(4)], "id long, text string, training boolean, h long")
+    texts, sizes = lm.written(lm.encoded(docs, v), "test-ids"), []
+    want = sum(-(-(len(bpe.Encoder(v.value).encode(*utf8(pa.array([r.text])))[0]) + 1) // 16) for r in docs.where("training").collect())
+    fit = lm.mean_fit
+    monkeypatch.setattr(lm, "mean_fit", lambda windows, *rest: sizes.append(windows.count()) or fit(windows, *rest))
+    lm.fitted(texts, ids=ids, steps=1, size=4)
+    assert sizes == [want] and want > 3 * 4
