@@ -48,26 +48,39 @@ def greedy_statements(rows: DataFrame, keys: list[str], order: str, key: str) ->
     return rows.repartition(*keys).sortWithinPartitions(*keys, order).select(*keys, key).mapInArrow(run, schema)
 
 
-def streamed(rows: DataFrame, keys: list[str], order: list[Column], pick: Callable[[], Callable[..., int | None]], columns: list[str], number: str | None = None) -> DataFrame:
-    """Rows that a fold keeps. A group's rows pass in order through pick(), made anew for each group, as the values of columns; it gives a row's number, from 1, or None where
-    the row goes. number: the column that gets it."""
+def streamed(rows: DataFrame, keys: list[str], order: list[Column], pick: Callable[[], Callable[..., int | None]], columns: list[str], number: str | None = None, together: bool = False) -> DataFrame:
+    """Rows that a fold keeps. A group's rows pass in order through pick(), made anew for each group, as the values of columns; it gives a row's number, from 1, None where
+    the row goes, or 0 where it and the rest of its group go. number: the column that gets it. together: each group's rows are in one partition already."""
     schema = rows.schema if number is None else rows.withColumn(number, F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, one = object(), None
         for batch in batches:
             kept, numbers = [], []
-            values = zip(*[batch.column(c).to_pylist() for c in columns], strict=True)
-            for i, (own, row) in enumerate(zip(zip(*[batch.column(k).to_pylist() for k in keys], strict=True), values, strict=True)):
+            values = [batch.column(c) for c in columns]
+            for i, own in enumerate(zip(*[batch.column(k).to_pylist() for k in keys], strict=True)):
                 if own != group:
                     group, one = own, pick()
-                if (n := one(*row)) is not None:
+                if one is None:
+                    continue
+                n = one(*[c[i].as_py() for c in values])
+                if n:
                     kept.append(i)
                     numbers.append(n)
+                elif n == 0:
+                    one = None
             out = batch.take(pa.array(kept, pa.int64())).columns
             yield pa.RecordBatch.from_arrays(out if number is None else [*out, pa.array(numbers, pa.int64())], names=schema.names)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return (rows if together else rows.repartition(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def canonical(text: str | None) -> str:
+    """functions.text.canonical of a text, for folds that need the keys of few rows."""
+    return " ".join(CANONICAL.findall((text or "").lower()))
+
+
+CANONICAL = re.compile(r"[a-z0-9]+(?:\.[0-9]+)?")
 
 
 class SaidBefore:

@@ -56,15 +56,23 @@ def paywall_notes(rows: DataFrame, key: str, text: str) -> DataFrame:
     return n.where("n >= 2").select(key, F.lit("source appears access-limited").alias("note"))
 
 
-def ranked_greedy(rows: DataFrame, keys: list[str], limit: int, per_anchor: int | None = None) -> DataFrame:
-    """Items (keys.., score, ord, key, anchor) by score, then place: kept unless near-duplicates of a kept one or one too many of an anchor's kept ones, up to the limit."""
+def ranked_greedy(rows: DataFrame, keys: list[str], limit: int, per_anchor: int | None = None, text: str | None = None, together: bool = False) -> DataFrame:
+    """Items (keys.., score, ord, key, anchor) by score, then place: kept unless near-duplicates of a kept one or one too many of an anchor's kept ones, up to the limit.
+
+    text: the column whose canonical form is the key, for rows without one; only items that come before the limit is reached get theirs. together: each group's rows are in
+    one partition already."""
 
     def pick() -> Callable[..., int | None]:
         kept, said, anchors = 0, folds.SaidBefore(), {}
 
         def one(key: str, anchor: str) -> int | None:
             nonlocal kept
-            if kept >= limit or (per_anchor and anchors.get(anchor, 0) >= per_anchor) or (key and said.first(key) is not None):
+            if kept >= limit:
+                return 0
+            if per_anchor and anchors.get(anchor, 0) >= per_anchor:
+                return None
+            key = folds.canonical(key) if text else key
+            if key and said.first(key) is not None:
                 return None
             kept += 1
             if key:
@@ -74,7 +82,7 @@ def ranked_greedy(rows: DataFrame, keys: list[str], limit: int, per_anchor: int
 
         return one
 
-    return folds.streamed(rows, keys, [F.desc("score"), F.col("ord")], pick, ["key", "anchor"], "rank")
+    return folds.streamed(rows, keys, [F.desc("score"), F.col("ord")], pick, [text or "key", "anchor"], "rank", together)
 
 
 def best_unused(candidates: DataFrame, document: str, slots: list[str]) -> DataFrame:

@@ -535,7 +535,7 @@ CAPS = "CASE section WHEN 'introduction' THEN 10 WHEN 'methods' THEN 18 WHEN 're
 
 def scored_sentences(docs: DataFrame, words: str = r"\b(that|with|from|this)\b") -> DataFrame:
     """(doc_id, sentence, i, section, key, score) of every sentence of at least 30 characters; words is the lexicon."""
-    said = docs.select("doc_id", X.sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").alias("n"), F.posexplode("s").alias("i", "sentence"))
+    said = docs.select("doc_id", X.sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").alias("n"), F.posexplode_outer("s").alias("i", "sentence"))  # without outer the plan cuts every text twice, to filter by the size
     placed = said.withColumn("section", O.position_section(F.col("i") / F.greatest(F.lit(1), F.col("n") - 1)))
     score = F.regexp_count(F.lower("sentence"), F.lit(words)) + F.greatest(F.lit(0.0), 1 - F.least(F.col("i"), F.lit(40)) / 40.0) + F.least(F.length("sentence"), F.lit(220)) / 400.0
     return placed.where(F.length("sentence") >= 30).select("doc_id", "sentence", "i", "section", X.canonical(F.col("sentence")).alias("key"), F.round(score, 9).alias("score"))

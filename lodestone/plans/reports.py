@@ -191,10 +191,15 @@ def ranked_sql(score: str, limit: int, anchor: str = "''", per_anchor: int | Non
         SELECT doc_id, section, unnest(v).o AS ord, generate_subscripts(v, 1) AS rank FROM f"""
 
 
+def _dealt_sentences(spark, sf) -> DataFrame:
+    """Scored sentences, those of a doc_id in one partition. Documents are dealt out before they are cut, as a file of one row group is read by one task."""
+    return scored_sentences(table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id"))
+
+
 @query(ranked_sql("score - length(sentence) / 10000.0", 4))
 def t05_ranked_fallback(spark, sf):
-    rows = scored_sentences(table(spark, sf, "documents")).select("doc_id", "section", (F.col("score") - F.length("sentence") / 10_000.0).alias("score"), F.col("i").alias("ord"), "key", F.lit("").alias("anchor"))
-    return R.ranked_greedy(rows, ["doc_id", "section"], 4).select("doc_id", "section", "ord", "rank")
+    rows = _dealt_sentences(spark, sf).select("doc_id", "section", (F.col("score") - F.length("sentence") / 10_000.0).alias("score"), F.col("i").alias("ord"), "sentence", F.lit("").alias("anchor"))
+    return R.ranked_greedy(rows, ["doc_id", "section"], 4, text="sentence", together=True).select("doc_id", "section", "ord", "rank")
 
 
 @query(f"""{S_}, x AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc ORDER BY id) - 1 AS DOUBLE) / greatest(1, count(*) OVER (PARTITION BY doc) - 1) AS pos FROM s)

@@ -2,9 +2,11 @@
 
 import json
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as X
 from lodestone.operators import folds
 from lodestone.operators import reports as R
 from lodestone.plans import reports
@@ -113,3 +115,22 @@ def test_ranked_fallback_places_sentences_in_their_own_text(spark, tiny, tmp_pat
 def test_presentation_places_sentences_in_their_own_text(spark, tiny, tmp_path):
     assert plan(reports.t10_presentation(spark, tiny)).count("Exchange") == 1 and "FlatMapGroupsInPandas" not in plan(reports.t10_presentation(spark, tiny))
     _same_as_sql(spark, _documents(spark, tmp_path), "t10_presentation")
+
+
+def _cut_once_after_dealing(text: str) -> bool:
+    """Of a plan, which is read from the top: documents are dealt out before they are cut, and cut once."""
+    return text.count("Exchange") == 1 and text.index("Generate") < text.index("Exchange") and len(re.findall(r"split\(", text)) == 1
+
+
+def test_ranked_fallback_cuts_documents_once_after_dealing_them_out(spark, tiny):
+    assert _cut_once_after_dealing(plan(reports.t05_ranked_fallback(spark, tiny)))
+
+
+def test_a_fold_ends_its_group_and_takes_keys_from_texts(spark):
+    said = ["One two THREE 4.5!", "one, two three 4.5", "Kelvin İs Ä Σ x", "Other words here", "And the last ones"]
+    rows = [(d, 9.0 - i, i, t, "") for d in (1, 2) for i, t in enumerate(said)]
+    df = spark.createDataFrame(rows, "doc int, score double, ord int, text string, anchor string").repartition(3)
+    by_key = R.ranked_greedy(df.withColumn("key", X.canonical(F.col("text"))), ["doc"], 3).select("doc", "ord", "rank")
+    by_text = R.ranked_greedy(df, ["doc"], 3, text="text").select("doc", "ord", "rank")
+    assert sorted(map(tuple, by_text.collect())) == sorted(map(tuple, by_key.collect())) == [(d, o, r) for d in (1, 2) for o, r in ((0, 1), (2, 2), (3, 3))]
+    assert [r[0] for r in df.where("doc = 1").orderBy("ord").select(X.canonical(F.col("text"))).collect()] == [folds.canonical(t) for _, _, _, t, _ in rows[:5]]
