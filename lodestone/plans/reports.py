@@ -227,8 +227,8 @@ def t08_slots_in_order(spark, sf):
 
 @query(ranked_sql("score", 6, "'para:' || i // 5", 2))
 def t10_presentation(spark, sf):
-    rows = scored_sentences(table(spark, sf, "documents")).select("doc_id", "section", "score", F.col("i").alias("ord"), "key", F.concat(F.lit("para:"), (F.col("i") / 5).cast("int")).alias("anchor"))
-    return R.ranked_greedy(rows, ["doc_id", "section"], 6, per_anchor=2).select("doc_id", "section", "ord", "rank")
+    rows = _dealt_sentences(spark, sf).select("doc_id", "section", "score", F.col("i").alias("ord"), "sentence", F.concat(F.lit("para:"), (F.col("i") / 5).cast("int")).alias("anchor"))
+    return R.ranked_greedy(rows, ["doc_id", "section"], 6, per_anchor=2, text="sentence", together=True).select("doc_id", "section", "ord", "rank")
 
 
 @query("""WITH last AS (SELECT o_custkey, max(o_orderdate) AS newest FROM orders GROUP BY 1), keep AS (SELECT o_custkey FROM last ORDER BY newest DESC, o_custkey LIMIT 3) SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM keep)""")

@@ -126,6 +126,10 @@ def test_ranked_fallback_cuts_documents_once_after_dealing_them_out(spark, tiny)
     assert _cut_once_after_dealing(plan(reports.t05_ranked_fallback(spark, tiny)))
 
 
+def test_presentation_cuts_documents_once_after_dealing_them_out(spark, tiny):
+    assert _cut_once_after_dealing(plan(reports.t10_presentation(spark, tiny)))
+
+
 def test_a_fold_ends_its_group_and_takes_keys_from_texts(spark):
     said = ["One two THREE 4.5!", "one, two three 4.5", "Kelvin İs Ä Σ x", "Other words here", "And the last ones"]
     rows = [(d, 9.0 - i, i, t, "") for d in (1, 2) for i, t in enumerate(said)]
