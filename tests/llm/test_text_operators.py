@@ -624,3 +624,23 @@ def test_lm_learns_from_every_window_of_a_long_text(spark, monkeypatch):
     monkeypatch.setattr(lm, "mean_fit", lambda windows, *rest: sizes.append(windows.count()) or fit(windows, *rest))
     lm.fitted(texts, ids=ids, steps=1, size=4)
     assert sizes == [want] and want > 3 * 4
+
+
+def test_lm_windows_travel_packed_and_are_never_stored(spark, monkeypatch):
+    v = bpe.shared_vocabulary(spark, *bpe.usual_vocabulary())
+    ids, words = len(v.value.token_size), "some other words that go around in texts of many kinds and ways".split()
+    rows = [(i, " ".join(words[(i * k * k + k // 7) % len(words)] + str(i * k % 97) for k in range(700)), i < 5, i * 7919) for i in range(6)]
+    texts = lm.written(lm.encoded(spark.createDataFrame(rows, "id long, text string, training boolean, h long"), v), "test-ids")
+    windows = lm.training_windows(texts, ids)
+    sent, want = lm.packed(windows, 3).collect(), sorted(bytes(r.window) for r in windows.collect())
+    got = [x.astype("<i4").tobytes() for r in sent for x in lm.unpacked(r.n, r.size, bytes(r.block))]
+    assert sorted(got) == want and {r.shard for r in sent} == {0, 1, 2}
+    assert sum(len(r.block) for r in sent) < 0.35 * sum(map(len, want))
+    first = sorted(bytes(r.window) for r in lm.training_windows(texts, ids, shards=3).collect())
+    assert first == sorted(x.astype("<i4").tobytes() for r in sent if r.shard == 0 for x in lm.unpacked(r.n, r.size, bytes(r.block)))
+    wide = lm.packed(spark.createDataFrame([(5, np.full(33, 70_000, "<i4").tobytes())], "u long, window binary"), 1).first()
+    assert (lm.unpacked(wide.n, wide.size, bytes(wide.block)) == 70_000).all()
+    names, write = [], lm.written
+    monkeypatch.setattr(lm, "written", lambda df, name: names.append(name) or write(df, name))
+    lm.fitted(texts, ids, steps=1, size=100)
+    assert not names
