@@ -644,3 +644,24 @@ def test_lm_windows_travel_packed_and_are_never_stored(spark, monkeypatch):
     monkeypatch.setattr(lm, "written", lambda df, name: names.append(name) or write(df, name))
     lm.fitted(texts, ids, steps=1, size=100)
     assert not names
+
+
+def test_lm_sums_of_models_travel_in_parts(spark, monkeypatch):
+    """However many shards there are, no row that an exchange moves holds a whole model, and few tasks send sums."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    v = bpe.shared_vocabulary(spark, *bpe.usual_vocabulary())
+    ids = len(v.value.token_size)
+    rows = [(i, f"word{i} and the other words of text number {i} " * 9, True, i * 0x9E3779B97F4A7C15 % 2**63) for i in range(80)]
+    texts = lm.written(lm.encoded(spark.createDataFrame(rows, "id long, text string, training boolean, h long"), v), "test-ids")
+    windows, moved, deal = lm.training_windows(texts, ids), [], DataFrame.repartition
+    start = lm.first_fit(windows, lm.id_counts(texts, ids), 2)
+    monkeypatch.setattr(lm, "TASKS", 3, raising=False)
+    monkeypatch.setattr(DataFrame, "repartition", lambda self, *to: moved.append(self) or deal(self, *to))
+    lm.mean_fit(windows, 12, start)
+    monkeypatch.undo()
+    sums = moved[-1]
+    name = next(f.name for f in sums.schema if f.dataType.typeName() == "binary")
+    sizes = [r[0] for r in sums.select(F.octet_length(name)).collect()]
+    assert len(start) > 1 << 17 and max(sizes) <= 1 << 17
+    assert sum(sizes) <= 3 * len(start)
